@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "simhash")
+MODULES = ("quality_rules", "simhash", "exact_dedup", "pii", "packing")
 
 
 def _merged(name: str) -> dict:
