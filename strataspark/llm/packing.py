@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable, stored
+from .common import documents, durable, slices, stored
 
 CAPACITY, END = 1024, 0
 DIMS, BITS = 4, 8
@@ -100,7 +100,7 @@ def keys(vectors: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(1).to_pylist()
         ids = [encode(t or "", folder) for t in texts]
         at = keys(np.array([vector(x) for x in ids]).reshape(-1, DIMS))

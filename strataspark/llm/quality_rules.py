@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, durable, fresh, sized, table
+from .common import documents, durable, fresh, sized, slices, table
 
 #: At most this share of a stratum's good documents may be rejected by the certified rules together, but for probability DELTA.
 RISK, DELTA = 0.02, 0.05
@@ -67,7 +67,7 @@ def counts_of(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch], at: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [counts_of(t or b"") for t in batch.column(at).cast(pa.binary()).to_pylist()]
         columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(len(COUNTS))]
         stats = pa.StructArray.from_arrays(columns, fields=list(_STATS))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, connected_components, documents, durable, lookup, small
+from .common import HOT_SHARE, connected_components, documents, durable, lookup, slices, small
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Variants that a cell makes at once.
@@ -45,7 +45,7 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         prints = np.array([fingerprint(t or b"", words) for t in texts], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["id", "fp"])
