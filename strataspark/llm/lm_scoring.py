@@ -8,6 +8,7 @@ are taken out of the target's bigrams when it is scored itself."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return emitted(blocks(), ["h", "target", "n"])
 
 
-def _bigrams(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    """(id, target, v, w, c): the distinct bigrams of each document."""
+def _bigrams(batches: Iterator[pa.RecordBatch], vocabulary, frequent=None) -> Iterator[pa.RecordBatch]:
+    """(id, key, c): the distinct bigrams of each document; c is negative in target documents.
+
+    With `frequent` counts, the losses of those bigrams are summed here, into one row for each document and batch with a
+    key under 0; its c is their number, t and b their losses in both models."""
     known = vocabulary.value
     for batch in slices(batches):
         docs, firsts, seconds = [], [], []
@@ -53,10 +57,34 @@ def _bigrams(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.Recor
             seconds.append(ids[1:])
         if not docs:
             continue
-        first = np.concatenate(firsts)
-        (d, v, w), (c,) = summed([np.concatenate(docs), first, np.concatenate(seconds)], [np.ones(len(first), np.int64)])
-        at = pa.array(d)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(v.astype(np.int32)), pa.array(w.astype(np.int32)), pa.array(c)], names=["id", "target", "v", "w", "c"])
+        keys = np.concatenate(firsts) << 32 | np.concatenate(seconds)
+        (d, key), (c,) = summed([np.concatenate(docs), keys], [np.ones(len(keys), np.int64)])
+        target = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        c = np.where(target[d], -c, c)
+        t, b = np.zeros(len(d), np.float32), np.zeros(len(d), np.float32)
+        if frequent is not None and len(frequent.value["key"]):
+            f = frequent.value
+            at = np.minimum(np.searchsorted(f["key"], key), len(f["key"]) - 1)
+            hot = f["key"][at] == key
+            losses = frequent_losses(f, at[hot], c[hot])
+            sums = [np.bincount(d[hot], weights=x, minlength=batch.num_rows) for x in (*losses, np.abs(c[hot]))]
+            rows = np.flatnonzero(sums[2])
+            apart = -1 - (rows + np.int64(zlib.crc32(d.tobytes())))  # matches no bigram; spread evenly
+            d, key, c = np.concatenate([d[~hot], rows]), np.concatenate([key[~hot], apart]), np.concatenate([c[~hot], sums[2][rows].astype(np.int64)])
+            t, b = (np.concatenate([np.zeros(int((~hot).sum())), x[rows]]).astype(np.float32) for x in sums[:2])
+        columns = [batch.column(0).take(pa.array(d)), pa.array(key), pa.array(c.astype(np.int32)), pa.array(t), pa.array(b)]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "c", "t", "b"])
+
+
+def frequent_losses(f: dict, at: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Summed losses in the target and the background model of the frequent bigrams at `at`, occurring |c| times each."""
+    out = []
+    for name, own in (("target", np.where(c < 0, -c, 0)), ("n", 0)):
+        alone = UNIGRAM * f[f"w_{name}"][at] / max(1, f[f"total_{name}"]) + (1 - UNIGRAM) / f["size"]
+        context = f[f"v_{name}"][at]
+        inside = np.where(context > 0, (f[name][at] - own) / np.maximum(context, 1), 0.0)
+        out.append(np.abs(c) * -np.log(BIGRAM * inside + (1 - BIGRAM) * alone))
+    return out[0], out[1]
 
 
 def cross_entropy_difference(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target", vocab_share: float = VOCAB_SHARE) -> DataFrame:
@@ -73,33 +101,34 @@ def cross_entropy_difference(docs: DataFrame, id_col: str = "doc_id", text_col:
     tokens = words.agg(F.sum("n")).first()[0] or 0
     found = words.where((F.col("n") >= 2) & (F.col("n") >= vocab_share * tokens)).toArrow()  # at most 1 / vocab_share rows
     vocabulary = spark.sparkContext.broadcast(np.sort(found.column("h").to_numpy()))
-    grams = rows.mapInArrow(lambda b: _bigrams(b, vocabulary), "id long, target boolean, v int, w int, c long")
-    pairs = stored(grams.groupBy("v", "w").agg(F.sum(F.when(F.col("target"), F.col("c")).otherwise(0)).alias("in_target"), F.sum("c").alias("n"), F.count("*").alias("rows")))
-    sums = pairs.agg(F.sum("in_target").alias("t"), F.sum("n").alias("n"), F.sum("rows").alias("rows")).first()
+    schema = "id long, key long, c int, t float, b float"
+    own = F.when(F.col("c") < 0, -F.col("c")).otherwise(0)
+    grams = rows.mapInArrow(lambda b: _bigrams(b, vocabulary), schema)
+    pairs = stored(grams.groupBy("key").agg(F.sum(own).alias("target"), F.sum(F.abs("c")).alias("n"), F.count("*").alias("rows")))
+    sums = pairs.agg(F.sum("target").alias("t"), F.sum("n").alias("n"), F.sum("rows").alias("rows")).first()
     if not sums.rows:
         return spark.createDataFrame([], "id long, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
-    floor = max(1000, int(sums.rows * HOT_SHARE))
     # Counts of each word as a context and as a token; there are no more than words in the vocabulary.
-    context = pairs.groupBy("v").agg(F.sum("in_target").alias("v_target"), F.sum("n").alias("v_n"))
-    token = pairs.groupBy("w").agg(F.sum("in_target").alias("w_target"), F.sum("n").alias("w_n"))
+    v, w = F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
+    context = durable(pairs.groupBy(v.alias("vk")).agg(F.sum("target").alias("v_target"), F.sum("n").alias("v_n")))
+    token = durable(pairs.groupBy(w.alias("wk")).agg(F.sum("target").alias("w_target"), F.sum("n").alias("w_n")))
     size = float(found.num_rows + FIRST)
-    context, token = durable(context.withColumnRenamed("v", "vk")), durable(token.withColumnRenamed("w", "wk"))
-    hot = pairs.where(F.col("rows") >= floor).select(F.col("v").alias("hv"), F.col("w").alias("hw"), F.col("in_target").alias("hot_target"), F.col("n").alias("hot_n"))
-    rest = pairs.where(F.col("rows") < floor).select(F.col("v").alias("cv"), F.col("w").alias("cw"), F.col("in_target").alias("cold_target"), F.col("n").alias("cold_n"))
-    marked = grams.join(F.broadcast(hot), (F.col("v") == F.col("hv")) & (F.col("w") == F.col("hw")), "left")
-    away = F.when(F.col("hot_n").isNull(), F.col("v")).otherwise(-1 - F.pmod(F.hash("id"), F.lit(1 << 20)))  # matches nothing, spread evenly
-    joined = marked.withColumn("jv", away).join(rest, (F.col("jv") == F.col("cv")) & (F.col("w") == F.col("cw")), "left")
-    joined = joined.join(F.broadcast(context), F.col("v") == F.col("vk")).join(F.broadcast(token), F.col("w") == F.col("wk"))
-
-    def loss(own, n, context_n, token_n, total):
+    often = F.col("rows") >= max(1000, int(sums.rows * HOT_SHARE))  # at most 1 / HOT_SHARE bigrams
+    hot = pairs.where(often).join(F.broadcast(context), v == F.col("vk")).join(F.broadcast(token), w == F.col("wk")).orderBy("key").toArrow()
+    names = ("key", "target", "n", "v_target", "v_n", "w_target", "w_n")
+    frequent = spark.sparkContext.broadcast({k: hot.column(k).to_numpy() for k in names} | {"total_target": sums.t or 0, "total_n": sums.n, "size": size})
+    rest = pairs.where(~often).select(F.col("key").alias("cold"), "target", "n")
+    joined = rows.mapInArrow(lambda b: _bigrams(b, vocabulary, frequent), schema).join(rest, F.col("key") == F.col("cold"), "left")
+    joined = joined.join(F.broadcast(context), (v == F.col("vk")) & (F.col("key") >= 0), "left").join(F.broadcast(token), (w == F.col("wk")) & (F.col("key") >= 0), "left")
+
+    def loss(mine, n, context_n, token_n, total, summed_before):
         alone = UNIGRAM * F.col(token_n) / F.lit(float(max(1, total))) + (1 - UNIGRAM) / size
-        inside = F.coalesce(F.try_divide(n - own, F.col(context_n).cast("double")), F.lit(0.0))
-        return -F.log(BIGRAM * inside + (1 - BIGRAM) * alone)
+        inside = F.coalesce(F.try_divide(F.col(n) - mine, F.col(context_n).cast("double")), F.lit(0.0))
+        return F.when(F.col("key") < 0, F.col(summed_before).cast("double")).otherwise(-F.log(BIGRAM * inside + (1 - BIGRAM) * alone) * F.abs("c"))
 
-    mine = F.when(F.col("target"), F.col("c")).otherwise(0)
-    target = loss(mine, F.coalesce("hot_target", "cold_target"), "v_target", "w_target", sums.t or 0)
-    background = loss(F.lit(0), F.coalesce("hot_n", "cold_n"), "v_n", "w_n", sums.n)
-    each = joined.groupBy("id").agg(F.sum("c").alias("n_tokens"), F.sum(F.col("c") * target).alias("t"), F.sum(F.col("c") * background).alias("b"))
+    target = loss(own, "target", "v_target", "w_target", sums.t or 0, "t")
+    background = loss(F.lit(0), "n", "v_n", "w_n", sums.n, "b")
+    each = joined.groupBy("id").agg(F.sum(F.abs("c")).alias("n_tokens"), F.sum(target).alias("t"), F.sum(background).alias("b"))
     t, b = F.col("t") / F.col("n_tokens"), F.col("b") / F.col("n_tokens")
     return each.select(F.col("id").alias(id_col), "n_tokens", t.alias("target_loss"), b.alias("background_loss"), (b - t).alias("score"))
 
