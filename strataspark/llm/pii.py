@@ -120,7 +120,7 @@ def disclosing_terms(rows: DataFrame, total: int, near: int = NEAR, support: int
 def term_documents(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """(_key, term) for each document of `rows` and each of the `terms` (t) in it. No terms: nothing is scanned."""
     if terms.isEmpty():
-        return rows.sparkSession.createDataFrame([], "_key long, term string")
+        return rows.select("_key", F.lit("").alias("term")).where(F.lit(False))
     words = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(_WORD % LETTERS), F.lit(0)))
     return rows.select("_key", F.explode(words).alias("term")).join(sized(terms), F.col("term") == F.col("t"), "left_semi")
 
