@@ -60,6 +60,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def for_python(df: DataFrame) -> DataFrame:
+    """`df`, whose session from now on sends Python its rows in batches of bounded count and size: long texts make large ones."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
     """The same rows in shorter batches, so that what Python makes of a batch stays small."""
     for batch in batches:

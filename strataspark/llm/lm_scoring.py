@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, documents, durable, sized, slices, stored, table
+from .common import HOT_SHARE, documents, durable, for_python, sized, slices, stored, table
 from .words import emitted, summed, word_hashes
 
 VOCAB_SHARE = 1e-5
@@ -97,7 +97,7 @@ def cross_entropy_difference(docs: DataFrame, id_col: str = "doc_id", text_col:
     the at most 1 / HOT_SHARE frequent bigrams by broadcast, the others by a shuffled join."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{target_col}`").cast("boolean"), F.lit(False)).alias("target"))
-    words = durable(rows.mapInArrow(_counted, "h long, target long, n long").groupBy("h").agg(F.sum("target").alias("target"), F.sum("n").alias("n")))
+    words = durable(for_python(rows).mapInArrow(_counted, "h long, target long, n long").groupBy("h").agg(F.sum("target").alias("target"), F.sum("n").alias("n")))
     tokens = words.agg(F.sum("n")).first()[0] or 0
     found = words.where((F.col("n") >= 2) & (F.col("n") >= vocab_share * tokens)).toArrow()  # at most 1 / vocab_share rows
     vocabulary = spark.sparkContext.broadcast(np.sort(found.column("h").to_numpy()))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable, slices, stored
+from .common import documents, durable, for_python, slices, stored
 
 CAPACITY, END = 1024, 0
 DIMS, BITS = 4, 8
@@ -114,7 +114,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, folder: str | None = No
     """(id, key, digest, n, ids): tokens of every row as 16-bit numbers, and its place on the curve."""
     folder = folder or tokenizer_folder()
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: _encoded(batches, folder), "id long, key long, digest long, n long, ids binary")
+    return for_python(rows).mapInArrow(lambda batches: _encoded(batches, folder), "id long, key long, digest long, n long, ids binary")
 
 
 def _packed(rows: pa.Table, capacity: int, with_ids: bool) -> pa.Table:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable, sized, slices, stored, table
+from .common import documents, durable, for_python, sized, slices, stored, table
 from .words import word_hashes
 
 #: Features of each view after hashing; the models are that large whatever the corpus.
@@ -147,7 +147,7 @@ def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col(id_col).alias("label_id")).agg(F.min("quality").alias("good"))
     few = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), *[F.col(f"`{c}`").cast("string").alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))])
     rows = few.join(sized(durable(known)), F.col("id") == F.col("label_id"), "left").select("id", "text", "lang", "source", F.coalesce("good", F.lit(-1)).cast("int").alias("good"))
-    data = stored(rows.mapInArrow(_features, "id long, good int, text array<int>, meta array<int>"))
+    data = stored(for_python(rows).mapInArrow(_features, "id long, good int, text array<int>, meta array<int>"))
     held = (F.col("good") >= 0) & (F.pmod(F.xxhash64("id"), F.lit(HOLD)) == 0)
     marked = data.select(F.when(held, F.lit(-2)).otherwise(F.col("good")).alias("y"), "text", "meta")  # -2: neither counted nor given a label
     views: dict[str, View] = {}

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, durable, fresh, sized, slices, table
+from .common import documents, durable, for_python, fresh, sized, slices, table
 
 #: At most this share of a stratum's good documents may be rejected by the certified rules together, but for probability DELTA.
 RISK, DELTA = 0.02, 0.05
@@ -81,7 +81,7 @@ def with_counts(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     stats = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
     schema = T.StructType([*docs.schema.fields, T.StructField(name, stats)])
     at, names = len(docs.columns), [f.name for f in schema.fields]
-    return rows.mapInArrow(lambda batches: _counted(batches, at, names), schema)
+    return for_python(rows).mapInArrow(lambda batches: _counted(batches, at, names), schema)
 
 
 def signals(stats: Column) -> dict[str, Column]:

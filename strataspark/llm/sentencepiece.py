@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import documents, for_python, slices
 
 MARK = "▁"
 #: How much worse than the worst piece a character without piece is.
@@ -209,7 +209,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", entr
     `text_col` are read. `entries`: a vocabulary as vocabulary() gives it."""
     pieces = docs.sparkSession.sparkContext.broadcast(Pieces(entries or vocabulary()))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(lambda b: _encoded(b, pieces), "id long, ids array<int>, score double, n_fallback long").withColumnRenamed("id", id_col)
+    return for_python(rows).mapInArrow(lambda b: _encoded(b, pieces), "id long, ids array<int>, score double, n_fallback long").withColumnRenamed("id", id_col)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], at: int, names: list[str], pieces) -> Iterator[pa.RecordBatch]:

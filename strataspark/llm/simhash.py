@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, connected_components, documents, durable, lookup, slices, small
+from .common import HOT_SHARE, connected_components, documents, durable, for_python, lookup, slices, small
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Variants that a cell makes at once.
@@ -54,7 +54,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(id, fp long) of every row of `docs`; the text is read whole, a null one counts as empty."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: _fingerprints(batches, words), "id long, fp long")
+    return for_python(rows).mapInArrow(lambda batches: _fingerprints(batches, words), "id long, fp long")
 
 
 def _masks(bits: int, flips: int) -> np.ndarray:

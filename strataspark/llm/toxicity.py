@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable, sized, slices, table
+from .common import documents, durable, for_python, sized, slices, table
 from .words import emitted, word_hashes
 
 #: Labelled documents that the models are fitted on, about (chosen by a hash of the id); a documented bound, as the models are broadcast.
@@ -170,7 +170,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     `text_col` are read; an empty table gives an empty result."""
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").cast("long").alias("id"))
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("label_id")).agg(F.max("toxic").alias("toxic"))
-    labelled = rows.where(~held_out(F.col("id"))).join(sized(durable(known)), F.col("id") == F.col("label_id"))
+    labelled = for_python(rows).where(~held_out(F.col("id"))).join(sized(durable(known)), F.col("id") == F.col("label_id"))
     model = fit(labelled.select("id", "text", "toxic"))
     share = 0.0 if model is not None else labelled.agg(F.coalesce(F.min("toxic"), F.lit(0))).first()[0]
     scored = rows.withColumn("held_out", held_out(F.col("id"))).mapInArrow(lambda b: _scored(b, model, float(share)), "id long, held_out boolean, score double")
