@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +93,7 @@ class Pieces:
         self.worst = float(min((self.score[i] for _, i in usable), default=0.0)) - UNKNOWN_PENALTY
         # Where no piece has a mark after another character, words can be solved apart.
         self.apart = not any(MARK in p.lstrip(MARK) for p, _ in usable)
-        self.known: dict[str, tuple[np.ndarray, float, int]] = {}
+        self.known: dict[str, tuple[list[int], float, int]] = {}
 
     def _edges(self, data: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, id) of all pieces that stand in the text; `ends` bounds each start."""
@@ -111,7 +112,7 @@ class Pieces:
                 column.append(x)
         return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in found)
 
-    def solve(self, words: list[str]) -> list[tuple[np.ndarray, float, int]]:
+    def solve(self, words: list[str]) -> list[tuple[list[int], float, int]]:
         """(ids, score, bytes by fallback) of the best segmentation of each word; of equal ones, that with the longer last pieces."""
         raw = [w.encode() for w in words]
         sizes = np.array([len(r) for r in raw], np.int64)
@@ -159,17 +160,21 @@ class Pieces:
             steps.append((live, edge))
             at[live] = source[edge]
             live = live[at[live] > first[live] + live]
-        ids: list[list[int]] = [[] for _ in raw]
-        fallback = [0] * len(raw)
-        for words_, edges in reversed(steps):
-            for w, i in zip(words_.tolist(), edges.tolist(), strict=True):
-                if piece[i] >= 0:
-                    ids[w].append(int(piece[i]))
-                else:
-                    ids[w].extend(self.bytes[data[begin[i] : end[i]]].tolist())
-                    fallback[w] += int(end[i] - begin[i])
-        final = best[first + sizes + np.arange(len(raw))]
-        return [(np.array(x, np.int32), float(s) if n else 0.0, f) for x, s, n, f in zip(ids, final, sizes, fallback, strict=True)]
+        final = best[first + sizes + np.arange(len(raw))].tolist()
+        if not steps:
+            return [([], 0.0, 0) for _ in raw]
+        owner, edge = (np.concatenate(c[::-1]) for c in zip(*steps, strict=True))
+        order = np.argsort(owner, kind="stable")
+        edge = edge[order]
+        chosen, cuts = piece[edge].tolist(), np.cumsum(np.bincount(owner, minlength=len(raw))).tolist()
+        ids, fallback = [chosen[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], [0] * len(raw)
+        for w in np.unique(owner[order][piece[edge] < 0]).tolist():  # words with a character that falls back to bytes
+            ids[w] = []
+            for i in edge[cuts[w - 1] if w else 0 : cuts[w]].tolist():
+                known = piece[i] >= 0
+                ids[w].extend([int(piece[i])] if known else self.bytes[data[begin[i] : end[i]]].tolist())
+                fallback[w] += 0 if known else int(end[i] - begin[i])
+        return [(x, s if n else 0.0, f) for x, s, n, f in zip(ids, final, sizes.tolist(), fallback, strict=True)]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, float, int]]:
         """(ids, score, bytes by fallback) of each whole text; an empty one has no piece."""
@@ -185,7 +190,8 @@ class Pieces:
         out = []
         for p in parts:
             each = [self.known[w] for w in p]
-            out.append((np.concatenate([x[0] for x in each]) if each else np.zeros(0, np.int32), sum(x[1] for x in each), sum(x[2] for x in each)))
+            ids = np.fromiter(chain.from_iterable([x[0] for x in each]), np.int32)
+            out.append((ids, sum([x[1] for x in each]), sum([x[2] for x in each])))
         return out
 
     def decode(self, ids: list[int]) -> str:
