@@ -70,18 +70,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of equal texts, the one with the smallest id (of rows that repeat it, any one).
+    Columns keep their order and names, whatever these are.
 
     Rows the filter clears pass straight through with all their columns. Only the possibly repeated ones are grouped:
     each task first keeps its own smallest row of every text, so that one row a task and text is shuffled."""
-    sha = F.sha2(normalised(F.col(text_col)), 256)
+    sha = F.sha2(normalised(F.col(f"`{text_col}`")), 256)
     hashes = durable(docs.select(F.xxhash64(sha).alias("h")))
     bitmaps, bits = repeat_filter(hashes, hashes.count())
-    rows = docs.withColumn("_sha", sha).withColumn("_h", F.xxhash64("_sha"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(whole, F.col(f"`{id_col}`").alias("_id"), sha.alias("_sha")).withColumn("_h", F.xxhash64("_sha"))
     marked = maybe_repeated(rows, "_maybe", (durable(bitmaps), bits))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = marked.where("not _maybe").select(*columns)
-    first = F.min_by(F.struct(*columns), F.struct(F.col(id_col).isNull(), F.col(id_col))).alias("_row")
-    return single.unionByName(marked.where("_maybe").groupBy("_sha").agg(first).select("_row.*"))
+    single = marked.where("not _maybe").select("_row")
+    first = F.min_by("_row", F.struct(F.col("_id").isNull(), F.col("_id"))).alias("_row")
+    return single.unionByName(marked.where("_maybe").groupBy("_sha").agg(first).select("_row")).select("_row.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

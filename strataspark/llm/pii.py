@@ -128,8 +128,8 @@ def term_documents(rows: DataFrame, terms: DataFrame) -> DataFrame:
 def _term_spans(text: Column, terms: Column) -> Column:
     """Spans of the words of `text` that are among `terms` (lower case)."""
     pattern = _WORD % LETTERS
-    found = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
-    gaps = F.split(F.lower(text), pattern, -1)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
     sizes = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), found.alias("match"))
     start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("spans"))
 
@@ -137,10 +137,9 @@ def _term_spans(text: Column, terms: Column) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
         span = F.struct(F.lit("term").alias("kind"), begin.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.coalesce(F.array_contains(terms, x["match"]), F.lit(False)), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        return F.struct(end.alias("at"), F.when(F.coalesce(F.array_contains(terms, F.lower(x["match"])), F.lit(False)), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    same = F.length(F.lower(text)) == F.length(text)  # a few capitals change their length; such texts keep their terms' places off
-    return F.when(same, F.aggregate(sizes, start, step)["spans"]).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
+    return F.aggregate(sizes, start, step)["spans"]
 
 
 def find(docs: DataFrame, text_col: str = "text", **options) -> tuple[DataFrame, DataFrame]:

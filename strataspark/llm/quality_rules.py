@@ -171,9 +171,11 @@ def verdicts(docs: DataFrame, labels: DataFrame, name: str, id_col: str = "doc_i
     cutoffs = durable(certified_cutoffs(with_counts(held.select("_stratum", "_words", "_good"), "_words", "_stats"), "_stats", "_stratum", "_good", risk, delta))
     flat = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
     rows = with_counts(docs, text_col, name)
-    joined = rows.join(sized(durable(flat.select(F.col("stratum").alias("_stratum_key"), F.col("cutoffs").alias("_cutoffs")))), F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("")) == F.col("_stratum_key"), "left")
+    key, limits = fresh(docs, "_stratum_key"), fresh(docs, "_cutoffs")
+    side = sized(durable(flat.select(F.col("stratum").alias(key), F.col("cutoffs").alias(limits))))
+    joined = rows.join(side, F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("")) == F.col(key), "left")
     stats = F.col(f"`{name}`")
-    failed = F.filter(F.array(*[F.when(v > F.col("_cutoffs")[k], F.lit(k)) for k, v in signals(stats).items()]), lambda x: x.isNotNull())
+    failed = F.filter(F.array(*[F.when(v > F.col(limits)[k], F.lit(k)) for k, v in signals(stats).items()]), lambda x: x.isNotNull())
     out = F.struct(*[stats[c].alias(c) for c in COUNTS], base_failed(stats).alias("base_failed"), (~base_failed(stats) & (F.size(failed) == 0)).alias("kept"), failed.alias("rules_failed"))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], out.alias(name)), cutoffs
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, connected_components, documents, durable, for_python, lookup, slices, small
+from .common import HOT_SHARE, connected_components, documents, durable, for_python, fresh, lookup, slices, small
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Variants that a cell makes at once.
@@ -162,9 +162,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     The ids to drop are few where few documents have near copies: they are broadcast if they prove few, else joined by
     a shuffle. Rows with a null id stay."""
     found = near_components(docs, id_col, text_col, words, radius)
-    gone = durable(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
+    name = fresh(docs, "_gone")
+    gone = durable(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct())
     side = F.broadcast(gone) if small(gone) else gone
-    return docs.join(side, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(side, F.col(id_col) == F.col(name), "left_anti")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

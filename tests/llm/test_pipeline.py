@@ -37,3 +37,14 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, odd, none, sf):
     for name, stage in C.STAGES[:-1]:
         assert stage(spark, odd, sf).columns == odd.columns, name
         assert stage(spark, none, sf).count() == 0, name
+
+
+def test_stages_keep_columns_that_clash_with_their_own(spark, sf):
+    names = ("_row", "_sha", "_h", "_maybe", "_bits", "_gone", "_cutoffs", "_stratum_key", "_quality", "_text", "_key", "_found", "_hot", "fp")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    docs = docs.selectExpr("*", *[f"concat('{c}', doc_id) as {c}" for c in names])
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert all(r[c] == f"{c}{r.doc_id}" for c in names), name
