@@ -146,12 +146,13 @@ def find(docs: DataFrame, text_col: str = "text", **options) -> tuple[DataFrame,
     """(`docs` with a column _found, the disclosing terms). _found: one array of spans for each base kind, then `term`.
 
     Every row is a document; a null text counts as empty and has no spans. Ids are not read. Extra columns pass
-    through, whatever their names, but for _text, _key, _spans, _found and _terms, which are replaced. An empty table
-    gives an empty result."""
+    through, whatever their names, but for _text, _key, _spans, _found, _terms and _null, which are replaced. An empty
+    table gives an empty result. The text is stored once, however many columns show it."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     each = base_spans(F.col("_text"))
-    own = [c for c in docs.columns if c.lower() not in ("_text", "_key", "_spans", "_found", "_terms")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], text.alias("_text")).withColumn("_found", F.struct(*[v.alias(k) for k, v in each.items()]))
+    kept = [c for c in docs.columns if c.lower() not in ("_text", "_key", "_spans", "_found", "_terms", "_null")]
+    own = [c for c in kept if c != text_col or docs.schema[c].dataType.typeName() != "string"]
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text_col}`").isNull().alias("_null"), text.alias("_text")).withColumn("_found", F.struct(*[v.alias(k) for k, v in each.items()]))
     rows = stored(rows.withColumn("_key", F.monotonically_increasing_id()))
     total = rows.count()
     slim = rows.select("_key", "_text", F.concat(*[F.col(f"_found.{k}") for k in KINDS]).alias("_spans"))
@@ -163,7 +164,9 @@ def find(docs: DataFrame, text_col: str = "text", **options) -> tuple[DataFrame,
         hits = durable(hits.groupBy("_key").agg(F.collect_set("term").alias("_terms")))
         with_terms = rows.join(F.broadcast(hits) if small(hits, 20_000) else hits, "_key", "left")
     extra = F.when(F.col("_terms").isNotNull(), _term_spans(F.col("_text"), F.col("_terms"))).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
-    return with_terms.withColumn("_found", F.struct(*[F.col(f"_found.{k}").alias(k) for k in KINDS], extra.alias("term"))).drop("_terms"), terms
+    found = F.struct(*[F.col(f"_found.{k}").alias(k) for k in KINDS], extra.alias("term")).alias("_found")
+    shown = [F.col(f"`{c}`") if c in own else F.when(~F.col("_null"), F.col("_text")).alias(c) for c in kept]
+    return with_terms.select(*shown, "_key", "_null", "_text", found), terms
 
 
 def _joined(spans: Column) -> Column:
@@ -175,7 +178,8 @@ def sanitise(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
 
     Spans that overlap are one, under the name of the first (the longer, if two begin together)."""
     mark = fresh(docs, "_whole")
-    rows, _ = find(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(mark), F.col(f"`{text_col}`").alias("_input")), "_input", **options)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows, _ = find(docs.select(F.struct(F.lit(0).alias(fresh(docs, "_none")), *others).alias(mark), F.col(f"`{text_col}`").alias("_input")), "_input", **options)
     everything = F.concat(*[F.col(f"_found.{k}") for k in (*KINDS, "term")])
     ordered = F.array_sort(F.transform(everything, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["kind"].alias("kind"))))
     text = F.col("_text")
@@ -187,7 +191,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
         return F.struct(F.greatest(acc["at"], -s["last"]).alias("at"), F.when(fits, F.array_append(acc["parts"], piece)).otherwise(acc["parts"]).alias("parts"))
 
     done = F.aggregate(ordered, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    clean = F.when(F.col("_input").isNull(), F.lit(None)).when(F.size(everything) == 0, text).otherwise(done)
+    clean = F.when(F.col("_null"), F.lit(None)).when(F.size(everything) == 0, text).otherwise(done)
     columns = [clean.alias(c) if c == text_col else F.col(mark)[c].alias(c) for c in docs.columns]
     return rows.select(*columns)
 
