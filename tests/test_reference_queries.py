@@ -84,3 +84,23 @@ def test_state_of_a_stream_is_that_of_a_batch(spark, sf, tmp_path):
 
 def test_smooth_sizes():
     assert [elastic.smooth_size(n) for n in (1, 11, 13, 97, 120)] == [1, 12, 14, 98, 120]
+
+
+def test_transform_against_numpy(spark):
+    from strataspark.operators import traces
+
+    cube = np.random.default_rng(3).normal(size=(3, 4, 5))
+    cells = spark.createDataFrame([(*map(int, at), float(v), 0.0) for at, v in np.ndenumerate(cube) for at in [at]], "i long, j long, k long, re double, im double")
+    turned = traces.transformed(cells, ("i", "j", "k"))
+    want = np.fft.fftn(cube)
+    assert all(abs(complex(r.re, r.im) - want[r.i, r.j, r.k]) < 1e-9 for r in turned.collect())
+    assert all(abs(r.re - cube[r.i, r.j, r.k]) < 1e-9 for r in traces.transformed(turned, ("i", "j", "k"), inverse=True).collect())
+
+
+def test_refined_traces_keep_their_samples(spark):
+    from strataspark.operators import traces
+
+    x = np.sin(np.arange(16) / 3) + np.arange(16)
+    rows = spark.createDataFrame([(x.tolist(),), ([2.0],), ([],)], "v array<double>")
+    got = [r.fine for r in traces.refined(rows, "v", "fine", 4).collect()]
+    assert np.allclose(got[0][::4], x) and [len(g) for g in got] == [64, 4, 0]
