@@ -1,9 +1,9 @@
 """Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
-Matches of the base patterns are the protected entities. Words near an entity may give it away: over the whole corpus,
-the pointwise mutual information of word and entity is compared with the information content of the entity (after
-Sanchez and Batet, 2016). A word whose share of it is DISCLOSURE or more, seen with the entity in SUPPORT different
-surroundings, is generalised wherever it stands."""
+Matches of the base patterns are the protected entities. Words that stand in a text with an entity may give it away: over
+the distinct texts of the whole corpus, the pointwise mutual information of word and entity is compared with the
+information content of the entity (after Sanchez and Batet, 2016). A word whose share of it is DISCLOSURE or more, and that
+stands with the entity in more texts than chance explains, is generalised wherever it stands."""
 
 from __future__ import annotations
 
@@ -23,9 +23,11 @@ PATTERNS = {
 }
 _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _IP = rf"^{_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}$"
-#: Words on either side of an entity that count as near it; least length of a word; different surroundings that a word
-#: must be seen in with an entity; share of the entity's information from which a word discloses it.
-NEAR, LETTERS, SUPPORT, DISCLOSURE = 6, 4, 5, 0.9
+#: Least length of a word; share of the entity's information from which a word discloses it; bound on the chance that any
+#: word at all is tied to an entity by accident.
+LETTERS, DISCLOSURE, ERROR = 4, 0.9, 0.005
+#: Factors that the bound on the chance of a pair has at most.
+FACTORS = 50
 _WORD = r"\p{L}{%d,40}"
 _SPAN = "struct<kind:string,start:int,end:int>"
 
@@ -87,33 +89,60 @@ def _cut(text: Column, span: Column) -> Column:
     return F.substring(text, span["start"] + 1, span["end"] - span["start"])
 
 
-def disclosing_terms(rows: DataFrame, total: int, near: int = NEAR, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(term, entity_kind, share): words that give away an entity of `rows` (_text, _spans); one row a word, its largest share.
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD % LETTERS), F.lit(0)))
 
-    PMI(word, entity) / IC(entity) = log(N n_both / (n_word n_entity)) / log(N / n_entity), with counts of documents of
-    all `rows`. Only words within `near` words of an entity in `support` different surroundings can qualify, so that
-    copies of one text don't make its rare words suspicious; at most 2 * `near` pairs arise from each match."""
-    hit = rows.where(F.size("_spans") > 0).select("_key", "_text", F.explode("_spans").alias("s"))
+
+def chance(total: float, n_both: Column, n_term: Column, n_entity: Column) -> Column:
+    """Log of an upper bound on the chance that a term and an entity strewn over `total` texts meet in `n_both` or more.
+
+    The lesser of C(n_term, j) C(n_entity, j) / C(total, j), j = min(n_both, FACTORS), which is exact if the rarer of
+    the two is always with the other, and Hoeffding's bound exp(-n_term KL(n_both / n_term, n_entity / total))."""
+    n, k, t, e = F.lit(float(total)), n_both.cast("double"), n_term.cast("double"), n_entity.cast("double")
+    each = lambda acc, i: acc + F.log((t - i) * (e - i) / ((n - i) * (i + 1)))
+    subsets = F.aggregate(F.sequence(F.lit(0), F.least(n_both, F.lit(FACTORS)).cast("int") - 1), F.lit(0.0), each)
+    q, p = k / t, e / n
+    rest = F.when((q < 1) & (p < 1), (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    return F.least(subsets, F.when(q > p, -t * (q * F.log(q / p) + rest)).otherwise(0.0), F.lit(0.0))
+
+
+def disclosing_terms(rows: DataFrame, disclosure: float = DISCLOSURE, error: float = ERROR) -> DataFrame:
+    """(term, entity_kind, share): words that give away an entity of `rows` (_key, _text, _spans); one row a word, its largest share.
+
+    PMI(word, entity) / IC(entity) = log(N n_both / (n_word n_entity)) / log(N / n_entity), with counts of distinct
+    texts, wherever in the text the word stands, but for addresses. Copies of one text are one observation, and one says
+    nothing of what goes with what: a pair must be met in two texts at least, and its chance, times the number of words
+    that could be met twice, be at most `error`. Words too common for any share of `disclosure` with an entity (n_both is
+    at most n_entity) are left out before words and entities are paired."""
+    texts = rows.select("_key", F.xxhash64("_text").alias("text"))
+    first = durable(texts.groupBy("text").agg(F.min("_key").alias("_key")))
+    total = float(max(2, first.count()))
+    copies = durable(texts.select("_key").join(first.select("_key"), "_key", "left_anti"))
+    once = rows.join(sized(copies), "_key", "left_anti")
+    hit = rows.where(F.size("_spans") > 0).join(sized(copies), "_key", "left_anti").select("_key", "_text", F.explode("_spans").alias("s"))
     entity = F.concat(F.col("s.kind"), F.lit(":"), F.when(F.col("s.kind") == "email", F.lower(_cut(F.col("_text"), F.col("s")))).when(F.col("s.kind") == "ip", _cut(F.col("_text"), F.col("s"))).otherwise(_digits(_cut(F.col("_text"), F.col("s")))))
-    reach = 24 * near
-    before = F.substring(F.col("_text"), F.greatest(F.lit(1), F.col("s.start") - reach + 1), F.least(F.lit(reach), F.col("s.start")))
-    after = F.substring(F.col("_text"), F.col("s.end") + 1, F.lit(reach))
-    words = lambda t: F.regexp_extract_all(F.lower(t), F.lit(_WORD % LETTERS), F.lit(0))
-    left, right = words(before), words(after)
-    close = F.concat(F.slice(left, F.greatest(F.lit(1), F.size(left) - near + 1), F.lit(near)), F.slice(right, 1, near))
-    places = durable(hit.select("_key", F.xxhash64(entity).alias("entity"), F.col("s.kind").alias("kind"), close.alias("close")))
-    found = places.select("_key", "entity", "kind", F.xxhash64("close").alias("around"), F.explode(F.array_distinct("close")).alias("term"))
-    # Different surroundings first (partial sums for any hot entity), then the documents of what is left.
-    often = found.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    often = durable(often.select(F.col("entity").alias("e"), F.col("term").alias("t")))
-    both = found.join(sized(often), (F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")), "left_semi")
-    both = both.select("entity", "kind", "term", "_key").distinct().groupBy("entity", "kind", "term").agg(F.count("*").alias("n_both"))
-    entities = durable(places.select("entity", "_key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")))
-    pairs = durable(lookup(durable(both), entities, "entity", F.col("n_entity") >= max(1000, int(total * HOT_SHARE))))
-    terms = durable(pairs.select(F.col("term").alias("t")).distinct())
-    counts = term_documents(rows, terms).groupBy("term").agg(F.count("*").alias("n_term"))
-    share = F.log(F.lit(float(max(2, total))) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log(F.lit(float(max(2, total)) + 1) / F.col("n_entity"))
-    found = pairs.join(counts, "term").withColumn("share", share).where(F.col("share") >= disclosure)
+    places = durable(hit.select("_key", F.xxhash64(entity).alias("entity"), F.col("s.kind").alias("kind")).distinct())
+    entities = durable(places.groupBy("entity").agg(F.count_distinct("_key").alias("n_entity")).where("n_entity >= 2"))
+    nothing = rows.sparkSession.createDataFrame([], "term string, entity_kind string, share double")
+    if entities.isEmpty():
+        return nothing
+    places = durable(lookup(places, entities, "entity", F.col("n_entity") >= max(1000, int(total * HOT_SHARE))))
+    # Only addresses have letters; they are entities themselves, not words that go with one.
+    outside = F.when(F.col("_text").contains("@"), F.regexp_replace("_text", PATTERNS["email"], " ")).otherwise(F.col("_text"))
+    counts = once.select(F.explode(_words(outside)).alias("w")).groupBy(F.xxhash64("w").alias("word")).agg(F.count("*").alias("n_term"))
+    counts = durable(counts.where("n_term >= 2"))
+    tried = max(1, counts.count())
+    # log(N k / (t e)) >= d log((N + 1) / e), k <= e: t <= N (e / (N + 1)) ** d
+    most = total * F.pow(F.col("n_entity") / (total + 1), F.lit(disclosure)) * (1 + 1e-9)
+    reach = durable(places.groupBy("_key").agg(F.max(most).alias("most")))
+    near = rows.where(F.size("_spans") > 0).join(sized(reach), "_key").select("_key", "most", F.explode(_words(outside)).alias("term"))
+    near = near.withColumn("word", F.xxhash64("term"))
+    near = lookup(near, counts, "word", F.col("n_term") >= max(1000, int(total * HOT_SHARE))).where(F.col("n_term") <= F.col("most"))
+    pairs = places.join(near.select("_key", "term", "n_term"), "_key").where(F.col("n_term") <= most)
+    pairs = pairs.groupBy("entity", "kind", "term").agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity")).where("n_both >= 2")
+    share = F.log(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log((total + 1) / F.col("n_entity"))
+    by_chance = chance(total, F.col("n_both"), F.col("n_term"), F.col("n_entity")) + F.log(F.lit(float(tried)))
+    found = pairs.withColumn("share", share).where((F.col("share") >= disclosure) & (by_chance <= F.log(F.lit(error))))
     return durable(found.groupBy("term").agg(F.max_by("kind", "share").alias("entity_kind"), F.max("share").alias("share")))
 
 
@@ -121,8 +150,7 @@ def term_documents(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """(_key, term) for each document of `rows` and each of the `terms` (t) in it. No terms: nothing is scanned."""
     if terms.isEmpty():
         return rows.select("_key", F.lit("").alias("term")).where(F.lit(False))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(_WORD % LETTERS), F.lit(0)))
-    return rows.select("_key", F.explode(words).alias("term")).join(sized(terms), F.col("term") == F.col("t"), "left_semi")
+    return rows.select("_key", F.explode(_words(F.col("_text"))).alias("term")).join(sized(terms), F.col("term") == F.col("t"), "left_semi")
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
@@ -154,9 +182,8 @@ def find(docs: DataFrame, text_col: str = "text", **options) -> tuple[DataFrame,
     own = [c for c in kept if c != text_col or docs.schema[c].dataType.typeName() != "string"]
     rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text_col}`").isNull().alias("_null"), text.alias("_text")).withColumn("_found", F.struct(*[v.alias(k) for k, v in each.items()]))
     rows = stored(rows.withColumn("_key", F.monotonically_increasing_id()))
-    total = rows.count()
     slim = rows.select("_key", "_text", F.concat(*[F.col(f"_found.{k}") for k in KINDS]).alias("_spans"))
-    terms = disclosing_terms(slim, total, **options)
+    terms = disclosing_terms(slim, **options)
     hits = term_documents(slim, terms.select(F.col("term").alias("t")))
     if terms.isEmpty():
         with_terms = rows.withColumn("_terms", F.expr("cast(null as array<string>)"))

@@ -83,3 +83,27 @@ def test_sanitise(spark, odd, none):
     assert P.sanitise(none).count() == 0
     clash = texts.withColumn("_text", F.lit(7)).withColumn("_found", F.lit("x"))
     assert P.sanitise(clash).select("_text", "_found").distinct().collect() == [(7, "x")]
+
+
+def test_terms_of_few_texts_anywhere_in_them(spark):
+    """'Quetzalnym' is far from its address and in 2 to 4 texts; words of copies of one text show nothing."""
+    filler = " ".join(["common words without any of it"] * 30)
+    for texts in (2, 3, 4):
+        rows = [(i, f"{'xyzw'[i] * 5} Quetzalnym {filler} zorro@example.org") for i in range(texts)]
+        rows += [(100 + i, f"common words without any of it, number {i}") for i in range(400)]
+        rows += [(600 + i, f"copied rareword {filler} copy@example.org") for i in range(30)]
+        found, terms = P.find(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert [(r.term, r.entity_kind) for r in terms.collect()] == [("quetzalnym", "email")]
+        assert {r.doc_id for r in found.where(F.size("_found.term") > 0).select("doc_id").collect()} == set(range(texts))
+
+
+def test_chance_is_no_less_than_the_exact_tail(spark):
+    from math import comb, log
+
+    cases = [(300, k, t, e) for t in (1, 2, 5, 40, 200) for e in (1, 2, 7, 90) for k in (1, 2, 5, 30) if k <= min(t, e)]
+    df = spark.createDataFrame(cases, "total long, k long, t long, e long")
+    for r in df.withColumn("p", P.chance(300.0, F.col("k"), F.col("t"), F.col("e"))).collect():
+        exact = log(sum(comb(r.e, x) * comb(300 - r.e, r.t - x) for x in range(r.k, min(r.t, r.e) + 1) if r.t - x <= 300 - r.e) / comb(300, r.t))
+        assert r.p >= exact - 1e-9
+        if r.k == min(r.t, r.e):
+            assert abs(r.p - exact) < 1e-6
