@@ -1,10 +1,9 @@
 """Cross-entropy difference: how much likelier a document is in a target model than in a background model.
 
 Both are bigram models of the same order, vocabulary and smoothing. The target is counted over the documents marked as
-target, the background over all. The vocabulary is every word that makes at least VOCAB_SHARE of all tokens (so it has at
-most 1 / VOCAB_SHARE words, whatever the corpus); the others are one unknown word. The score is the mean over a
-document's tokens of log P(target) - log P(background); higher is more like the target. A target document's own counts
-are taken out of the target's bigrams when it is scored itself."""
+target, the background over all. The vocabulary is every word that occurs twice or more, so it grows with the corpus; the
+others are one unknown word. The score is the mean over a document's tokens of log P(target) - log P(background); higher
+is more like the target. A target document's own counts are taken out of the target's bigrams when it is scored itself."""
 
 from __future__ import annotations
 
@@ -16,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, documents, durable, for_python, sized, slices, stored, table
+from .common import HOT_SHARE, documents, durable, for_python, lookup, sized, slices, stored, table
 from .words import emitted, summed, word_hashes
 
-VOCAB_SHARE = 1e-5
+#: Most words that tasks get as sorted arrays; the words of longer vocabularies are numbered by shuffled joins.
+LISTED = 1 << 22
 #: Weight of the bigrams against the unigrams, and of the unigrams against equal shares.
 BIGRAM, UNIGRAM = 0.6, 0.95
 #: Numbers of the unknown word, a text's start and its end; words follow.
@@ -37,20 +37,83 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return emitted(blocks(), ["h", "target", "n"])
 
 
-def _bigrams(batches: Iterator[pa.RecordBatch], vocabulary, frequent=None) -> Iterator[pa.RecordBatch]:
+def _listed(batch: pa.RecordBatch, vocabulary) -> Iterator[np.ndarray]:
+    """Numbers of each text's words, by a sorted vocabulary, with room for START and END."""
+    known = vocabulary.value["h"]
+    for text in batch.column(1).to_pylist():
+        h = word_hashes(text)
+        ids = np.full(len(h) + 2, UNKNOWN, np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            ids[1:-1] = np.where(known[at] == h, at + FIRST, UNKNOWN)
+        yield ids
+
+
+def _gathered(batch: pa.RecordBatch, _) -> Iterator[np.ndarray]:
+    """The same from rows of `numbered_texts`."""
+    for words, length in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        ids = np.full(length + 2, UNKNOWN, np.int64)
+        for word in words:
+            ids[np.array(word["at"]) + 1] = word["number"]
+        yield ids
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, id, target, length, h, at): a row for each text, and one for each of its distinct words with its places."""
+    for batch in slices(batches, 100):
+        out = []
+        for id_, text, target, row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            h = word_hashes(text)
+            out.append((row, id_, target, len(h), None, None))
+            if len(h):
+                order = np.argsort(h, kind="stable")
+                parts = np.split(order, np.flatnonzero(np.diff(h[order])) + 1)
+                out += [(row, None, None, None, int(h[x[0]]), x.tolist()) for x in parts]
+        if out:
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["row", "id", "target", "length", "h", "at"])
+
+
+def numbered(words: DataFrame) -> DataFrame:
+    """`words` with a number each from FIRST on, without a gap."""
+    rows = durable(words.withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    starts = np.cumsum([FIRST, *[r.n for r in sizes]]).tolist()
+    starts = words.sparkSession.createDataFrame([(r.part, at) for r, at in zip(sizes, starts[:-1], strict=True)], "part long, start long")
+    return durable(rows.join(F.broadcast(starts), part == F.col("part")).withColumn("number", F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at", "part", "start"))
+
+
+def numbered_texts(rows: DataFrame, vocabulary: DataFrame, tokens: int) -> DataFrame:
+    """(id, words, target, length): for each text the number and the places of its known words, by shuffled joins."""
+    each = stored(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_places, "row long, id long, target boolean, length int, h long, at array<int>"))
+    found = lookup(each.where("length IS NULL").select("row", "h", "at"), vocabulary.select("h", "number", "n"), "h", F.col("n") >= max(1000, int(tokens * HOT_SHARE)))
+    heads = each.where("length IS NOT NULL").select("row", "id", "target", "length")
+    both = heads.unionByName(found.select("row", F.struct("number", "at").alias("word")), allowMissingColumns=True)
+    texts = both.groupBy("row").agg(F.max("id").alias("id"), F.collect_list("word").alias("words"), F.max("target").alias("target"), F.max("length").alias("length"))
+    return for_python(stored(texts.drop("row")))
+
+
+def _with_sides(batches: Iterator[pa.RecordBatch], sides) -> Iterator[pa.RecordBatch]:
+    """Bigrams with the counts of both of their words, by number."""
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        v, w = key >> 32, key & 0xFFFFFFFF
+        counts = [pa.array(sides.value[name][at]) for at in (v, w) for name in ("target", "n")]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *counts], names=[*batch.schema.names, *_SIDES])
+
+
+_SIDES = ("v_target", "v_n", "w_target", "w_n")
+
+
+def _bigrams(batches: Iterator[pa.RecordBatch], numbers, vocabulary, frequent=None) -> Iterator[pa.RecordBatch]:
     """(id, key, c): the distinct bigrams of each document; c is negative in target documents.
 
     With `frequent` counts, the losses of those bigrams are summed here, into one row for each document and batch with a
     key under 0; its c is their number, t and b their losses in both models."""
-    known = vocabulary.value
     for batch in slices(batches):
         docs, firsts, seconds = [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            h = word_hashes(text)
-            ids = np.full(len(h) + 2, UNKNOWN, np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                ids[1:-1] = np.where(known[at] == h, at + FIRST, UNKNOWN)
+        for i, ids in enumerate(numbers(batch, vocabulary)):
             ids[0], ids[-1] = START, END
             docs.append(np.full(len(ids) - 1, i, np.int64))
             firsts.append(ids[:-1])
@@ -87,39 +150,62 @@ def frequent_losses(f: dict, at: np.ndarray, c: np.ndarray) -> tuple[np.ndarray,
     return out[0], out[1]
 
 
-def cross_entropy_difference(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target", vocab_share: float = VOCAB_SHARE) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target", vocab_share: float = 0.0) -> DataFrame:
     """One row for each id of `docs`: id, n_tokens, target_loss, background_loss (nats a token), score (background less target).
 
     Rows of one id (null ids too) are one document. A null text counts as empty: it is the one token END. A null
-    `target_col` is false. An empty table gives an empty result. Only the three columns are read.
+    `target_col` is false. An empty table gives an empty result. Only the three columns are read. The vocabulary is every
+    word that occurs twice, and makes `vocab_share` of all tokens. Up to LISTED words go to the tasks as arrays; if there
+    are more, words, texts and bigrams meet their numbers and counts in shuffled joins.
 
     Counts are shuffled by bigram after partial sums. For scoring, each document's distinct bigrams look up their counts:
     the at most 1 / HOT_SHARE frequent bigrams by broadcast, the others by a shuffled join."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{target_col}`").cast("boolean"), F.lit(False)).alias("target"))
     words = durable(for_python(rows).mapInArrow(_counted, "h long, target long, n long").groupBy("h").agg(F.sum("target").alias("target"), F.sum("n").alias("n")))
-    tokens = words.agg(F.sum("n")).first()[0] or 0
-    found = words.where((F.col("n") >= 2) & (F.col("n") >= vocab_share * tokens)).toArrow()  # at most 1 / vocab_share rows
-    vocabulary = spark.sparkContext.broadcast(np.sort(found.column("h").to_numpy()))
+    every = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("target"), F.lit(0)).alias("target")).first()
+    known = words.where((F.col("n") >= 2) & (F.col("n") >= vocab_share * every.n))
+    inside = known.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("target"), F.lit(0)).alias("target")).first()
+    listed = inside.words <= LISTED
+    vocabulary, numbers = None, _listed if listed else _gathered
+    if listed:
+        found = known.select("h", "target", "n").toArrow().sort_by("h")
+        found = {k: found.column(k).to_numpy() for k in ("h", "target", "n")}
+        vocabulary, texts = spark.sparkContext.broadcast({"h": found["h"]}), rows
+    else:
+        lexicon = numbered(known)
+        texts = numbered_texts(rows, lexicon, every.n)
     schema = "id long, key long, c int, t float, b float"
     own = F.when(F.col("c") < 0, -F.col("c")).otherwise(0)
-    grams = rows.mapInArrow(lambda b: _bigrams(b, vocabulary), schema)
+    grams = texts.mapInArrow(lambda b: _bigrams(b, numbers, vocabulary), schema)
     pairs = stored(grams.groupBy("key").agg(F.sum(own).alias("target"), F.sum(F.abs("c")).alias("n"), F.count("*").alias("rows")))
-    sums = pairs.agg(F.sum("target").alias("t"), F.sum("n").alias("n"), F.sum("rows").alias("rows")).first()
+    sums = pairs.agg(F.sum("target").alias("t"), F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.count("*").alias("pairs")).first()
     if not sums.rows:
         return spark.createDataFrame([], "id long, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
-    # Counts of each word as a context and as a token; there are no more than words in the vocabulary.
+    # Every word is a context as often as a token; each text has START as one context and END as one token.
+    ends = (sums.t - every.target, sums.n - every.n)
+    others = [(every.target - inside.target, every.n - inside.n), ends, ends]
+    if listed:
+        sides = spark.sparkContext.broadcast({k: np.concatenate([np.array([x[i] for x in others], np.int64), np.array(found[k], np.int64)]) for i, k in enumerate(("target", "n"))})
+    else:
+        counts = lexicon.select("number", "target", "n").unionByName(spark.createDataFrame([(i, *x) for i, x in enumerate(others)], "number long, target long, n long"))
     v, w = F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
-    context = durable(pairs.groupBy(v.alias("vk")).agg(F.sum("target").alias("v_target"), F.sum("n").alias("v_n")))
-    token = durable(pairs.groupBy(w.alias("wk")).agg(F.sum("target").alias("w_target"), F.sum("n").alias("w_n")))
-    size = float(found.num_rows + FIRST)
+
+    def with_sides(df: DataFrame) -> DataFrame:
+        if listed:
+            return df.mapInArrow(lambda b: _with_sides(b, sides), "key long, target long, n long, " + ", ".join(f"{c} long" for c in _SIDES))
+        for side, number in (("v", v), ("w", w)):
+            one = counts.select(F.col("number").alias(side), F.col("target").alias(f"{side}_target"), F.col("n").alias(f"{side}_n"))
+            df = lookup(df.withColumn(side, number), one, side, F.col(f"{side}_n") >= max(1000, int(sums.pairs * HOT_SHARE))).drop(side)
+        return df
+
+    size = float(inside.words + FIRST)
     often = F.col("rows") >= max(1000, int(sums.rows * HOT_SHARE))  # at most 1 / HOT_SHARE bigrams
-    hot = pairs.where(often).join(F.broadcast(context), v == F.col("vk")).join(F.broadcast(token), w == F.col("wk")).orderBy("key").toArrow()
-    names = ("key", "target", "n", "v_target", "v_n", "w_target", "w_n")
+    hot = with_sides(pairs.where(often).select("key", "target", "n")).orderBy("key").toArrow()
+    names = ("key", "target", "n", *_SIDES)
     frequent = spark.sparkContext.broadcast({k: hot.column(k).to_numpy() for k in names} | {"total_target": sums.t or 0, "total_n": sums.n, "size": size})
-    rest = pairs.where(~often).select(F.col("key").alias("cold"), "target", "n")
-    joined = rows.mapInArrow(lambda b: _bigrams(b, vocabulary, frequent), schema).join(rest, F.col("key") == F.col("cold"), "left")
-    joined = joined.join(F.broadcast(context), (v == F.col("vk")) & (F.col("key") >= 0), "left").join(F.broadcast(token), (w == F.col("wk")) & (F.col("key") >= 0), "left")
+    rest = with_sides(pairs.where(~often).select("key", "target", "n")).withColumnRenamed("key", "cold")
+    joined = texts.mapInArrow(lambda b: _bigrams(b, numbers, vocabulary, frequent), schema).join(rest, F.col("key") == F.col("cold"), "left")
 
     def loss(mine, n, context_n, token_n, total, summed_before):
         alone = UNIGRAM * F.col(token_n) / F.lit(float(max(1, total))) + (1 - UNIGRAM) / size

@@ -93,6 +93,18 @@ def test_cross_entropy_difference_against_brute_force(spark, monkeypatch, hot):
     assert L.cross_entropy_difference(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("listed", [0, 1 << 22])
+def test_rare_words_are_in_the_vocabulary(spark, monkeypatch, listed):
+    """Words that occur twice among 300,000 tokens, with a vocabulary that the tasks get whole and with a shuffled one."""
+    monkeypatch.setattr(L, "LISTED", listed)
+    docs = {i: (t, bool(y)) for i, t, y in corpus(60)} | {900: (None, True), 901: ("", None)}
+    docs |= {1000 + i: ("common words " * 2500 + f"rare{i // 2} alone{i} rare{i // 2}", i % 3 == 0) for i in range(60)}
+    df = spark.createDataFrame([(i, t, y) for i, (t, y) in docs.items()], "doc_id long, text string, target boolean")
+    got = {r.doc_id: r.score for r in L.cross_entropy_difference(df).collect()}
+    assert got == pytest.approx(plain_scores(docs, 0.0), abs=1e-6)
+    assert L.cross_entropy_difference(df.limit(0)).count() == 0
+
+
 def test_co_training(spark, odd, none):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "en", "spam" if y else "news") for i, t, y in rows], "doc_id long, text string, lang string, source string")
