@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,9 @@ from .common import documents, durable, for_python, slices, stored
 
 CAPACITY, END = 1024, 0
 DIMS, BITS = 4, 8
-#: Leading bits of a key that name a cell of the curve; there are at most 2 ** CELL_BITS cells.
-CELL_BITS = 16
+#: Bits of a row's place: its key on the curve, then its digest, so that copies lie side by side. The leading CELL_BITS
+#: name a cell; cells over a group's tokens are divided by further bits, into at most about MAX_CELLS at a time.
+PLACE_BITS, CELL_BITS, MAX_CELLS = 63, 16, 1 << 21
 #: Tokens that one group packs, and the most groups there can be (beyond that they grow).
 GROUP_TOKENS, MAX_GROUPS = 1 << 22, 1 << 17
 SPECIAL = "<|endoftext|>"
@@ -120,7 +122,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, folder: str | None = No
 def _packed(rows: pa.Table, capacity: int, with_ids: bool) -> pa.Table:
     """Pieces of one group of neighbouring documents; its first token has the place `origin` among all tokens."""
     id_ = np.array(rows.column("id").to_pylist(), object)
-    order = np.lexsort((rows.column("digest").to_numpy(), rows.column("tie").to_numpy(), rows.column("key").to_numpy()))
+    order = np.lexsort((rows.column("digest").to_numpy(), rows.column("tie").to_numpy(), rows.column("place").to_numpy()))
     place = rows.column("origin")[0].as_py()
     blobs = rows.column("ids")
     out: dict[str, list] = {k: [] for k in _PIECES.names}
@@ -149,21 +151,22 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     documents of their own, side by side; an empty table gives an empty result. Only `id_col` (an integer, may be null)
     and `text_col` are read. `with_ids` false leaves the ids themselves out.
 
-    Tokens are counted by cell of the curve (at most 2 ** CELL_BITS). Cells that hold more than a group (copies, short
-    texts) are divided further by a hash of the row, and runs of smaller ones are joined, so that no group grows with the
-    data. The totals of groups (at most about MAX_GROUPS numbers) give each group's first place in the packed stream."""
+    Tokens are counted by cell of the curve (at most 2 ** CELL_BITS). Cells that hold more than a group are divided by the
+    next bits of the key and then of the digest; only rows of one full key and digest (copies) are divided by a hash of
+    the row. Runs of smaller cells are joined, so that no group grows with the data, and the order is the same however
+    the groups are cut. Their totals (at most about MAX_GROUPS numbers) give each group's first place in the stream."""
     spark = docs.sparkSession
     rows = stored(encoded(docs, id_col, text_col, folder))
-    cell = F.shiftright("key", DIMS * BITS - CELL_BITS)
+    place = F.shiftleft("key", PLACE_BITS - DIMS * BITS) + F.shiftright("digest", 32 - PLACE_BITS + DIMS * BITS)
     tie = F.pmod(F.xxhash64("id", "digest"), F.lit(1 << 30))
-    light = rows.select(cell.alias("cell"), tie.alias("tie"), "n")
-    found = light.groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
-    if found.empty:
+    light = rows.select(place.alias("place"), tie.alias("tie"), "n")
+    total = light.agg(F.sum("n")).first()[0]
+    if not total:
         return spark.createDataFrame([], _SCHEMA).withColumnRenamed("id", id_col)
-    total = int(found.n.sum())
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     target = max(total // MAX_GROUPS, min(GROUP_TOKENS, max(capacity, total // (8 * tasks))))
-    splits = np.maximum(1, -(-found.n.to_numpy() // target))
+    found = leaves(light, target)
+    splits = np.where(found.bits.to_numpy() == PLACE_BITS, np.maximum(1, -(-found.n.to_numpy() // target)), 1)
     first, used = np.zeros(len(found), np.int64), 0
     run = 0
     for i, (n, parts) in enumerate(zip(found.n.tolist(), splits.tolist(), strict=True)):
@@ -175,20 +178,47 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             used += parts
         else:
             run += n
-    places = spark.createDataFrame([*zip(found.cell.tolist(), first.tolist(), splits.tolist(), strict=True)], "place long, first long, parts long")
+    new = np.concatenate([[True], first[1:] != first[:-1]])  # leaves of one group are neighbours
+    begins = (found.cell.to_numpy() << (PLACE_BITS - found.bits.to_numpy()))[new]
+    cuts = spark.sparkContext.broadcast((begins, first[new], splits[new]))
+
+    @F.pandas_udf("long")
+    def group_of(place: pd.Series, tie: pd.Series) -> pd.Series:
+        begins, first, parts = cuts.value
+        at = np.searchsorted(begins, place.to_numpy(), side="right") - 1
+        return pd.Series(first[at] + (tie.to_numpy() * parts[at] >> 30))
 
     def grouped(df: DataFrame) -> DataFrame:
-        part = F.col("first") + F.shiftright(F.col("tie") * F.col("parts"), 30)
-        return df.join(F.broadcast(places), F.col("cell") == F.col("place")).select("*", part.alias("part")).drop("place", "first", "parts", "cell")
+        return df.withColumn("part", group_of("place", "tie"))
 
     sums = durable(grouped(light).groupBy("part").agg(F.sum("n").alias("n"))).orderBy("part").toPandas()
     origins = np.cumsum(sums.n.to_numpy()) - sums.n.to_numpy()
     starts = spark.createDataFrame([*zip(sums.part.tolist(), origins.tolist(), strict=True)], "group long, origin long")
-    ready = grouped(rows.select("id", "key", "digest", "ids", cell.alias("cell"), tie.alias("tie")))
+    ready = grouped(rows.select("id", "digest", "ids", place.alias("place"), tie.alias("tie")))
     ready = ready.join(F.broadcast(starts), F.col("part") == F.col("group")).drop("group")
     return ready.groupBy("part").applyInArrow(lambda t: _packed(t, capacity, with_ids), _SCHEMA).withColumnRenamed("id", id_col)
 
 
+def leaves(light: DataFrame, target: int) -> pd.DataFrame:
+    """(cell, bits, n) in order of the curve: cells of at most `target` tokens, or of one whole place (bits = PLACE_BITS).
+
+    Each round counts only rows in cells over the target, by as many more bits as keep the counts under MAX_CELLS."""
+    done, bits = [], CELL_BITS
+    cell = lambda b: F.shiftright("place", PLACE_BITS - b)
+    while True:
+        now = light.groupBy(cell(bits).alias("cell")).agg(F.sum("n").alias("n")).toPandas().assign(bits=bits)
+        over = (now.n > target) & (bits < PLACE_BITS)
+        done.append(now[~over])
+        hot = now.cell[over].tolist()
+        if not hot:
+            break
+        few = light.sparkSession.createDataFrame([(x,) for x in hot], "hot long")
+        light = light.join(F.broadcast(few), cell(bits) == F.col("hot"), "left_semi")
+        bits = min(PLACE_BITS, bits + max(4, int(np.log2(MAX_CELLS / len(hot)))))
+    found = pd.concat(done, ignore_index=True)
+    return found.iloc[np.argsort(found.cell.to_numpy() << (PLACE_BITS - found.bits.to_numpy()))].reset_index(drop=True)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), with_ids=False).drop("ids")
 

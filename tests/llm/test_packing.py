@@ -55,3 +55,20 @@ def test_hilbert_curve_is_a_walk():
     assert sorted(key.tolist()) == list(range(1 << bits * dims))
     walk = grid[np.argsort(key)]
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_order_is_that_of_the_curve_however_groups_are_cut(spark):
+    """Hot cells: many texts of one word, three of them with copies; the order is by key, and copies are side by side."""
+    texts = [f"word{i % 9} w{i * 7919 % 101}" for i in range(300)] + ["the same text"] * 100 + ["another text"] * 100 + [""] * 100
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    key = {r.id: (r.key, r.digest) for r in K.encoded(df, "doc_id", "text").collect()}
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("1", "4", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            pieces = sorted(K.pack(df, capacity=16).collect(), key=lambda r: (r.sequence_id, r.offset))
+            seen.append([r.doc_id for r in pieces if r.start == 0])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2]
+    assert [key[i] for i in seen[0]] == sorted(key.values())
