@@ -6,6 +6,8 @@ import re
 import struct
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,21 +146,40 @@ def test_sentencepiece_against_the_library(spark, sf):
     pieces = S.Pieces(entries)
     texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").limit(100).collect()]
     texts += ["", " ", "  a  b ", "\n\t x", "😀 Größe über 漢字仮名", "a" * 3000, "▁ mark", "x\u0000y"]
-    for text, (ids, _, _) in zip(texts, pieces.encode(texts), strict=True):
-        want = library.encode(text)
+    offsets, every, _, _ = pieces.encode(pa.array(texts))
+    decoded = pieces.decode(offsets, every)
+    for i, text in enumerate(texts):
+        ids, want = every[offsets[i] : offsets[i + 1]], library.encode(text)
         if ids.tolist() != want:  # another segmentation is as good but for the library's rounding to 32 bits
             worth = lambda x: sum(entries[i][1] for i in x if entries[i][2] == "piece")
             fallback = lambda x: [i for i in x if entries[i][2] == "byte"]
             assert fallback(ids.tolist()) == fallback(want), text[:50]
             assert worth(ids.tolist()) == pytest.approx(worth(want), rel=1e-5), text[:50]
         if S.MARK not in text:
-            assert pieces.decode(ids.tolist()) == text
+            assert decoded[i] == text
 
 
 def test_sentencepiece_columns(spark, odd, none):
     got = S.decode(S.encode(odd)).collect()
     assert sorted(r.decoded for r in got) == sorted(r.text or "" for r in odd.select("text").collect())
     assert S.encode(none).count() == 0
+    again = S.decode(S.decode(S.encode(odd)))  # a column `decoded` is there already
+    assert again.columns == ["doc_id", "ids", "score", "n_fallback", "decoded"]
+    assert sorted(r.decoded for r in again.collect()) == sorted(r.decoded for r in got)
+
+
+def test_sentencepiece_forgets_and_remembers(monkeypatch):
+    monkeypatch.setattr(S, "CACHE", 40)
+    entries, rng = S.vocabulary(), random.Random(5)
+    kept, whole = S.Pieces(entries), S.Pieces(entries)
+    texts = [" ".join(rng.choice("abcdefgh") + rng.choice("rstuvw") * rng.randint(1, 4) for _ in range(12)) for _ in range(60)]
+    monkeypatch.setattr(S, "CACHE", 10_000)
+    want = whole.encode(pa.array(texts))
+    monkeypatch.setattr(S, "CACHE", 40)
+    for at in range(0, 60, 4):
+        got = kept.encode(pa.array(texts[at : at + 4]))
+        assert got[1].tolist() == want[1][want[0][at] : want[0][at + 4]].tolist()
+        assert np.allclose(got[2], want[2][at : at + 4]) and got[3].tolist() == want[3][at : at + 4].tolist()
 
 
 def plain_rule(url):
