@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,28 +21,49 @@ HOT_SHARE = 1 / 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where the session has none (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a session of one process (tests) gets one of its own where it has none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-")
-        if not current.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
+        if current.isDefined():
+            return current.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, at = _hadoop(spark, path)
+    files.delete(at, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """`df` from files in the shared folder, so that later reads survive lost executors and don't recompute it."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As `durable`, but compressed and by columns: for wide tables of which later steps read few columns."""
+def written(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """`df` from Parquet files in a new folder of the shared one, and that folder; it is removed when the driver ends, if not before."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"table-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _hadoop(spark, path)
+    files.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As `durable`, but compressed and by columns: for wide tables of which later steps read few columns."""
+    return written(df)[0]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
