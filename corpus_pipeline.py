@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from strataspark.llm.common import documents, shared_dir, table
+from strataspark.llm.common import documents, remove_folder, table, written
 from strataspark.llm.exact_dedup import drop_exact_copies
 from strataspark.llm.packing import pack
 from strataspark.llm.pii import sanitise
@@ -40,12 +37,12 @@ STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written to the shared folder as Parquet and read again."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        path = os.path.join(shared_dir(spark), f"pipeline-{name}-{uuid.uuid4().hex}")
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        docs, path = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            remove_folder(spark, before)
+        before = path
     return docs
 
 
