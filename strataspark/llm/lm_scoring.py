@@ -1,61 +1,71 @@
 """Cross-entropy difference: how much likelier a document is in a target model than in a background model.
 
-Both are bigram models of the same order, vocabulary and smoothing. The target is counted over the documents marked as
-target, the background over all. The vocabulary is every word that occurs twice or more, so it grows with the corpus; the
-others are one unknown word. The score is the mean over a document's tokens of log P(target) - log P(background); higher
-is more like the target. A target document's own counts are taken out of the target's bigrams when it is scored itself."""
+Both are bigram models of the same order, vocabulary and smoothing (after Moore and Lewis, 2010). The target is counted
+over the documents marked as target, the background over other documents, chosen by a hash so that they hold about as
+many tokens. The vocabulary is every word that occurs twice or more in the whole corpus, so it grows with it; the others
+are one unknown word. The score is the mean over a document's tokens of log P(target) - log P(background); higher is more
+like the target. A document's own counts are taken out of the bigrams of the model that it was counted in.
+
+Texts are turned into numbers once. Bigrams of two of the HOT most frequent words are counted and scored in the tasks; the
+other distinct bigrams of each document are shuffled once, to a place where all occurrences are summed and scored."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, documents, durable, for_python, lookup, sized, slices, stored, table
-from .words import emitted, summed, word_hashes
+from .words import coded_words, emitted, word_hashes
 
 #: Most words that tasks get as sorted arrays; the words of longer vocabularies are numbered by shuffled joins.
 LISTED = 1 << 22
+#: So many most frequent words: a bigram without two of them makes less than about 1 / HOT of all tokens.
+HOT = 1000
 #: Weight of the bigrams against the unigrams, and of the unigrams against equal shares.
 BIGRAM, UNIGRAM = 0.6, 0.95
 #: Numbers of the unknown word, a text's start and its end; words follow.
 UNKNOWN, START, END, FIRST = 0, 1, 2, 3
+#: Sides: neither model, target, background.
+NEITHER, TARGET, BACKGROUND = 0, 1, 2
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def blocks() -> Iterator:
-        for batch in slices(batches):
-            for text, target in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                w = word_hashes(text)
-                if len(w):
-                    yield [w], [np.full(len(w), int(bool(target)), np.int64), np.ones(len(w), np.int64)]
+        for batch in slices(batches, 2000):
+            _, codes, hashes = coded_words(batch.column(0))
+            if len(codes):
+                counts = np.bincount(codes, minlength=len(hashes))
+                yield [hashes[counts > 0]], [counts[counts > 0]]
 
-    return emitted(blocks(), ["h", "target", "n"])
+    return emitted(blocks(), ["h", "n"])
 
 
-def _listed(batch: pa.RecordBatch, vocabulary) -> Iterator[np.ndarray]:
-    """Numbers of each text's words, by a sorted vocabulary, with room for START and END."""
-    known = vocabulary.value["h"]
-    for text in batch.column(1).to_pylist():
-        h = word_hashes(text)
-        ids = np.full(len(h) + 2, UNKNOWN, np.int64)
+def _numbered(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
+    """The words of each text as numbers, by a sorted vocabulary."""
+    known = vocabulary.value
+    for batch in slices(batches, 2000):
+        offsets, codes, hashes = coded_words(batch.column(1))
+        numbers = np.full(len(hashes), UNKNOWN, np.int32)
         if len(known):
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            ids[1:-1] = np.where(known[at] == h, at + FIRST, UNKNOWN)
-        yield ids
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            numbers = np.where(known[at] == hashes, at + FIRST, UNKNOWN).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(numbers[codes]))], names=["id", "target", "ids"])
 
 
-def _gathered(batch: pa.RecordBatch, _) -> Iterator[np.ndarray]:
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same from rows of `numbered_texts`."""
-    for words, length in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-        ids = np.full(length + 2, UNKNOWN, np.int64)
-        for word in words:
-            ids[np.array(word["at"]) + 1] = word["number"]
-        yield ids
+    for batch in slices(batches):
+        lists = []
+        for words, length in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            ids = np.full(length, UNKNOWN, np.int32)
+            for word in words:
+                ids[np.array(word["at"])] = word["number"]
+            lists.append(ids)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lists, pa.list_(pa.int32()))], names=["id", "target", "ids"])
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,146 +95,241 @@ def numbered(words: DataFrame) -> DataFrame:
 
 
 def numbered_texts(rows: DataFrame, vocabulary: DataFrame, tokens: int) -> DataFrame:
-    """(id, words, target, length): for each text the number and the places of its known words, by shuffled joins."""
+    """(id, target, ids): for each text the numbers of its words, by shuffled joins."""
     each = stored(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_places, "row long, id long, target boolean, length int, h long, at array<int>"))
     found = lookup(each.where("length IS NULL").select("row", "h", "at"), vocabulary.select("h", "number", "n"), "h", F.col("n") >= max(1000, int(tokens * HOT_SHARE)))
     heads = each.where("length IS NOT NULL").select("row", "id", "target", "length")
     both = heads.unionByName(found.select("row", F.struct("number", "at").alias("word")), allowMissingColumns=True)
     texts = both.groupBy("row").agg(F.max("id").alias("id"), F.collect_list("word").alias("words"), F.max("target").alias("target"), F.max("length").alias("length"))
-    return for_python(stored(texts.drop("row")))
+    return for_python(texts.drop("row")).mapInArrow(_gathered, _TEXTS)
+
+
+_SUMS = "id long, n long, t double, b double"
+_TEXTS = "id long, target boolean, ids array<int>"
+
+
+def _tokens(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, document): the tokens of all documents of a batch, each with START before and END after them."""
+    sizes = lists.value_lengths().to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(sizes)), sizes + 2)
+    out = np.zeros(len(doc), np.int64)
+    ends = np.cumsum(sizes + 2)
+    inner = np.ones(len(doc), bool)
+    inner[ends - 1] = inner[ends - sizes - 2] = False
+    out[inner] = lists.flatten().to_numpy()
+    out[ends - sizes - 2], out[ends - 1] = START, END
+    return out, doc
+
+
+def _pairs(numbers: np.ndarray, doc: np.ndarray, hot: np.ndarray, ranks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first, second, place): bigrams; place is that of two hot words in a square of counts, else -1."""
+    first, second, doc = numbers[:-1], numbers[1:], doc[1:]
+    inside = first != END
+    first, second, doc = first[inside], second[inside], doc[inside]
+    if ranks is None:
+        at = np.minimum(np.searchsorted(hot, numbers), len(hot) - 1)
+        rank = np.where(hot[at] == numbers, at, -1)
+    else:
+        rank = ranks[numbers]
+    a, b = rank[:-1][inside].astype(np.int64), rank[1:][inside]
+    return doc, first, second, np.where((a >= 0) & (b >= 0), a * len(hot) + b, -1)
 
 
-def _with_sides(batches: Iterator[pa.RecordBatch], sides) -> Iterator[pa.RecordBatch]:
-    """Bigrams with the counts of both of their words, by number."""
-    for batch in batches:
-        key = batch.column(0).to_numpy()
-        v, w = key >> 32, key & 0xFFFFFFFF
-        counts = [pa.array(sides.value[name][at]) for at in (v, w) for name in ("target", "n")]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *counts], names=[*batch.schema.names, *_SIDES])
+def _tallied(batches: Iterator[pa.RecordBatch], hot, size: int | None) -> Iterator[pa.RecordBatch]:
+    """(key, target, background): counts of a task's hot bigrams (key is their place) and of its words (key is -1 - number)."""
+    h, ranks = hot.value
+    square = np.zeros((2, len(h) ** 2), np.int64)
+    words = None if size is None else np.zeros((2, size), np.int64)
 
+    def blocks() -> Iterator:
+        for batch in batches:
+            side = batch.column(0).to_numpy(zero_copy_only=False)
+            numbers, doc = _tokens(batch.column(1))
+            pair_doc, _, _, place = _pairs(numbers, doc, h, ranks)
+            for k, model in enumerate((TARGET, BACKGROUND)):
+                np.add.at(square[k], place[(place >= 0) & (side[pair_doc] == model)], 1)
+                own = numbers[side[doc] == model]
+                if words is not None:
+                    np.add.at(words[k], own, 1)
+                elif len(own):
+                    number, n = np.unique(own, return_counts=True)
+                    yield [-1 - number], [n * (k == 0), n * (k == 1)]
+        for table_, key in ((square, lambda x: x), (words, lambda x: -1 - x)):
+            if table_ is not None and len(at := np.flatnonzero(table_.sum(axis=0))):
+                yield [key(at)], [table_[0, at], table_[1, at]]
+
+    return emitted(blocks(), ["key", "target", "background"])
+
+
+def _losses(alone: list[np.ndarray], inside: list[np.ndarray], n: np.ndarray) -> list[np.ndarray]:
+    """Losses in both models of bigrams that occur n times, from the chance of the word alone and after its context."""
+    return [n * -np.log(BIGRAM * x + (1 - BIGRAM) * a) for a, x in zip(alone, inside, strict=True)]
+
+
+def _alone(token: np.ndarray, total: int, size: float) -> np.ndarray:
+    return UNIGRAM * token / max(1, total) + (1 - UNIGRAM) / size
+
+
+def _hot_losses(batches: Iterator[pa.RecordBatch], hot_words, model) -> Iterator[pa.RecordBatch]:
+    """(id, n, t, b): for each document the number of its bigrams of two hot words, and their losses in both models."""
+    m, (h, ranks) = model.value, hot_words.value
+    size = len(h) ** 2
+    for batch in batches:
+        numbers, doc = _tokens(batch.column(2))
+        side = batch.column(1).to_numpy(zero_copy_only=False)
+        pair_doc, _, _, place = _pairs(numbers, doc, h, ranks)
+        hot = place >= 0
+        found, n = np.unique(pair_doc[hot] * size + place[hot], return_counts=True)
+        d, at = found // size, found % size
+        own = [np.where(side[d] == k, n, 0) for k in (TARGET, BACKGROUND)]
+        alone = [m["hot_alone"][k][at % len(h)] for k in (0, 1)]
+        inside = [np.maximum(m["square"][k][at] - own[k], 0) / np.maximum(1, m["hot_count"][k][at // len(h)]) for k in (0, 1)]
+        sums = [np.bincount(d, weights=x, minlength=batch.num_rows) for x in (n, *_losses(alone, inside, n))]
+        rows = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sums[0][rows].astype(np.int64)), pa.array(sums[1][rows]), pa.array(sums[2][rows])], names=["id", "n", "t", "b"])
+
+
+def _distinct(d: np.ndarray, first: np.ndarray, second: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(d, key, n): the distinct bigrams of each d, and how often it has them. `bits` over 0: d and both words fit in one number."""
+    if bits:
+        packed, n = np.unique(d << 2 * bits | first << bits | second, return_counts=True)
+        low = (1 << bits) - 1
+        return packed >> 2 * bits, (packed >> bits & low) << 32 | packed & low, n
+    key = first << 32 | second
+    order = np.lexsort((key, d))
+    d, key = d[order], key[order]
+    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (key[1:] != key[:-1])])) if len(d) else np.zeros(0, np.int64)
+    return d[new], key[new], np.diff(np.append(new, len(d)))
+
+
+def _cold(batch: pa.RecordBatch, at: int, hot_words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first, second) of all bigrams of a batch but those of two hot words."""
+    numbers, doc = _tokens(batch.column(at))
+    d, first, second, place = _pairs(numbers, doc, *hot_words.value)
+    cold = place < 0
+    return d[cold], first[cold], second[cold]
+
+
+def _bigrams(batches: Iterator[pa.RecordBatch], hot_words, bits: int) -> Iterator[pa.RecordBatch]:
+    """(id, key, c): the distinct bigrams, but those of two hot words, of each document; c is 4 times how often it has them, and its side."""
+    for batch in slices(batches, 1000):
+        d, key, n = _distinct(*_cold(batch, 2, hot_words), bits)
+        side = batch.column(1).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), pa.array(key), pa.array((4 * n + side[d]).astype(np.int32))], names=["id", "key", "c"])
+
+
+def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """(id, n, t, b): losses of rows (id, key, c, counts of the bigram, 32 bits each); further columns are its words' counts, where these are not listed."""
+    m = model.value
+    for batch in batches:
+        key, c, both, *counts = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, batch.num_columns)]
+        n, side, both = c >> 2, c & 3, (both & 0xFFFFFFFF, both >> 32)
+        contexts, tokens = (counts[:2], counts[2:]) if counts else ([m["words"][k][at] for k in (0, 1)] for at in (key >> 32, key & 0xFFFFFFFF))
+        alone = [_alone(x, m["totals"][k], m["size"]) for k, x in enumerate(tokens)]
+        own = [np.where(side == k, n, 0) for k in (TARGET, BACKGROUND)]
+        inside = [np.where(v > 0, (x - mine) / np.maximum(1, v), 0.0) for x, mine, v in zip(both, own, contexts, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), *[pa.array(x) for x in _losses(alone, inside, n)]], names=["id", "n", "t", "b"])
 
-_SIDES = ("v_target", "v_n", "w_target", "w_n")
 
+def _marked(texts: DataFrame, targets: DataFrame) -> DataFrame:
+    """`texts` with `target` where `targets` (one column of ids) has their id. Few ids are broadcast; else numbers, not texts, are shuffled once."""
+    ids = durable(targets.select(F.col(targets.columns[0]).cast("long").alias("_id")).where("_id IS NOT NULL").distinct())
+    side = sized(ids.withColumn("_found", F.lit(True)))
+    apart = F.coalesce("id", F.xxhash64("ids"))  # rows without id are spread, and none of them is a target
+    return texts.join(side, (apart == F.col("_id")) & F.col("id").isNotNull(), "left").select("id", F.col("_found").isNotNull().alias("target"), "ids")
 
-def _bigrams(batches: Iterator[pa.RecordBatch], numbers, vocabulary, frequent=None) -> Iterator[pa.RecordBatch]:
-    """(id, key, c): the distinct bigrams of each document; c is negative in target documents.
 
-    With `frequent` counts, the losses of those bigrams are summed here, into one row for each document and batch with a
-    key under 0; its c is their number, t and b their losses in both models."""
-    for batch in slices(batches):
-        docs, firsts, seconds = [], [], []
-        for i, ids in enumerate(numbers(batch, vocabulary)):
-            ids[0], ids[-1] = START, END
-            docs.append(np.full(len(ids) - 1, i, np.int64))
-            firsts.append(ids[:-1])
-            seconds.append(ids[1:])
-        if not docs:
-            continue
-        keys = np.concatenate(firsts) << 32 | np.concatenate(seconds)
-        (d, key), (c,) = summed([np.concatenate(docs), keys], [np.ones(len(keys), np.int64)])
-        target = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-        c = np.where(target[d], -c, c)
-        t, b = np.zeros(len(d), np.float32), np.zeros(len(d), np.float32)
-        if frequent is not None and len(frequent.value["key"]):
-            f = frequent.value
-            at = np.minimum(np.searchsorted(f["key"], key), len(f["key"]) - 1)
-            hot = f["key"][at] == key
-            losses = frequent_losses(f, at[hot], c[hot])
-            sums = [np.bincount(d[hot], weights=x, minlength=batch.num_rows) for x in (*losses, np.abs(c[hot]))]
-            rows = np.flatnonzero(sums[2])
-            apart = -1 - (rows + np.int64(zlib.crc32(d.tobytes())))  # matches no bigram; spread evenly
-            d, key, c = np.concatenate([d[~hot], rows]), np.concatenate([key[~hot], apart]), np.concatenate([c[~hot], sums[2][rows].astype(np.int64)])
-            t, b = (np.concatenate([np.zeros(int((~hot).sum())), x[rows]]).astype(np.float32) for x in sums[:2])
-        columns = [batch.column(0).take(pa.array(d)), pa.array(key), pa.array(c.astype(np.int32)), pa.array(t), pa.array(b)]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "c", "t", "b"])
-
-
-def frequent_losses(f: dict, at: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Summed losses in the target and the background model of the frequent bigrams at `at`, occurring |c| times each."""
-    out = []
-    for name, own in (("target", np.where(c < 0, -c, 0)), ("n", 0)):
-        alone = UNIGRAM * f[f"w_{name}"][at] / max(1, f[f"total_{name}"]) + (1 - UNIGRAM) / f["size"]
-        context = f[f"v_{name}"][at]
-        inside = np.where(context > 0, (f[name][at] - own) / np.maximum(context, 1), 0.0)
-        out.append(np.abs(c) * -np.log(BIGRAM * inside + (1 - BIGRAM) * alone))
-    return out[0], out[1]
-
-
-def cross_entropy_difference(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target", vocab_share: float = 0.0) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str | None = "target", vocab_share: float = 0.0, targets: DataFrame | None = None) -> DataFrame:
     """One row for each id of `docs`: id, n_tokens, target_loss, background_loss (nats a token), score (background less target).
 
-    Rows of one id (null ids too) are one document. A null text counts as empty: it is the one token END. A null
-    `target_col` is false. An empty table gives an empty result. Only the three columns are read. The vocabulary is every
-    word that occurs twice, and makes `vocab_share` of all tokens. Up to LISTED words go to the tasks as arrays; if there
-    are more, words, texts and bigrams meet their numbers and counts in shuffled joins.
+    Target documents are those with a true `target_col` (null is false), or those whose id is among `targets`, a table of
+    ids. Rows of one id (null ids too) are one document. A null text counts as empty: it is the one token END. Texts are
+    read whole, however long. An empty table gives an empty result. Only the named columns are read. The vocabulary is
+    every word that occurs twice, and makes `vocab_share` of all tokens. Up to LISTED words go to the tasks as arrays; if
+    there are more, words, texts and bigrams meet their numbers and counts in shuffled joins. Without target documents, or
+    without others, a model without counts gives every word the same chance.
 
-    Counts are shuffled by bigram after partial sums. For scoring, each document's distinct bigrams look up their counts:
-    the at most 1 / HOT_SHARE frequent bigrams by broadcast, the others by a shuffled join."""
+    A bigram that is not of two hot words makes less than about 1 / HOT of the rows that are dealt by bigram."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{target_col}`").cast("boolean"), F.lit(False)).alias("target"))
-    words = durable(for_python(rows).mapInArrow(_counted, "h long, target long, n long").groupBy("h").agg(F.sum("target").alias("target"), F.sum("n").alias("n")))
-    every = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("target"), F.lit(0)).alias("target")).first()
-    known = words.where((F.col("n") >= 2) & (F.col("n") >= vocab_share * every.n))
-    inside = known.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("target"), F.lit(0)).alias("target")).first()
-    listed = inside.words <= LISTED
-    vocabulary, numbers = None, _listed if listed else _gathered
+    target = F.lit(False) if targets is not None or target_col is None else F.coalesce(F.col(f"`{target_col}`").cast("boolean"), F.lit(False))
+    rows = for_python(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), target.alias("target")))
+    words = durable(rows.select("text").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    every = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    known = words.where((F.col("n") >= 2) & (F.col("n") >= vocab_share * every))
+    count = known.count()
+    listed = count <= LISTED
     if listed:
-        found = known.select("h", "target", "n").toArrow().sort_by("h")
-        found = {k: found.column(k).to_numpy() for k in ("h", "target", "n")}
-        vocabulary, texts = spark.sparkContext.broadcast({"h": found["h"]}), rows
+        found = known.select("h", "n").toArrow().sort_by("h")
+        vocabulary, often = spark.sparkContext.broadcast(found.column("h").to_numpy()), np.argsort(-found.column("n").to_numpy(), kind="stable")[:HOT] + FIRST
+        texts = stored(rows.mapInArrow(lambda b: _numbered(b, vocabulary), _TEXTS))
     else:
         lexicon = numbered(known)
-        texts = numbered_texts(rows, lexicon, every.n)
-    schema = "id long, key long, c int, t float, b float"
-    own = F.when(F.col("c") < 0, -F.col("c")).otherwise(0)
-    grams = texts.mapInArrow(lambda b: _bigrams(b, numbers, vocabulary), schema)
-    pairs = stored(grams.groupBy("key").agg(F.sum(own).alias("target"), F.sum(F.abs("c")).alias("n"), F.count("*").alias("rows")))
-    sums = pairs.agg(F.sum("target").alias("t"), F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.count("*").alias("pairs")).first()
-    if not sums.rows:
+        often = np.array([r.number for r in lexicon.orderBy(F.desc("n"), "number").limit(HOT).select("number").collect()], np.int64)
+        texts = stored(numbered_texts(rows, lexicon, every))
+    texts = for_python(texts if targets is None else _marked(texts, targets))
+    sizes = {r.target: r.n for r in texts.groupBy("target").agg(F.sum(F.size("ids") + 1).alias("n")).collect()}
+    if not sizes:
         return spark.createDataFrame([], "id long, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
-    # Every word is a context as often as a token; each text has START as one context and END as one token.
-    ends = (sums.t - every.target, sums.n - every.n)
-    others = [(every.target - inside.target, every.n - inside.n), ends, ends]
+    share = min(1.0, sizes.get(True, 0) / max(1, sizes.get(False, 0)))
+    texts = texts.select("id", F.when(F.col("target"), TARGET).when(matched(F.col("id"), F.col("ids"), share), BACKGROUND).otherwise(NEITHER).alias("side"), "ids")
+    often, ranks = np.sort(np.concatenate([[UNKNOWN, START, END], often])), None
+    if listed:
+        ranks = np.full(count + FIRST, -1, np.int16)
+        ranks[often] = np.arange(len(often))
+    hot = spark.sparkContext.broadcast((often, ranks))
+    size = count + FIRST if listed else None
+    tallies = durable(texts.where(F.col("side") != NEITHER).select("side", "ids").mapInArrow(lambda b: _tallied(b, hot, size), "key long, target long, background long").groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
+    bits = int(size).bit_length() if listed and int(size).bit_length() <= 26 else 0
+    model = {"size": float(count + FIRST)}
+    model["square"] = _arrays(tallies.where("key >= 0"), len(often) ** 2)
+    unigrams = tallies.where("key < 0").select((-1 - F.col("key")).alias("key"), "target", "background")
     if listed:
-        sides = spark.sparkContext.broadcast({k: np.concatenate([np.array([x[i] for x in others], np.int64), np.array(found[k], np.int64)]) for i, k in enumerate(("target", "n"))})
+        model["words"] = _arrays(unigrams, count + FIRST)
+        model["hot_count"] = [x[often] for x in model["words"]]
+        model["totals"] = [int(x.sum()) - int(x[START]) for x in model["words"]]
     else:
-        counts = lexicon.select("number", "target", "n").unionByName(spark.createDataFrame([(i, *x) for i, x in enumerate(others)], "number long, target long, n long"))
-    v, w = F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
-
-    def with_sides(df: DataFrame) -> DataFrame:
-        if listed:
-            return df.mapInArrow(lambda b: _with_sides(b, sides), "key long, target long, n long, " + ", ".join(f"{c} long" for c in _SIDES))
-        for side, number in (("v", v), ("w", w)):
-            one = counts.select(F.col("number").alias(side), F.col("target").alias(f"{side}_target"), F.col("n").alias(f"{side}_n"))
-            df = lookup(df.withColumn(side, number), one, side, F.col(f"{side}_n") >= max(1000, int(sums.pairs * HOT_SHARE))).drop(side)
-        return df
-
-    size = float(inside.words + FIRST)
-    often = F.col("rows") >= max(1000, int(sums.rows * HOT_SHARE))  # at most 1 / HOT_SHARE bigrams
-    hot = with_sides(pairs.where(often).select("key", "target", "n")).orderBy("key").toArrow()
-    names = ("key", "target", "n", *_SIDES)
-    frequent = spark.sparkContext.broadcast({k: hot.column(k).to_numpy() for k in names} | {"total_target": sums.t or 0, "total_n": sums.n, "size": size})
-    rest = with_sides(pairs.where(~often).select("key", "target", "n")).withColumnRenamed("key", "cold")
-    joined = texts.mapInArrow(lambda b: _bigrams(b, numbers, vocabulary, frequent), schema).join(rest, F.col("key") == F.col("cold"), "left")
-
-    def loss(mine, n, context_n, token_n, total, summed_before):
-        alone = UNIGRAM * F.col(token_n) / F.lit(float(max(1, total))) + (1 - UNIGRAM) / size
-        inside = F.coalesce(F.try_divide(F.col(n) - mine, F.col(context_n).cast("double")), F.lit(0.0))
-        return F.when(F.col("key") < 0, F.col(summed_before).cast("double")).otherwise(-F.log(BIGRAM * inside + (1 - BIGRAM) * alone) * F.abs("c"))
-
-    target = loss(own, "target", "v_target", "w_target", sums.t or 0, "t")
-    background = loss(F.lit(0), "n", "v_n", "w_n", sums.n, "b")
-    each = joined.groupBy("id").agg(F.sum(F.abs("c")).alias("n_tokens"), F.sum(target).alias("t"), F.sum(background).alias("b"))
+        some = {r.key: (r.target, r.background) for r in unigrams.where(F.col("key").isin(often.tolist())).collect()}
+        model["hot_count"] = [np.array([some.get(x, (0, 0))[k] for x in often.tolist()], np.int64) for k in (0, 1)]
+        sums = unigrams.where(F.col("key") != START).agg(F.coalesce(F.sum("target"), F.lit(0)).alias("t"), F.coalesce(F.sum("background"), F.lit(0)).alias("b")).first()
+        model["totals"] = [sums.t, sums.b]
+    model["hot_alone"] = [_alone(x, model["totals"][k], model["size"]) for k, x in enumerate(model["hot_count"])]
+    shared = spark.sparkContext.broadcast(model)
+    grams = texts.mapInArrow(lambda b: _bigrams(b, hot, bits), "id long, key long, c int")
+    n, side = F.shiftright("c", 2).cast("long"), F.col("c").bitwiseAND(F.lit(3))
+    counts = F.when(side == TARGET, n).when(side == BACKGROUND, F.shiftleft(n, 32)).otherwise(F.lit(0))
+    summed = grams.withColumn("both", F.sum(counts).over(Window.partitionBy("key")))
+    if not listed:
+        counts = unigrams.select(F.col("key").alias("_number"), "target", "background")
+        numbers = lexicon.select("number").unionByName(spark.range(FIRST).withColumnRenamed("id", "number"))
+        counts = durable(numbers.join(counts, F.col("number") == F.col("_number"), "left").select("number", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("target", "background")]))
+        for name, number in (("v", F.shiftright("key", 32)), ("w", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)))):
+            one = counts.select(F.col("number").alias(name), F.col("target").alias(f"{name}_t"), F.col("background").alias(f"{name}_b"))
+            frequent = F.col(f"{name}_t") + F.col(f"{name}_b") >= max(1000, int(every * HOT_SHARE))
+            summed = lookup(summed.withColumn(name, number), one, name, frequent).drop(name)
+    each = summed.mapInArrow(lambda b: _scored(b, shared), _SUMS).unionByName(texts.mapInArrow(lambda b: _hot_losses(b, hot, shared), _SUMS))
+    each = each.groupBy("id").agg(F.sum("n").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
     t, b = F.col("t") / F.col("n_tokens"), F.col("b") / F.col("n_tokens")
     return each.select(F.col("id").alias(id_col), "n_tokens", t.alias("target_loss"), b.alias("background_loss"), (b - t).alias("score"))
 
 
+def matched(id_: Column, ids: Column, share: float) -> Column:
+    """Whether a document that is not a target is drawn for the background: about `share` of them, by a hash of id and length."""
+    return F.pmod(F.xxhash64(id_, F.size(ids)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+
+
+def _arrays(counts: DataFrame, size: int) -> list[np.ndarray]:
+    """Counts of both models by key, from at most `size` rows."""
+    found = counts.select("key", "target", "background").toArrow()
+    out = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
+    for x, name in zip(out, ("target", "background"), strict=True):
+        x[found.column("key").to_numpy()] = found.column(name).to_numpy()
+    return out
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled as of good quality."""
-    good = table(spark, sf_dir, "labels").where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("good_id")).distinct()
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    marked = docs.join(sized(durable(good)), F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("target"))
-    return cross_entropy_difference(marked)
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy_difference(documents(spark, sf_dir).select("doc_id", "text"), target_col=None, targets=good)
 
 
 QUERIES = {"op7_lm_scoring": op7_lm_scoring}

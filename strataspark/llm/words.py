@@ -6,17 +6,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Stripped from both ends of a word.
 MARKS = ".,;:!?\"'()[]{}<>*%&$#|"
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """XXH64 of the lower-case words of `text` without the marks around them, as signed numbers; words of marks only are left out."""
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, codes, hashes): the words of text i are hashes[codes[offsets[i] : offsets[i + 1]]].
+
+    Words are lower case, parted by white space, without the marks around them; words of marks only are left out. A hash
+    is the XXH64 as a signed number. Each distinct word of the batch is hashed once."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    words = [w.strip(MARKS) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
     digest = xxhash.xxh64_intdigest
-    found = [digest(w) for x in (text or "").lower().split() if (w := x.strip(MARKS))]
-    return np.array(found, np.uint64).view(np.int64)
+    hashes = np.array([digest(w) for w in words], np.uint64).view(np.int64)
+    codes = coded.indices.to_numpy()
+    offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))])
+    real = np.array([bool(w) for w in words], bool)
+    if not real.all():
+        keep = real[codes]
+        offsets, codes = np.concatenate([[0], np.cumsum(keep)])[offsets], codes[keep]
+    return offsets, codes, hashes
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """The hashes of one text's words, in order."""
+    _, codes, hashes = coded_words(pa.array([text], pa.string()))
+    return hashes[codes]
 
 
 def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 LONG = "lorem ipsum dolor " * 20000
@@ -29,3 +31,39 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def none(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+class Plans:
+    """What the queries run while it listens have shuffled, with every size check failing and Spark's own broadcasts off."""
+
+    def __init__(self, spark):
+        self.spark, self.found = spark, []
+
+    def note(self, df):
+        mode = self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        for columns in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\n]*)\]\n", df._jdf.queryExecution().explainString(mode)):
+            self.found += [c.split("#")[0].strip() for c in columns.split(",")]
+
+    def shuffled(self):
+        return set(self.found)
+
+    def texts(self):
+        return self.shuffled() & {"text", "_text", "_words", "_row"}
+
+
+@pytest.fixture
+def plans(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from strataspark.llm import common
+
+    found = Plans(spark)
+    monkeypatch.setattr(common, "small", lambda *a, **b: False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    kind = type(spark.range(0))
+    for name in ("checkpoint", "collect", "toPandas", "toArrow", "first"):
+        real = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda df, *a, real=real, **b: (found.note(df), real(df, *a, **b))[1])
+    yield found
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -53,10 +53,15 @@ def test_toxicity_odd_rows(spark, odd, none):
     assert X.toxicity(none, labels).count() == 0
 
 
-def plain_scores(docs, share):
+def plain_scores(spark, docs, share):
+    """{id: score} of {id: (text, target)}."""
     tokens = {i: [w for x in (t or "").lower().split() if (w := x.strip(MARKS))] for i, (t, _) in docs.items()}
     counts = Counter(w for t in tokens.values() for w in t)
     vocab = {w for w, n in counts.items() if n >= 2 and n >= share * sum(counts.values())}
+    rows = spark.createDataFrame([(i, [0] * len(t)) for i, t in tokens.items()], "id long, ids array<int>")
+    sizes = [sum(len(tokens[i]) + 1 for i in docs if bool(docs[i][1]) == side) for side in (True, False)]
+    drawn = {r.id for r in rows.where(L.matched(F.col("id"), F.col("ids"), min(1, sizes[0] / max(1, sizes[1])))).collect()}
+    side = {i: "t" if y else "b" if i in drawn else "" for i, (_, y) in docs.items()}
     grams = {}
     for i, t in tokens.items():
         x = ["<s>", *[w if w in vocab else "<unk>" for w in t], "</s>"]
@@ -65,7 +70,7 @@ def plain_scores(docs, share):
     for name in ("t", "b"):
         both = Counter()
         for i, g in grams.items():
-            if name == "b" or docs[i][1]:
+            if side[i] == name:
                 both.update(g)
         v, w = Counter(), Counter()
         for (a, b), n in both.items():
@@ -77,21 +82,22 @@ def plain_scores(docs, share):
         for name, (both, v, w, total) in models.items():
             loss[name] = 0.0
             for (a, b), n in g.items():
-                own = n if name == "t" and docs[i][1] else 0
+                own = n if side[i] == name else 0
                 alone = L.UNIGRAM * w[b] / total + (1 - L.UNIGRAM) / (len(vocab) + 3)
                 loss[name] -= n * math.log(L.BIGRAM * ((both[a, b] - own) / v[a] if v[a] else 0) + (1 - L.BIGRAM) * alone)
         out[i] = (loss["b"] - loss["t"]) / sum(g.values())
     return out
 
 
-@pytest.mark.parametrize("hot", [1, 10**9])
+@pytest.mark.parametrize("hot", [0, 20, 1000])
 def test_cross_entropy_difference_against_brute_force(spark, monkeypatch, hot):
-    if hot == 1:  # frequent bigrams, looked up within the tasks
-        monkeypatch.setattr(L, "max", lambda a, b: b if a == 1000 else max(a, b), raising=False)
-    docs = {i: (t, bool(y)) for i, t, y in corpus(150)} | {900: (None, True), 901: ("", None)}
+    monkeypatch.setattr(L, "HOT", hot)
+    docs = {i: (t, i % 4 == 0) for i, t, _ in corpus(150)} | {900: (None, True), 901: ("", None)}
     df = spark.createDataFrame([(i, t, y) for i, (t, y) in docs.items()], "doc_id long, text string, target boolean")
     got = {r.doc_id: r.score for r in L.cross_entropy_difference(df, vocab_share=1e-3).collect()}
-    assert got == pytest.approx(plain_scores(docs, 1e-3), abs=1e-5)
+    assert got == pytest.approx(plain_scores(spark, docs, 1e-3), abs=1e-5)
+    named = spark.createDataFrame([(i,) for i, (_, y) in docs.items() if y] * 2 + [(None,), (12345,)], "doc_id long")
+    assert {r.doc_id: r.score for r in L.cross_entropy_difference(df.drop("target"), target_col=None, vocab_share=1e-3, targets=named).collect()} == pytest.approx(got)
     assert L.cross_entropy_difference(df.limit(0)).count() == 0
 
 
@@ -99,14 +105,26 @@ def test_cross_entropy_difference_against_brute_force(spark, monkeypatch, hot):
 def test_rare_words_are_in_the_vocabulary(spark, monkeypatch, listed):
     """Words that occur twice among 300,000 tokens, with a vocabulary that the tasks get whole and with a shuffled one."""
     monkeypatch.setattr(L, "LISTED", listed)
+    monkeypatch.setattr(L, "HOT", 5)
     docs = {i: (t, bool(y)) for i, t, y in corpus(60)} | {900: (None, True), 901: ("", None)}
     docs |= {1000 + i: ("common words " * 2500 + f"rare{i // 2} alone{i} rare{i // 2}", i % 3 == 0) for i in range(60)}
     df = spark.createDataFrame([(i, t, y) for i, (t, y) in docs.items()], "doc_id long, text string, target boolean")
     got = {r.doc_id: r.score for r in L.cross_entropy_difference(df).collect()}
-    assert got == pytest.approx(plain_scores(docs, 0.0), abs=1e-6)
+    assert got == pytest.approx(plain_scores(spark, docs, 0.0), abs=1e-6)
     assert L.cross_entropy_difference(df.limit(0)).count() == 0
 
 
+def test_language_models_of_odd_rows(spark, odd, none, plans):
+    """Null and repeated ids, extra columns with clashing names, no targets or only targets; no text is shuffled."""
+    targets = spark.createDataFrame([(1,), (5,), (None,)], "doc_id long")
+    for given in (targets, targets.limit(0), odd.select("doc_id")):
+        rows = L.cross_entropy_difference(odd, target_col=None, targets=given).collect()
+        assert sorted(map(str, {r.doc_id for r in rows})) == sorted(map(str, {r.doc_id for r in odd.select("doc_id").collect()})) and len(rows) == 8
+        assert all(math.isfinite(r.score) for r in rows)
+    assert L.cross_entropy_difference(none, target_col=None, targets=targets).count() == 0
+    assert plans.shuffled() and not plans.texts()
+
+
 def test_co_training(spark, odd, none):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "en", "spam" if y else "news") for i, t, y in rows], "doc_id long, text string, lang string, source string")
