@@ -55,7 +55,7 @@ def written(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
     """`df` from Parquet files in a new folder of the shared one, and that folder; it is removed when the driver ends, if not before."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     files, at = _hadoop(spark, path)
     files.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path), path
@@ -106,6 +106,19 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def label_sample(labels: DataFrame, id_col: str, y_col: str, each: int) -> tuple[DataFrame, dict[int, float]]:
+    """((_label_id, y), {class: weight}): about `each` labels of each class, chosen by a hash of the id, to be broadcast.
+
+    `labels` is one row an id with y 0 or 1. A label of a class stands for `weight` of them. The sample is bounded before
+    it meets any document, so that no document is shuffled to meet a label."""
+    known = durable(labels.select(F.col(id_col).alias("_label_id"), F.col(y_col).cast("int").alias("y")))
+    totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rates = {y: min(1.0, each / n) for y, n in totals.items()}
+    place = F.pmod(F.xxhash64("_label_id", F.lit(11)), F.lit(1 << 30))
+    limit = F.when(F.col("y") == 1, int((1 << 30) * rates.get(1, 1.0))).otherwise(int((1 << 30) * rates.get(0, 1.0)))
+    return known.where(place < limit), {y: 1 / r for y, r in rates.items()}
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, hot: Column) -> DataFrame:
     """Inner join of `rows` with `table` (one row for each key) that no frequent key can overload.
 
