@@ -7,27 +7,26 @@ from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, WS, documents, durable, lookup
 
-#: Bits of the filter: FILTER_LOAD for each row, a power of two within these bounds (at most 32 MB of bitmaps).
-FILTER_LOAD, FILTER_MIN_BITS, FILTER_MAX_BITS = 16, 1 << 15, 1 << 28
+#: Bits of the filter: FILTER_LOAD for each repeated hash, a power of two within these bounds. At the upper one (128 MB
+#: of bitmaps) 67 million different repeated texts have a bit in 16 each; up to 500 million the filter still clears half the rows.
+FILTER_LOAD, FILTER_MIN_BITS, FILTER_MAX_BITS = 16, 1 << 15, 1 << 30
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WS, " ")
 
 
-def repeat_filter(hashes: DataFrame, total: int) -> tuple[DataFrame, int]:
-    """(bucket, bits): the Bloom filter of slots that two or more rows of `hashes` (h long) fall into, and its size.
+def repeat_filter(hashes: DataFrame) -> tuple[DataFrame, int]:
+    """(bucket, bits): the Bloom filter of the hashes that two or more rows of `hashes` (h long) have, and its size.
 
-    First pass over the hashes: rows are counted by slot (a partial sum in each task, then 16 bytes a slot are
-    shuffled), and the slots counted twice set bits. A hash that occurs twice always has its bit set; of the others
-    about 1 / FILTER_LOAD do. Beyond FILTER_MAX_BITS the filter lets more rows through; the results stay exact."""
-    bits = min(FILTER_MAX_BITS, max(FILTER_MIN_BITS, 1 << (FILTER_LOAD * max(1, total) - 1).bit_length()))
-    slot = F.col("h").bitwiseAND(F.lit(bits - 1))
-    repeated = hashes.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).where("n > 1")
-    return (
-        repeated.groupBy(F.shiftright("slot", 15).alias("bucket")).agg(F.expr("bitmap_construct_agg(slot & 32767)").alias("bits")),
-        bits,
-    )
+    First pass over the hashes: rows are counted by hash (a partial sum in each task, then 16 bytes a hash are
+    shuffled). Only the repeated ones set a bit, so the filter's size and load depend on them alone. A hash that occurs
+    twice always has its bit set; of the others about 1 / FILTER_LOAD do. Beyond FILTER_MAX_BITS more rows get through;
+    the results stay exact."""
+    repeated = durable(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    bits = min(FILTER_MAX_BITS, max(FILTER_MIN_BITS, 1 << (FILTER_LOAD * max(1, repeated.count()) - 1).bit_length()))
+    slots = repeated.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("slot"))
+    return slots.groupBy(F.shiftright("slot", 15).alias("bucket")).agg(F.expr("bitmap_construct_agg(slot & 32767)").alias("bits")), bits
 
 
 def maybe_repeated(rows: DataFrame, flag: str, filters: tuple[DataFrame, int]) -> DataFrame:
@@ -55,7 +54,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("sha"))
     rows = durable(rows.withColumn("_h", F.xxhash64("sha")))
     total = rows.count()
-    bitmaps, bits = repeat_filter(rows.withColumnRenamed("_h", "h"), total)
+    bitmaps, bits = repeat_filter(rows.select(F.col("_h").alias("h")))
     marked = maybe_repeated(rows, "maybe", (durable(bitmaps), bits)).drop("_h")
     single = marked.where("not maybe").select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
     again = marked.where("maybe").drop("maybe")
@@ -75,8 +74,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows the filter clears pass straight through with all their columns. Only the possibly repeated ones are grouped:
     each task first keeps its own smallest row of every text, so that one row a task and text is shuffled."""
     sha = F.sha2(normalised(F.col(f"`{text_col}`")), 256)
-    hashes = durable(docs.select(F.xxhash64(sha).alias("h")))
-    bitmaps, bits = repeat_filter(hashes, hashes.count())
+    hashes = docs.select(F.xxhash64(sha).alias("h"))
+    bitmaps, bits = repeat_filter(hashes)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(whole, F.col(f"`{id_col}`").alias("_id"), sha.alias("_sha")).withColumn("_h", F.xxhash64("_sha"))
     marked = maybe_repeated(rows, "_maybe", (durable(bitmaps), bits))
