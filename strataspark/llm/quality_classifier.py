@@ -1,9 +1,10 @@
-"""Quality classifier by co-training of two views.
+"""Quality classifier by co-training of two views (after Blum and Mitchell, 1998).
 
 One view reads the text (hashed words and shares of symbols, repeats, short words), the other the metadata (language,
-source, length, lines). Each is a naive Bayes model over feature counts of all labelled documents. In every round a view's
-confident labels for unlabelled documents are counted by the other one. Labelled documents of one fold in HOLD calibrate
-the views; the sum of the calibrated log-odds scores all documents."""
+source, length, lines). Each is a naive Bayes model over feature counts of labelled documents. In every round a view
+labels the unlabelled documents that it is most confident of, in both classes in proportion to their labels, and the
+other view counts those that it does not hold to be of the other class itself. Labelled documents of one fold in HOLD calibrate the views; the sum of the calibrated log-odds
+scores all documents."""
 
 from __future__ import annotations
 
@@ -17,14 +18,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable, for_python, sized, slices, stored, table
-from .words import word_hashes
+from .common import documents, for_python, label_sample, slices, stored, table
+from .words import coded_words
 
 #: Features of each view after hashing; the models are that large whatever the corpus.
-SLOTS = {"text": 1 << 16, "meta": 1 << 12}
+SLOTS = {"text": 1 << 16, "meta": 1 << 10}
+#: The first slots of the text view are for the shares; they are summed apart from the many words.
+SHARES = 1 << 10
 ROUNDS, HOLD = 2, 5
-#: A view is sure of a document if its calibrated probability of good quality is at least or at most so much.
-SURE_GOOD, SURE_BAD = 0.97, 0.1
+#: Labels that the views learn from, about half of each class (chosen by a hash of the id); a documented bound, as they are broadcast.
+TRAIN_LABELS = 400_000
+#: In each round a view may label so many more documents of each class, as a share of the labels the class has, and only
+#: documents whose calibrated probability of that class is SURE or more.
+GROWTH, SURE = 1.0, {1: 0.97, 0: 0.8}
 #: Steps of the histogram of raw scores on which a view is calibrated.
 STEPS, LIMIT = 400, 20.0
 SMOOTH = 1.0
@@ -34,8 +40,9 @@ def _slot(name: str, slots: int) -> int:
     return xxhash.xxh64_intdigest(name, 7) % slots
 
 
-def text_features(text: str) -> list[int]:
-    n = SLOTS["text"]
+def text_features(text: str, hashes: np.ndarray) -> list[int]:
+    """Slots of the shares and of the words, whose hashes are given."""
+    n = SLOTS["text"] - SHARES
     words = text.split()
     total = max(1, len(words))
     shares = {
@@ -46,13 +53,13 @@ def text_features(text: str) -> list[int]:
         "digits": sum(map(text.count, "0123456789")) / total,
         "upper": sum(w[:1].isupper() for w in words) / total,
     }
-    found = {_slot(f"{k}:{min(20, int(10 * v))}", n) for k, v in shares.items()}
-    hashed = word_hashes(text)
-    return sorted(found | set((hashed & np.int64(n - 1)).tolist()))
+    found = {_slot(f"{k}:{math.ceil(3 * math.log2(1 + 255 * min(1.0, v)))}", SHARES) for k, v in shares.items()}
+    found.add(_slot(f"letters:{min(80, int(4 * len(text) / total))}", SHARES))
+    return sorted(found | set((SHARES + hashes % n).tolist()))
 
 
 def meta_features(lang: str | None, source: str | None, text: str) -> list[int]:
-    n = SLOTS["meta"]
+    n = SHARES
     length, lines = int(2 * math.log2(1 + len(text))), int(math.log2(1 + text.count("\n")))
     names = (f"lang:{lang}", f"source:{source}", f"length:{length}", f"lines:{lines}", f"lang, length:{lang},{length}", f"lines, length:{lines},{length}")
     return sorted({_slot(x, n) for x in names})
@@ -62,7 +69,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         id_, text, lang, source, good = (batch.column(k) for k in range(5))
         texts = [t or "" for t in text.to_pylist()]
-        views = [text_features(t) for t in texts], [meta_features(a, b, t) for a, b, t in zip(lang.to_pylist(), source.to_pylist(), texts, strict=True)]
+        offsets, codes, hashes = coded_words(text)
+        views = [text_features(t, hashes[np.unique(codes[a:b])]) for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True)], [meta_features(a, b, t) for a, b, t in zip(lang.to_pylist(), source.to_pylist(), texts, strict=True)]
         yield pa.RecordBatch.from_arrays([id_, good, *[pa.array(v, pa.list_(pa.int32())) for v in views]], names=["id", "good", "text", "meta"])
 
 
@@ -73,13 +81,17 @@ class View:
         rate = lambda n, total: np.log((n + SMOOTH) / (total + 2 * SMOOTH))
         self.weights = np.where(good + bad > 1, rate(good, docs[0]) - rate(bad, docs[1]), 0.0)
         self.curve = (0.0, 1.0)
+        self.prior = 0.0
+        self.sure = (-np.inf, np.inf)  # raw scores at or below, and at or above which it labels documents
 
     def raw(self, lists: pa.ListArray) -> np.ndarray:
-        """Sum of the weights over the root of their number, for each list."""
+        """For each list the sum of the weights of its first SHARES slots, and that of the others over the root of their number."""
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        values = self.weights[lists.values.to_numpy()]
-        sums = np.concatenate([[0.0], np.cumsum(values)])[offsets]
-        return np.clip(np.diff(sums) / np.sqrt(np.maximum(1, np.diff(offsets))), -LIMIT, LIMIT)
+        slots = lists.values.to_numpy()
+        words = slots >= SHARES
+        values = self.weights[slots]
+        total = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[offsets])
+        return np.clip(total(np.where(words, 0.0, values)) + total(np.where(words, values, 0.0)) / np.sqrt(np.maximum(1, total(words))), -LIMIT, LIMIT)
 
     def logit(self, lists: pa.ListArray) -> np.ndarray:
         return np.clip(self.curve[0] + self.curve[1] * self.raw(lists), -30, 30)
@@ -94,8 +106,29 @@ def _sure(view: View | None, lists: pa.ListArray) -> np.ndarray:
     """1 where the view is sure of good quality, 0 of bad, else -1."""
     if view is None:
         return np.full(len(lists), -1)
-    logit = view.logit(lists)
-    return np.where(logit >= math.log(SURE_GOOD / (1 - SURE_GOOD)), 1, np.where(logit <= math.log(SURE_BAD / (1 - SURE_BAD)), 0, -1))
+    raw = view.raw(lists)
+    return np.where(raw >= view.sure[1], 1, np.where(raw <= view.sure[0], 0, -1))
+
+
+def _taught(teacher: View | None, seen: pa.ListArray, pupil: View | None, own: pa.ListArray) -> np.ndarray:
+    """The teacher's labels of documents, but for those that the pupil itself would rather give the other label: -1 there."""
+    if teacher is None or pupil is None:
+        return np.full(len(seen), -1)
+    y, logit = _sure(teacher, seen), pupil.logit(own)
+    return np.where(((y == 1) & (logit >= pupil.prior)) | ((y == 0) & (logit <= pupil.prior)), y, -1)
+
+
+def certain(view: View, steps: np.ndarray, counts: np.ndarray, quota: tuple[float, float]) -> tuple[float, float]:
+    """Raw scores between which a view labels nothing: outside it is SURE of the class, and at most `quota` (bad, good) unlabelled documents are.
+
+    `counts` are the unlabelled documents by step of the raw score; documents of one step go together."""
+    seen = np.bincount(steps, weights=counts, minlength=STEPS + 1)
+    value = np.arange(STEPS + 1) / STEPS * 2 * LIMIT - LIMIT
+    p = 1 / (1 + np.exp(-np.clip(view.curve[0] + view.curve[1] * value, -30, 30)))
+    low = np.flatnonzero((np.cumsum(seen) <= quota[0]) & (1 - p >= SURE[0]))
+    high = np.flatnonzero((np.cumsum(seen[::-1])[::-1] <= quota[1]) & (p >= SURE[1]))
+    half = LIMIT / STEPS
+    return (value[low[-1]] + half if len(low) else -np.inf, value[high[0]] - half if len(high) else np.inf)
 
 
 def _counts(batches: Iterator[pa.RecordBatch], views) -> Iterator[pa.RecordBatch]:
@@ -106,7 +139,7 @@ def _counts(batches: Iterator[pa.RecordBatch], views) -> Iterator[pa.RecordBatch
         label = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         lists = {"text": _whole(batch.column(1)), "meta": _whole(batch.column(2))}
         for name, other in (("text", "meta"), ("meta", "text")):
-            y = np.where(label >= 0, label, np.where(label == -1, _sure(current.get(other), lists[other]), -1))
+            y = np.where(label >= 0, label, np.where(label == -1, _taught(current.get(other), lists[other], current.get(name), lists[name]), -1))
             each = np.repeat(y, np.diff(lists[name].offsets.to_numpy()))
             slots = lists[name].values.to_numpy()
             for k, row in ((1, 0), (0, 1)):
@@ -134,24 +167,29 @@ def _scores(batches: Iterator[pa.RecordBatch], views, prior: float) -> Iterator[
         yield pa.RecordBatch.from_arrays([batch.column(0), p(each[0]), p(each[1]), p(each[0] + each[1] - prior)], names=["id", "text_score", "meta_score", "score"])
 
 
-def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rounds: int = ROUNDS) -> DataFrame:
+def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rounds: int = ROUNDS, train_labels: int = TRAIN_LABELS) -> DataFrame:
     """One row for each row of `docs`: id, labelled, text_score, meta_score, score (0 to 1, of good quality), predicted.
 
     `labels` has `id_col` and quality (1 good, 0 bad); ids that repeat count once, with their lowest label; null ids and
-    labels don't count. Null texts count as empty; a null language or source is a value of its own. If a class has no
-    labels, every score is 0.5. Only the four columns are read; an empty table gives an empty result.
+    labels don't count. About `train_labels` of them are learned from (`labelled` tells which documents have one); they are
+    bounded before they meet the documents, so that no text is shuffled. Null texts count as empty; a null language or
+    source is a value of its own. Texts are read whole, however long; rows that repeat count each. If a class has no
+    labels, every score is 0.5. A score of 0.5 is predicted 1. Only the four columns are read; an empty table gives an
+    empty result.
 
     All documents are counted in each round: a task sums its own rows by feature, and the sums (at most SLOTS a task) are
     shuffled. Models and histograms have a fixed size."""
     spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col(id_col).alias("label_id")).agg(F.min("quality").alias("good"))
-    few = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), *[F.col(f"`{c}`").cast("string").alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))])
-    rows = few.join(sized(durable(known)), F.col("id") == F.col("label_id"), "left").select("id", "text", "lang", "source", F.coalesce("good", F.lit(-1)).cast("int").alias("good"))
+    few, weights = label_sample(known, "label_id", "good", train_labels // 2)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), *[F.col(f"`{c}`").cast("string").alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))])
+    rows = rows.join(F.broadcast(few), F.col("id") == F.col("_label_id"), "left").select("id", "text", "lang", "source", F.coalesce("y", F.lit(-1)).cast("int").alias("good"))
     data = stored(for_python(rows).mapInArrow(_features, "id long, good int, text array<int>, meta array<int>"))
     held = (F.col("good") >= 0) & (F.pmod(F.xxhash64("id"), F.lit(HOLD)) == 0)
     marked = data.select(F.when(held, F.lit(-2)).otherwise(F.col("good")).alias("y"), "text", "meta")  # -2: neither counted nor given a label
+    numbers = {r.y: r.n for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     views: dict[str, View] = {}
-    for _ in range(rounds + 1):
+    for at in range(rounds + 1):
         current = spark.sparkContext.broadcast(views)
         sums = marked.mapInArrow(lambda b, v=current: _counts(b, v), "view string, slot int, good long, bad long").groupBy("view", "slot").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas()
         views = {}
@@ -163,17 +201,20 @@ def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             good[own.slot], bad[own.slot] = own.good, own.bad
             views[name] = View(good, bad, (float(total.good.sum()), float(total.bad.sum())))
         new = spark.sparkContext.broadcast(views)
-        shown = data.where(held).select("good", "text", "meta").mapInArrow(lambda b, v=new: _histogram(b, v), "view string, step int, y int, n long").groupBy("view", "step", "y").agg(F.sum("n").alias("n")).toPandas()
-        if shown.y.nunique() < 2:
+        shown = data.select(F.when(held, F.col("good")).when(F.col("good") < 0, -1).otherwise(-2).alias("y"), "text", "meta").where("y > -2").mapInArrow(lambda b, v=new: _histogram(b, v), "view string, step int, y int, n long").groupBy("view", "step", "y").agg(F.sum("n").alias("n")).toPandas()
+        if not {0, 1} <= set(shown.y):
             views = {}
             break
         prior = None
         for name, view in views.items():
-            own = shown[shown["view"] == name]
+            own = shown[(shown["view"] == name) & (shown.y >= 0)]
+            n = own.n.to_numpy() * np.where(own.y == 1, weights[1], weights[0])
             x = (own.step.to_numpy() / STEPS * 2 * LIMIT - LIMIT)[:, None]
-            view.curve = tuple(calibrated(x, own.y.to_numpy().astype(float), own.n.to_numpy().astype(float)))
-            share = float((own.y * own.n).sum() / own.n.sum())
-            prior = math.log(share / (1 - share))
+            view.curve = tuple(calibrated(x, own.y.to_numpy().astype(float), n))
+            share = float((own.y * n).sum() / n.sum())
+            view.prior = prior = math.log(share / (1 - share))
+            rest = shown[(shown["view"] == name) & (shown.y == -1)]
+            view.sure = certain(view, rest.step.to_numpy(), rest.n.to_numpy(), tuple((at + 1) * GROWTH * numbers.get(y, 0) for y in (0, 1)))
     out = [F.col("id").alias(id_col), (F.col("good") >= 0).alias("labelled")]
     if not views:
         half = F.lit(0.5)
