@@ -1,9 +1,10 @@
 """Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
-Matches of the base patterns are the protected entities. Words that stand in a text with an entity may give it away: over
-the distinct texts of the whole corpus, the pointwise mutual information of word and entity is compared with the
-information content of the entity (after Sanchez and Batet, 2016). A word whose share of it is DISCLOSURE or more, and that
-stands with the entity in more texts than chance explains, is generalised wherever it stands."""
+Matches of the base patterns are the protected entities, on three levels: the value itself, its kind, and personal data
+of any kind. Words that stand in a text with an entity may give it away: over the distinct texts of the whole corpus, the
+pointwise mutual information of word and entity is compared with the information content of the entity (after Sanchez
+and Batet, 2016). A word whose share of it is DISCLOSURE or more, and that stands with the entity in more texts than
+chance explains, is generalised wherever it stands."""
 
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _IP = rf"^{_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}$"
 #: Least length of a word; share of the entity's information from which a word discloses it; bound on the chance that any
 #: word at all is tied to an entity by accident.
-LETTERS, DISCLOSURE, ERROR = 4, 0.9, 0.005
+LETTERS, DISCLOSURE, ERROR = 4, 0.8, 0.005
 #: Factors that the bound on the chance of a pair has at most.
 FACTORS = 50
 _WORD = r"\p{L}{%d,40}"
@@ -109,6 +110,7 @@ def chance(total: float, n_both: Column, n_term: Column, n_entity: Column) -> Co
 def disclosing_terms(rows: DataFrame, disclosure: float = DISCLOSURE, error: float = ERROR) -> DataFrame:
     """(term, entity_kind, share): words that give away an entity of `rows` (_key, _text, _spans); one row a word, its largest share.
 
+    An entity is a value, a kind, or any personal data at all (entity_kind `any`).
     PMI(word, entity) / IC(entity) = log(N n_both / (n_word n_entity)) / log(N / n_entity), with counts of distinct
     texts, wherever in the text the word stands, but for addresses. Copies of one text are one observation, and one says
     nothing of what goes with what: a pair must be met in two texts at least, and its chance, times the number of words
@@ -121,7 +123,8 @@ def disclosing_terms(rows: DataFrame, disclosure: float = DISCLOSURE, error: flo
     once = rows.join(sized(copies), "_key", "left_anti")
     hit = rows.where(F.size("_spans") > 0).join(sized(copies), "_key", "left_anti").select("_key", "_text", F.explode("_spans").alias("s"))
     entity = F.concat(F.col("s.kind"), F.lit(":"), F.when(F.col("s.kind") == "email", F.lower(_cut(F.col("_text"), F.col("s")))).when(F.col("s.kind") == "ip", _cut(F.col("_text"), F.col("s"))).otherwise(_digits(_cut(F.col("_text"), F.col("s")))))
-    places = durable(hit.select("_key", F.xxhash64(entity).alias("entity"), F.col("s.kind").alias("kind")).distinct())
+    levels = F.array(*[F.struct(F.xxhash64(e).alias("entity"), k.alias("kind")) for e, k in ((entity, F.col("s.kind")), (F.concat(F.lit("kind:"), F.col("s.kind")), F.col("s.kind")), (F.lit("any:"), F.lit("any")))])
+    places = durable(hit.select("_key", F.explode(levels).alias("l")).select("_key", "l.*").distinct())
     entities = durable(places.groupBy("entity").agg(F.count_distinct("_key").alias("n_entity")).where("n_entity >= 2"))
     nothing = rows.sparkSession.createDataFrame([], "term string, entity_kind string, share double")
     if entities.isEmpty():

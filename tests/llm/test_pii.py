@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -107,3 +109,45 @@ def test_chance_is_no_less_than_the_exact_tail(spark):
         assert r.p >= exact - 1e-9
         if r.k == min(r.t, r.e):
             assert abs(r.p - exact) < 1e-6
+
+
+def plain_terms(texts, disclosure=P.DISCLOSURE, error=P.ERROR):
+    """{term: kind} by the definitions, over plain counts of distinct texts."""
+    n_term, n_entity, both, total = Counter(), Counter(), Counter(), 0
+    for text in {t or "" for t in texts}:
+        total += 1
+        entities = set()
+        for s in plain(text):
+            kind, a, b = s.split(":")
+            value = text[int(a) : int(b)]
+            value = value.lower() if kind == "email" else value if kind == "ip" else re.sub("[^0-9]", "", value)
+            entities |= {(kind, value), (kind, None), ("any", None)}
+        words = set(re.findall(r"[^\W\d_]{4,40}", re.sub(PATTERNS["email"], " ", text).lower()))
+        n_term.update(words)
+        n_entity.update(entities)
+        both.update((w, e) for w in words for e in entities)
+    tried = sum(n >= 2 for n in n_term.values())
+    best: dict = {}
+    for (w, e), k in both.items():
+        t, n = n_term[w], n_entity[e]
+        if k < 2:
+            continue
+        share = math.log(total * k / (t * n)) / math.log((total + 1) / n)
+        subsets = sum(math.log((t - i) * (n - i) / ((total - i) * (i + 1))) for i in range(min(k, P.FACTORS)))
+        q, p = k / t, n / total
+        spread = -t * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 and p < 1 else 0)) if q > p else 0
+        if share >= disclosure and min(subsets, spread, 0) + math.log(tried) <= math.log(error):
+            best[w] = max(best.get(w, (0, "")), (share, e[0]))
+    return {w: kind for w, (_, kind) in best.items()}
+
+
+def test_terms_of_the_corpus_against_brute_force(spark):
+    """The word before a secret tells of personal data in the larger table; the query's spans show it."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = plain_terms(texts.values())
+    _, terms = P.find(docs)
+    assert {r.term: r.entity_kind for r in terms.collect()} == want and "token" in want
+    spans = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("term:")] for r in P.op6_pii(spark, "/root/testdata/sf0.1").collect()}
+    for i, text in texts.items():
+        assert spans[i] == [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]{4,40}", text or "") if m[0].lower() in want]
