@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -25,9 +26,13 @@ DIMS, BITS = 4, 8
 #: Bits of a row's place: its key on the curve, then its digest, so that copies lie side by side. The leading CELL_BITS
 #: name a cell; cells over a group's tokens are divided by further bits, into at most about MAX_CELLS at a time.
 PLACE_BITS, CELL_BITS, MAX_CELLS = 63, 16, 1 << 21
-#: Tokens that one group packs, and the most groups there can be (beyond that they grow).
-GROUP_TOKENS, MAX_GROUPS = 1 << 22, 1 << 17
+#: Tokens that one group packs, and the most groups there are: the driver holds three numbers for each (24 MB). Beyond
+#: 4 * 10^12 tokens groups grow instead; at 3 * 10^13, some 100 TB of text, one has 2^25 tokens, 64 MB.
+GROUP_TOKENS, MAX_GROUPS = 1 << 22, 1 << 20
 SPECIAL = "<|endoftext|>"
+#: White space of this length, which the faster library cannot split, goes to the library of the JSON file.
+LONG_BLANK = 100_000
+_LONG_BLANK = re.compile(r"\s{%d}" % LONG_BLANK)
 
 
 def tokenizer_folder() -> str:
@@ -47,11 +52,23 @@ def _encoding(folder: str):
     return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
 
 
+@cache
+def _plain_encoding(folder: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(os.path.join(folder, "byte_bpe_50k.json"))
+
+
 def encode(text: str, folder: str) -> np.ndarray:
     """Ids of the whole text, then END."""
-    e = _encoding(folder)
-    ids = e.encode(text, allowed_special="all") if SPECIAL in text else e.encode_ordinary(text)
-    return np.append(np.array(ids, np.uint32), np.uint32(END))
+    if len(text) >= LONG_BLANK and _LONG_BLANK.search(text):
+        ids = np.array(_plain_encoding(folder).encode(text, add_special_tokens=False).ids, np.uint32)
+    else:
+        ids = _encoding(folder).encode_to_numpy(text, allowed_special="all" if SPECIAL in text else _NONE, disallowed_special=())
+    return np.append(ids, np.uint32(END))
+
+
+_NONE: frozenset[str] = frozenset()
 
 
 @cache
@@ -62,10 +79,13 @@ def _directions(dims: int) -> np.ndarray:
 
 def vector(ids: np.ndarray, dims: int = DIMS) -> np.ndarray:
     """About normal in every dimension whatever the text's length: signed sums of square roots of the token counts."""
-    slots = np.bincount(ids & np.uint32(0xFFFF))
-    used = np.flatnonzero(slots)
-    weights = np.sqrt(slots[used]).astype(np.float32)
-    return weights @ _directions(dims)[used] / np.sqrt(float(slots.sum()))
+    if len(ids) < 4096:
+        used, counts = np.unique(ids, return_counts=True)
+    else:
+        counts = np.bincount(ids)
+        used = np.flatnonzero(counts)
+        counts = counts[used]
+    return np.sqrt(counts).astype(np.float32) @ _directions(dims)[used] / np.sqrt(float(len(ids)))
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:

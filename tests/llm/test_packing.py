@@ -72,3 +72,24 @@ def test_order_is_that_of_the_curve_however_groups_are_cut(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen[0] == seen[1] == seen[2]
     assert [key[i] for i in seen[0]] == sorted(key.values())
+
+
+def test_very_long_blanks(spark):
+    """White space that the faster library cannot split: ids of the prescribed one."""
+    texts = ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, " " * 300_000 + "x <|endoftext|>", "short"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    check(K.pack(df, with_ids=False).collect(), dict(enumerate(tokens(texts))))
+
+
+def test_sequences_hold_neighbours(spark, sf):
+    """Documents that meet in a sequence are nearer in the space of the curve than documents at random."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL").dropDuplicates(["text"])
+    folder = K.tokenizer_folder()
+    at = {r.doc_id: K.vector(K.encode(r.text, folder)) for r in docs.collect()}
+    together: dict[int, list[int]] = {}
+    for r in K.pack(docs, with_ids=False).collect():
+        together.setdefault(r.sequence_id, []).append(r.doc_id)
+    near = [np.linalg.norm(at[a] - at[b]) for x in together.values() for a in x for b in x if a < b]
+    rng, ids = np.random.default_rng(1), sorted(at)
+    far = [np.linalg.norm(at[a] - at[b]) for a, b in rng.choice(ids, (4000, 2)) if a != b]
+    assert len(near) > 30 and np.mean(near) < 0.8 * np.mean(far)
