@@ -43,7 +43,9 @@ def hill(values: list[Column], fractions: list[Column]) -> Column:
 
 
 def gassmann(dry: Column, mineral: Column, fluid: Column, porosity: Column) -> Column:
-    """Bulk modulus of the saturated rock (Gassmann, 1951); the shear modulus stays that of the dry rock."""
+    """Bulk modulus of the saturated rock (Gassmann, 1951); the shear modulus stays that of the dry rock.
+
+    The last term has the minus sign of the published equation."""
     return dry + F.try_divide(F.pow(1 - dry / mineral, 2), porosity / fluid + (1 - porosity) / mineral - dry / (mineral * mineral))
 
 
@@ -67,14 +69,15 @@ def horizon_above(x: Column, spread: float) -> Column:
 
 
 def tapered(trace: Column, n: int) -> Column:
-    """An array whose first and last `n` samples rise from 0 and fall to it as a squared sine."""
-    weight = lambda place: F.pow(F.sin((place + 0.5) * (math.pi / 2 / n)), F.lit(2.0))
-    near = lambda i: F.least(i, F.size(trace) - 1 - i)
-    return F.transform(trace, lambda v, i: v * F.when(near(i) < n, weight(near(i))).otherwise(1.0))
+    """An array whose first `n` samples rise from 0 by sin^2(pi k / 2n), and whose last `n` fall to it by cos^2(pi (k + 1) / 2n)."""
+    up = lambda k: F.pow(F.sin(k * (math.pi / 2 / n)), F.lit(2.0))
+    down = lambda k: F.pow(F.cos((k + 1) * (math.pi / 2 / n)), F.lit(2.0))
+    start = F.size(trace) - n
+    return F.transform(trace, lambda v, i: v * F.when(i < n, up(i)).otherwise(1.0) * F.when(i >= start, down(i - start)).otherwise(1.0))
 
 
 def survey_day(year: Column, month: Column, day: Column) -> Column:
-    """Day number of a vintage since 1900: no year is day 0, no month is the middle of the year."""
+    """Day number of a vintage since 1900: no year is day 0, no month is the middle of the year, no day is day 15."""
     before = F.get(F.array(*[F.lit(d) for d in DAYS_BEFORE]), (month - 1).cast("int"))
     since = year - 1900
-    return F.coalesce(365 * since + F.floor(since / 4) + F.when(month.isNull(), 182).otherwise(before + F.coalesce(day, F.lit(0))), F.lit(0)).cast("long")
+    return F.coalesce(365 * since + F.floor(since / 4) + F.when(month.isNull(), 182).otherwise(before + F.coalesce(day, F.lit(15))), F.lit(0)).cast("long")

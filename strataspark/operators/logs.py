@@ -47,12 +47,14 @@ def fill_gaps(samples: DataFrame, keys: list[str], order: str, value: str, out:
 
 
 def longest_run(samples: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """(keys, start, length) of the longest run of samples that have a value; the first of equal ones; places count from 0."""
+    """(keys, start, length) of the longest run of samples that have a value; the first of equal ones; places count from 0. Without data: (0, 0)."""
     w = Window.partitionBy(*keys).orderBy(order)
     rows = samples.select(*keys, (F.row_number().over(w) - 1).alias("_at"), F.col(value).isNotNull().alias("_has"))
     inside = rows.where("_has").withColumn("_run", F.col("_at") - F.row_number().over(Window.partitionBy(*keys).orderBy("_at")))
     runs = inside.groupBy(*keys, "_run").agg(F.min("_at").alias("start"), F.count("*").alias("length"))
-    return runs.groupBy(*keys).agg(F.max_by(F.struct("start", "length"), F.struct("length", -F.col("start"))).alias("r")).select(*keys, "r.start", "r.length")
+    best = runs.groupBy(*keys).agg(F.max_by(F.struct("start", "length"), F.struct("length", -F.col("start"))).alias("r"))
+    zero = F.lit(0).cast("long")
+    return samples.select(*keys).distinct().join(best, keys, "left").select(*keys, F.coalesce("r.start", zero).alias("start"), F.coalesce("r.length", zero).alias("length"))
 
 
 def largest_slope(samples: DataFrame, keys: list[str], order: str, x: str, y: str, z: str) -> DataFrame:
@@ -63,11 +65,16 @@ def largest_slope(samples: DataFrame, keys: list[str], order: str, x: str, y: st
     return samples.select(*keys, angle.alias("_angle")).groupBy(*keys).agg(F.max("_angle").alias("max_angle"))
 
 
-def rank_correlation(samples: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """Spearman correlation of two logs in each well, over samples that have both; ties by mean rank."""
+def rank_correlation(samples: DataFrame, keys: list[str], a: str, b: str, order: str) -> DataFrame:
+    """(keys, n, rank_correlation, synthetic) of two logs in each well, over samples that have both.
+
+    Ranks are distinct and count from 0 (ties in `order`); their products are taken about n / 2. A log of which more than
+    0.99 follows from the other is flagged as synthetic."""
     both = samples.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    rank = lambda c: F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
-    return both.select(*keys, rank(a).alias("_a"), rank(b).alias("_b")).groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("rank_correlation"))
+    rank = lambda c: F.row_number().over(Window.partitionBy(*keys).orderBy(c, order)) - 1
+    ranks = both.select(*keys, (rank(a) - F.count("*").over(Window.partitionBy(*keys)) / 2).alias("_a"), (rank(b) - F.count("*").over(Window.partitionBy(*keys)) / 2).alias("_b"))
+    found = ranks.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum(F.col("_a") * F.col("_b")) / F.sum(F.col("_a") * F.col("_a"))).alias("rank_correlation"))
+    return found.withColumn("synthetic", F.col("rank_correlation") > 0.99)
 
 
 def lag_covariance(blocks: DataFrame, keys: list[str], layer: str, a: str, b: str, lags: int) -> DataFrame:

@@ -14,13 +14,17 @@ from pyspark.sql.window import Window
 
 
 def resampled(samples: DataFrame, keys: list[str], z: str, value: str) -> DataFrame:
-    """(keys, k, value) on the well's mean step: means within half a step of each place; both ends are copied."""
+    """(keys, k, value) on the well's mean step, one place for each sample: means within half a step; both ends are copied.
+
+    A place that no sample is near has a null."""
     w = Window.partitionBy(*keys)
     rows = samples.select(*keys, z, value, F.min(z).over(w).alias("_z0"), F.max(z).over(w).alias("_z1"), F.count("*").over(w).alias("_n"))
     k = F.floor(F.try_divide((F.col(z) - F.col("_z0")) * (F.col("_n") - 1), F.col("_z1") - F.col("_z0")) + 0.5)
     bins = rows.groupBy(*keys, F.coalesce(k, F.lit(0)).alias("k"))
     out = bins.agg(F.max("_n").alias("_n"), F.avg(value).alias("_mean"), F.min_by(value, z).alias("_first"), F.max_by(value, z).alias("_last"))
-    return out.select(*keys, "k", F.when(F.col("k") == 0, F.col("_first")).when(F.col("k") == F.col("_n") - 1, F.col("_last")).otherwise(F.col("_mean")).alias(value))
+    out = out.select(*keys, "k", F.when(F.col("k") == 0, F.col("_first")).when(F.col("k") == F.col("_n") - 1, F.col("_last")).otherwise(F.col("_mean")).alias(value))
+    places = samples.groupBy(*keys).agg(F.count("*").alias("_n")).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("k"))
+    return places.join(out, [*keys, "k"], "left")
 
 
 def extrapolated(samples: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
@@ -44,7 +48,7 @@ def peaks(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame
     """`rows` at local extrema, with the refined place (in samples from the row's) and height of a parabola."""
     w = Window.partitionBy(*keys).orderBy(order)
     marked = rows.withColumn("_a", F.lag(value).over(w)).withColumn("_b", F.col(value)).withColumn("_c", F.lead(value).over(w))
-    found = marked.where("(_b > _a AND _b >= _c) OR (_b < _a AND _b <= _c)")
+    found = marked.where("(_b >= _a AND _b > _c) OR (_b <= _a AND _b < _c)")  # the last sample of a plateau
     shift = (F.col("_a") - F.col("_c")) / (2 * (F.col("_a") - 2 * F.col("_b") + F.col("_c")))
     return found.withColumn("shift", shift).withColumn("peak", F.col("_b") - (F.col("_a") - F.col("_c")) * F.col("shift") / 4).drop("_a", "_b", "_c")
 

@@ -46,9 +46,9 @@ def cell_centre(i: Column, j: Column, k: Column, top: Column, base: Column, x0:
     return F.struct((x0 + cos * u - sin * v).alias("x"), (y0 + sin * u + cos * v).alias("y"), (top + (k + 0.5) * (base - top) / nz).alias("z"))
 
 
-def depths(layers: DataFrame, keys: list[str], order: str, velocity: str, dt_ms: str) -> DataFrame:
+def depths(layers: DataFrame, keys: list[str], order: list[str], velocity: str, dt_ms: str) -> DataFrame:
     """`layers` with the depth of each layer's base below the top of its column: summed velocity times half the two-way time."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return layers.withColumn("depth", F.sum(F.col(velocity) * F.col(dt_ms) / 2000).over(w))
 
 

@@ -90,12 +90,15 @@ def filled_log(spark, sf_dir):
     return rounded(L.fill_gaps(samples(spark, sf_dir), ["well"], "ts", "vp", "vp_filled").select("event_id", "well", "vp_filled"))
 
 
-@query(f"""WITH {SAMPLES}, placed AS (SELECT well, vp, row_number() OVER (PARTITION BY well ORDER BY ts) - 1 AS p FROM samples),
+@query(f"""WITH {SAMPLES}, placed AS (SELECT well, CASE WHEN well % 10 <> 0 THEN vp END AS vp, row_number() OVER (PARTITION BY well ORDER BY ts) - 1 AS p FROM samples),
 runs AS (SELECT well, p, p - row_number() OVER (PARTITION BY well ORDER BY p) AS g FROM placed WHERE vp IS NOT NULL),
-sizes AS (SELECT well, min(p) AS start, count(*) AS length FROM runs GROUP BY well, g)
-SELECT well, CAST(start AS BIGINT) AS start, length FROM (SELECT *, row_number() OVER (PARTITION BY well ORDER BY length DESC, start) AS k FROM sizes) WHERE k = 1""")
+sizes AS (SELECT well, min(p) AS start, count(*) AS length FROM runs GROUP BY well, g),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY well ORDER BY length DESC, start) AS k FROM sizes) WHERE k = 1)
+SELECT w.well, CAST(coalesce(start, 0) AS BIGINT) AS start, CAST(coalesce(length, 0) AS BIGINT) AS length FROM (SELECT DISTINCT well FROM samples) w LEFT JOIN best b ON w.well = b.well""")
 def longest_run(spark, sf_dir):
-    return L.longest_run(samples(spark, sf_dir), ["well"], "ts", "vp").select("well", F.col("start").cast("long").alias("start"), "length")
+    """Wells whose number divides by 10 have no data."""
+    rows = samples(spark, sf_dir).withColumn("vp", F.when(F.col("well") % 10 != 0, F.col("vp")))
+    return L.longest_run(rows, ["well"], "ts", "vp")
 
 
 @query("""WITH d AS (SELECT user_id AS well, event_id % 13 - lag(event_id % 13) OVER w AS dx, event_id % 7 - lag(event_id % 7) OVER w AS dy, value - lag(value) OVER w AS dz FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
@@ -105,10 +108,10 @@ def deviation_angle(spark, sf_dir):
     return rounded(L.largest_slope(rows, ["well"], "ts", "x", "y", "z"))
 
 
-@query(f"""WITH {SAMPLES}, ranks AS (SELECT well, rank() OVER (PARTITION BY well ORDER BY vp) + (count(*) OVER (PARTITION BY well, vp) - 1) / 2 AS a, rank() OVER (PARTITION BY well ORDER BY vs) + (count(*) OVER (PARTITION BY well, vs) - 1) / 2 AS b FROM samples WHERE vp IS NOT NULL AND vs IS NOT NULL)
-SELECT well, count(*) AS n, CASE WHEN count(*) > 1 THEN round(corr(a, b), 6) END AS rank_correlation FROM ranks GROUP BY well""")
+@query(f"""WITH {SAMPLES}, ranks AS (SELECT well, row_number() OVER (PARTITION BY well ORDER BY vp, ts) - 1 - count(*) OVER (PARTITION BY well) / 2 AS a, row_number() OVER (PARTITION BY well ORDER BY vs, ts) - 1 - count(*) OVER (PARTITION BY well) / 2 AS b FROM samples WHERE vp IS NOT NULL AND vs IS NOT NULL)
+SELECT well, count(*) AS n, round(sum(a * b) / sum(a * a), 6) + 0.0 AS rank_correlation, sum(a * b) / sum(a * a) > 0.99 AS synthetic FROM ranks GROUP BY well""")
 def rank_correlation(spark, sf_dir):
-    return rounded(L.rank_correlation(samples(spark, sf_dir), ["well"], "vp", "vs"))
+    return rounded(L.rank_correlation(samples(spark, sf_dir), ["well"], "vp", "vs", "ts"))
 
 
 @query(f"""WITH {BLOCKS}, m AS (SELECT avg(ln_vp) AS ma, avg(ln_vs) AS mb FROM blocks)

@@ -16,10 +16,10 @@ __all__ = ["ORACLES", "QUERIES"]
 TREND = [10.0, 40.0, 20.0, 80.0]
 
 
-@query("""WITH p AS (SELECT l_partkey % 500 AS cell, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS part, max(l_quantity) AS v FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY ALL)
+@query("""WITH p AS (SELECT l_partkey % 500 AS cell, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS part, max(l_quantity) AS v FROM lineitem GROUP BY ALL)
 SELECT cell, arg_min(v, part) AS v, CAST(min(part) AS INT) AS part, count(*) AS n_parts FROM p GROUP BY cell""")
 def combined_intervals(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").where("l_suppkey % 3 <> 0").groupBy((F.col("l_partkey") % 500).alias("cell"), "l_returnflag").agg(F.max("l_quantity").alias("v"))
+    rows = read(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 500).alias("cell"), "l_returnflag").agg(F.max("l_quantity").alias("v"))
     return Z.combined([rows.where(F.col("l_returnflag") == f) for f in "ANR"], ["cell"], "v")
 
 
@@ -50,14 +50,11 @@ def cell_centre(spark, sf_dir):
     return rounded(read(spark, sf_dir, "part").select("p_partkey", at.alias("c")).select("p_partkey", "c.x", "c.y", "c.z"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, round(sum((1500 + l_quantity * 20) * 4.0 / 2000) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING), 5) AS depth
-FROM (SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, round(sum((1500 + l_quantity * 20) * 4.0 / 2000) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING), 5) AS depth FROM lineitem""")
 def depth_conversion(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    rows = read(spark, sf_dir, "lineitem").withColumn("_n", F.count("*").over(Window.partitionBy("l_orderkey", "l_linenumber"))).where("_n = 1")
-    rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", (1500 + F.col("l_quantity") * 20).alias("v"), F.lit(4.0).alias("dt"))
-    return rounded(Z.depths(rows, ["l_orderkey"], "l_linenumber", "v", "dt").select("l_orderkey", "l_linenumber", "l_partkey", "depth"), 5)
+    rows = read(spark, sf_dir, "lineitem").withColumn("v", 1500 + F.col("l_quantity") * 20).withColumn("dt", F.lit(4.0))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    return rounded(Z.depths(rows, ["l_orderkey"], order, "v", "dt").select("l_orderkey", "l_linenumber", "l_partkey", "depth"), 5)
 
 
 @query("""SELECT count(*) AS n, count(*) FILTER (p_size > p_retailprice / 40 - 5 OR p_retailprice / 20 < p_retailprice / 25 + 15) AS n_short, round(min(p_retailprice / 40 - 5), 6) AS from_z, round(max(p_retailprice / 25 + 15), 6) AS to_z FROM part""")
@@ -67,9 +64,9 @@ def data_coverage(spark, sf_dir):
     return rounded(Z.coverage(rows, "first", "last", "top", "base", 5.0))
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE value > 300 AND event_id % 3 = 0")
+@query("SELECT DISTINCT user_id FROM events WHERE value BETWEEN 250 AND 480 AND hour(ts) BETWEEN 6 AND 17")
 def wells_inside(spark, sf_dir):
-    return Z.wells_inside(read(spark, sf_dir, "events"), "user_id", (F.col("value") > 300) & (F.col("event_id") % 3 == 0))
+    return Z.wells_inside(read(spark, sf_dir, "events"), "user_id", F.col("value").between(250, 480) & F.hour("ts").between(6, 17))
 
 
 @query("""SELECT n_nationkey, round(sum(500 * p_retailprice / ((p_partkey % 50 - n_nationkey * 2) ** 2 + (p_size - n_regionkey * 10) ** 2 + 10000.0)), 4) AS response FROM part, nation GROUP BY n_nationkey""")
@@ -88,8 +85,9 @@ def facies_mixture(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT user_id, value, event_id * 0.25 + event_id % 3 * 0.0625 AS z FROM events), w AS (SELECT *, min(z) OVER u AS z0, max(z) OVER u AS z1, count(*) OVER u AS n FROM r WINDOW u AS (PARTITION BY user_id)),
-b AS (SELECT *, CAST(coalesce(floor((z - z0) * (n - 1) / nullif(z1 - z0, 0) + 0.5), 0) AS BIGINT) AS k FROM w)
-SELECT user_id, k, round(CASE WHEN k = 0 THEN arg_min(value, z) WHEN k = max(n) - 1 THEN arg_max(value, z) ELSE avg(value) END, 6) AS value FROM b GROUP BY user_id, k""")
+b AS (SELECT *, CAST(coalesce(floor((z - z0) * (n - 1) / nullif(z1 - z0, 0) + 0.5), 0) AS BIGINT) AS k FROM w),
+m AS (SELECT user_id, k, CASE WHEN k = 0 THEN arg_min(value, z) WHEN k = max(n) - 1 THEN arg_max(value, z) ELSE avg(value) END AS value FROM b GROUP BY user_id, k)
+SELECT p.user_id, p.k, round(m.value, 6) AS value FROM (SELECT user_id, CAST(unnest(range(0, count(*))) AS BIGINT) AS k FROM events GROUP BY user_id) p LEFT JOIN m ON p.user_id = m.user_id AND p.k = m.k""")
 def resampled_log(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select("user_id", "value", (F.col("event_id") * 0.25 + F.col("event_id") % 3 * 0.0625).alias("z"))
     return rounded(S.resampled(rows, ["user_id"], "z", "value"))
@@ -108,7 +106,7 @@ def smoothed_log(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT event_id, lag(value) OVER u AS a, value AS b, lead(value) OVER u AS c FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts))
-SELECT event_id, round((a - c) / (2 * (a - 2 * b + c)), 5) + 0.0 AS shift, round(b - (a - c) * ((a - c) / (2 * (a - 2 * b + c))) / 4, 5) AS peak FROM w WHERE (b > a AND b >= c) OR (b < a AND b <= c)""")
+SELECT event_id, round((a - c) / (2 * (a - 2 * b + c)), 5) + 0.0 AS shift, round(b - (a - c) * ((a - c) / (2 * (a - 2 * b + c))) / 4, 5) AS peak FROM w WHERE (b >= a AND b > c) OR (b <= a AND b < c)""")
 def trace_peaks(spark, sf_dir):
     return rounded(S.peaks(read(spark, sf_dir, "events"), ["user_id"], "ts", "value").select("event_id", "shift", "peak"), 5)
 
@@ -154,13 +152,13 @@ def trends_and_horizons(spark, sf_dir):
     return rounded(read(spark, sf_dir, "part").select("p_partkey", R.trend_value(size, 10.0, 8.0, TREND).alias("trend"), R.horizon_above(size - 25, 12.0).alias("above")))
 
 
-@query("""SELECT o_orderkey, CAST(365 * (year(o_orderdate) - 1900) + (year(o_orderdate) - 1900) // 4 + CASE WHEN o_orderkey % 5 = 0 THEN 182 ELSE [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334][month(o_orderdate)] + day(o_orderdate) END AS BIGINT) AS survey_day FROM orders""")
+@query("""SELECT o_orderkey, CAST(365 * (year(o_orderdate) - 1900) + (year(o_orderdate) - 1900) // 4 + CASE WHEN o_orderkey % 5 = 0 THEN 182 ELSE [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334][month(o_orderdate)] + CASE WHEN o_orderkey % 7 = 0 THEN 15 ELSE day(o_orderdate) END END AS BIGINT) AS survey_day FROM orders""")
 def vintage_day(spark, sf_dir):
-    month = F.when(F.col("o_orderkey") % 5 != 0, F.month("o_orderdate"))
-    return read(spark, sf_dir, "orders").select("o_orderkey", R.survey_day(F.year("o_orderdate"), month, F.dayofmonth("o_orderdate")).alias("survey_day"))
+    month, day = F.when(F.col("o_orderkey") % 5 != 0, F.month("o_orderdate")), F.when(F.col("o_orderkey") % 7 != 0, F.dayofmonth("o_orderdate"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", R.survey_day(F.year("o_orderdate"), month, day).alias("survey_day"))
 
 
-@query(f"""SELECT vec_id, round(list_sum(list_transform(embedding, lambda v, i: CAST(v AS DOUBLE) * CASE WHEN least(i - 1, 64 - i) < 8 THEN sin((least(i - 1, 64 - i) + 0.5) * {math.pi / 16!r}) ** 2 ELSE 1 END)), 5) + 0.0 AS total FROM embeddings""")
+@query(f"""SELECT vec_id, round(list_sum(list_transform(embedding, lambda v, i: CAST(v AS DOUBLE) * CASE WHEN i <= 8 THEN sin((i - 1) * {math.pi / 16!r}) ** 2 WHEN i > 56 THEN cos((i - 56) * {math.pi / 16!r}) ** 2 ELSE 1 END)), 5) + 0.0 AS total FROM embeddings""")
 def tapered_traces(spark, sf_dir):
     trace = F.transform("embedding", lambda v: v.cast("double"))
     return rounded(read(spark, sf_dir, "embeddings").select("vec_id", F.aggregate(R.tapered(trace, 8), F.lit(0.0), lambda a, v: a + v).alias("total")), 5)
