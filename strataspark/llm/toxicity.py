@@ -43,7 +43,7 @@ class Model:
         self.contexts = contexts.column("h").to_numpy()
         order = np.argsort(self.contexts)
         self.contexts = self.contexts[order]
-        each = lambda t, a, b: np.array([t.column(b).to_numpy(), t.column(a).to_numpy()], np.float64)
+        each = lambda t, a, b: np.array([t.column(b).to_numpy(), t.column(a).to_numpy()], np.float32)
         self.seen = each(contexts, "toxic", "ordinary")[:, order]
         self.kept = each(contexts, "toxic_mass", "ordinary_mass")[:, order]
         self.words = words.column("w").to_numpy()
@@ -53,9 +53,8 @@ class Model:
         order = np.argsort(code)
         self.pairs, self.both = code[order], each(pairs, "toxic", "ordinary")[:, order]
         self.total = np.array([totals["ordinary"], totals["toxic"]], np.float64)
-        self.mass = np.maximum(self.counts - DISCOUNT, 0).sum(axis=1)
+        self.mass = np.maximum(self.counts - DISCOUNT, 0).sum(axis=1, dtype=np.float64)
         self.types, self.follow = max(1, totals["types"]), max(1, totals["follow"])
-        self.curve = np.zeros(4)
 
     @staticmethod
     def _code(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -107,8 +106,9 @@ class Model:
         n = np.maximum(1, sizes)
         return np.column_stack([sums / n, sums / np.sqrt(n), top / TOP])
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(x)), x]) @ self.curve, -30, 30)))
+
+def probability(x: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(x)), x]) @ curve, -30, 30)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -134,7 +134,7 @@ def _features(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
 
 
 def fit(rows: DataFrame, known: DataFrame, train_docs: int = TRAIN_DOCS):
-    """A broadcast Model from `rows` (id, text) with a label among `known` (label_id, toxic); None if either class is missing.
+    """(A broadcast Model, its curve) from `rows` (id, text) with a label among `known` (label_id, toxic); None if either class is missing.
 
     Three quarters of the sample are counted, the rest fits the curve; there each document counts as many as its class
     has labels for one in the sample."""
@@ -160,16 +160,16 @@ def fit(rows: DataFrame, known: DataFrame, train_docs: int = TRAIN_DOCS):
     if set(data.column("y").to_pylist()) != {0, 1}:
         data = seen("part <> 0")
     y = data.column("y").to_numpy()
-    model.curve = logistic(np.column_stack([data.column(c).to_numpy() for c in "abc"]), y.astype(float), np.where(y == 1, weights[1], weights[0]))
-    return spark.sparkContext.broadcast(model)
+    curve = logistic(np.column_stack([data.column(c).to_numpy() for c in "abc"]), y.astype(float), np.where(y == 1, weights[1], weights[0]))
+    return first, curve
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model, prior: float) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], fitted, prior: float) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 2000):
-        if model is None:
+        if fitted is None:
             scores = np.full(batch.num_rows, prior)
         else:
-            scores = model.value.score(model.value.features(batch.column(0)))
+            scores = probability(fitted[0].value.features(batch.column(0)), fitted[1])
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], names=[*batch.schema.names[1:], "score"])
 
 
@@ -185,9 +185,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").cast("long").alias("id"))
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("label_id")).agg(F.max("toxic").alias("toxic"))
     known = durable(known.where(~held_out(F.col("label_id").cast("long"))))
-    model = fit(for_python(rows), known)
-    share = 0.0 if model is not None else known.agg(F.coalesce(F.min("toxic"), F.lit(0))).first()[0]
-    scored = rows.withColumn("held_out", held_out(F.col("id"))).mapInArrow(lambda b: _scored(b, model, float(share)), "id long, held_out boolean, score double")
+    fitted = fit(for_python(rows), known)
+    share = 0.0 if fitted is not None else known.agg(F.coalesce(F.min("toxic"), F.lit(0))).first()[0]
+    scored = rows.withColumn("held_out", held_out(F.col("id"))).mapInArrow(lambda b: _scored(b, fitted, float(share)), "id long, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
