@@ -1 +1 @@
-"""Part of strataspark; see README."""
+"""Readers of grids, surfaces, wells and wavelets; see files.py."""
