@@ -4,11 +4,14 @@ Two fingerprints that differ in at most RADIUS bits have a word in common among
 each; and fingerprints with such a word in common differ in at most RADIUS bits. So the groups of equal words
 ("variants") give exactly the links. With 64 bits and half a radius of 2 a fingerprint has 2,081 variants. To keep
 them out of the shuffle, it is the fingerprint that is sent to every cell (variants with the same leading bits) in
-which it has variants; the cell makes the variants there, in blocks of bounded size."""
+which it has variants; the cell makes the variants there, in blocks of bounded size. Cells with many fingerprints are
+divided by further bits first, so that a crowded region is many tasks. A fingerprint is sent to 37 cells of 8 bits, and to
+more as the corpus grows (277 of 23 bits for 10^11 documents): about the square of the logarithm."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, connected_components, documents, durable, for_python, fresh, lookup, slices, small
+from .common import HOT_SHARE, connected_components, documents, durable, for_python, fresh, lookup, sized, slices, small
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Variants that a cell makes at once.
 BLOCK = 1 << 21
+#: Fingerprints that a task takes for one cell; a cell with more is divided by its next SPLIT bits, up to LAST bits in all.
+CELL_ROWS, SPLIT, LAST = 1 << 18, 8, 56
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -112,9 +117,9 @@ def _links(fps: np.ndarray, left: np.ndarray, bits: int, labels: np.ndarray, ind
             return
 
 
-def _cell_links(table: pa.Table, width: int, half: int) -> pa.Table:
+def _cell_links(table: pa.Table, half: int) -> pa.Table:
     """Edges (a, b) from each fingerprint of one cell to the smallest it is linked to there, by their smallest ids."""
-    cell = np.uint64(table.column("cell")[0].as_py())
+    cell, width = np.uint64(table.column("cell")[0].as_py()), table.column("width")[0].as_py()
     fps = table.column("fp").to_numpy().view(np.uint64)
     ids = table.column("id").to_numpy().astype(np.int64)
     left = half - np.bitwise_count((fps >> np.uint64(64 - width)) ^ cell).astype(np.int64)
@@ -131,10 +136,30 @@ def links(prints: DataFrame, total: int, radius: int = RADIUS) -> DataFrame:
     half = radius // 2
     wanted = 2081 * max(1, total) // (1 << 25)
     width = min(32, max(8, wanted.bit_length()))
-    around = np.concatenate([_masks(width, k) for k in range(half + 1)]).astype(np.int64).tolist()
-    cells = F.transform(F.lit(around), lambda m: F.shiftrightunsigned(F.col("fp"), 64 - width).bitwiseXOR(m))
-    sent = prints.select("id", "fp", F.explode(cells).alias("cell"))
-    return sent.groupBy("cell").applyInArrow(lambda t: _cell_links(t, width, half), "a long, b long")
+    masks = lambda bits, flips: F.lit(np.concatenate([_masks(bits, k) for k in range(flips + 1)]).astype(np.int64).tolist())
+    lead = lambda bits: F.shiftrightunsigned(F.col("fp"), 64 - bits)
+    around = lambda prefix: F.explode(F.transform(masks(width, half), lambda m: prefix.bitwiseXOR(m))).alias("cell")
+    sent = prints.select("id", "fp", around(lead(width)))
+    counts = prints.groupBy(lead(width).alias("prefix")).agg(F.count("*").alias("n")).select("n", around(F.col("prefix")))
+    dealt = []
+    while True:
+        heavy = durable(counts.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > CELL_ROWS).select("cell"))
+        if width + SPLIT > LAST or heavy.isEmpty():
+            dealt.append(sent.withColumn("width", F.lit(width)))
+            break
+        side = sized(heavy)
+        dealt.append(sent.join(side, "cell", "left_anti").withColumn("width", F.lit(width)))
+        used = F.bit_count(lead(width).bitwiseXOR(F.col("cell")))
+        rest = F.lit(None)
+        for k in range(half, -1, -1):
+            rest = F.when(used == k, masks(SPLIT, half - k)).otherwise(rest)
+        low = lead(width + SPLIT).bitwiseAND(F.lit((1 << SPLIT) - 1))
+        divided = F.transform(rest, lambda m: F.shiftleft("cell", SPLIT).bitwiseOR(low.bitwiseXOR(m)))
+        sent = sent.join(side, "cell", "left_semi").select("id", "fp", F.explode(divided).alias("cell"))
+        width += SPLIT
+        counts = sent.select("cell", F.lit(1).alias("n"))
+    every = reduce(DataFrame.unionByName, dealt)
+    return every.groupBy("width", "cell").applyInArrow(lambda t: _cell_links(t, half), "a long, b long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 
 from strataspark.llm import simhash as S
@@ -39,7 +40,10 @@ def test_against_brute_force(spark, sf):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
-def test_links_of_planted_fingerprints(spark, monkeypatch):
+@pytest.mark.parametrize("rows", [1 << 18, 60])
+def test_links_of_planted_fingerprints(spark, monkeypatch, rows):
+    """Also with cells that are divided."""
+    monkeypatch.setattr(S, "CELL_ROWS", rows)
     monkeypatch.setattr(S, "BLOCK", 1 << 12)
     rng = random.Random(5)
     prints, at = {}, 0
