@@ -23,9 +23,13 @@ def repeat_filter(hashes: DataFrame) -> tuple[DataFrame, int]:
     shuffled). Only the repeated ones set a bit, so the filter's size and load depend on them alone. A hash that occurs
     twice always has its bit set; of the others about 1 / FILTER_LOAD do. Beyond FILTER_MAX_BITS more rows get through;
     the results stay exact."""
-    repeated = durable(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    bits = min(FILTER_MAX_BITS, max(FILTER_MIN_BITS, 1 << (FILTER_LOAD * max(1, repeated.count()) - 1).bit_length()))
-    slots = repeated.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("slot"))
+    return key_filter(durable(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")))
+
+
+def key_filter(keys: DataFrame) -> tuple[DataFrame, int]:
+    """(bucket, bits) of the distinct hashes `keys` (h long; durable), and the filter's size."""
+    bits = min(FILTER_MAX_BITS, max(FILTER_MIN_BITS, 1 << (FILTER_LOAD * max(1, keys.count()) - 1).bit_length()))
+    slots = keys.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("slot"))
     return slots.groupBy(F.shiftright("slot", 15).alias("bucket")).agg(F.expr("bitmap_construct_agg(slot & 32767)").alias("bits")), bits
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, documents, durable, fresh, lookup, sized, small, stored
+from .exact_dedup import key_filter, maybe_repeated
 
 KINDS = ("email", "ip", "card", "phone")
 #: Java forms of the base patterns. Possessive repeats and "at the start of a run, or where the last match ended" (\G)
@@ -29,6 +30,8 @@ _IP = rf"^{_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}$"
 LETTERS, DISCLOSURE, ERROR = 4, 0.8, 0.005
 #: Factors that the bound on the chance of a pair has at most.
 FACTORS = 50
+#: Names of columns that steps on the way give to what they add.
+RESERVED = ("_text", "_key", "_spans", "_found", "_terms", "_null", "_h", "_maybe", "_bucket", "_bits", "_byte", "_at")
 _WORD = r"\p{L}{%d,40}"
 _SPAN = "struct<kind:string,start:int,end:int>"
 
@@ -107,6 +110,23 @@ def chance(total: float, n_both: Column, n_term: Column, n_entity: Column) -> Co
     return F.least(subsets, F.when(q > p, -t * (q * F.log(q / p) + rest)).otherwise(0.0), F.lit(0.0))
 
 
+def divided(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`rows` whose _key is in none of the rows of `keys` (_key; durable), and those where it may be.
+
+    A Bloom filter of the keys tells, so that only texts that may have a partner are shuffled to meet it."""
+    bitmaps, bits = key_filter(durable(keys.select(F.xxhash64("_key").alias("h"))))
+    marked = maybe_repeated(rows.withColumn("_h", F.xxhash64("_key")), "_maybe", (durable(bitmaps), bits)).drop("_h")
+    return marked.where("not _maybe").drop("_maybe"), marked.where("_maybe").drop("_maybe")
+
+
+def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """`rows` whose _key is not in `keys` (_key; durable)."""
+    if small(keys):
+        return rows.join(F.broadcast(keys), "_key", "left_anti")
+    clear, rest = divided(rows, keys)
+    return clear.unionByName(rest.join(keys, "_key", "left_anti"))
+
+
 def disclosing_terms(rows: DataFrame, disclosure: float = DISCLOSURE, error: float = ERROR) -> DataFrame:
     """(term, entity_kind, share): words that give away an entity of `rows` (_key, _text, _spans); one row a word, its largest share.
 
@@ -120,8 +140,8 @@ def disclosing_terms(rows: DataFrame, disclosure: float = DISCLOSURE, error: flo
     first = durable(texts.groupBy("text").agg(F.min("_key").alias("_key")))
     total = float(max(2, first.count()))
     copies = durable(texts.select("_key").join(first.select("_key"), "_key", "left_anti"))
-    once = rows.join(sized(copies), "_key", "left_anti")
-    hit = rows.where(F.size("_spans") > 0).join(sized(copies), "_key", "left_anti").select("_key", "_text", F.explode("_spans").alias("s"))
+    once = without(rows, copies)
+    hit = without(rows.where(F.size("_spans") > 0), copies).select("_key", "_text", F.explode("_spans").alias("s"))
     entity = F.concat(F.col("s.kind"), F.lit(":"), F.when(F.col("s.kind") == "email", F.lower(_cut(F.col("_text"), F.col("s")))).when(F.col("s.kind") == "ip", _cut(F.col("_text"), F.col("s"))).otherwise(_digits(_cut(F.col("_text"), F.col("s")))))
     levels = F.array(*[F.struct(F.xxhash64(e).alias("entity"), k.alias("kind")) for e, k in ((entity, F.col("s.kind")), (F.concat(F.lit("kind:"), F.col("s.kind")), F.col("s.kind")), (F.lit("any:"), F.lit("any")))])
     places = durable(hit.select("_key", F.explode(levels).alias("l")).select("_key", "l.*").distinct())
@@ -177,11 +197,11 @@ def find(docs: DataFrame, text_col: str = "text", **options) -> tuple[DataFrame,
     """(`docs` with a column _found, the disclosing terms). _found: one array of spans for each base kind, then `term`.
 
     Every row is a document; a null text counts as empty and has no spans. Ids are not read. Extra columns pass
-    through, whatever their names, but for _text, _key, _spans, _found, _terms and _null, which are replaced. An empty
+    through, whatever their names, but for those in RESERVED, which are replaced. An empty
     table gives an empty result. The text is stored once, however many columns show it."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     each = base_spans(F.col("_text"))
-    kept = [c for c in docs.columns if c.lower() not in ("_text", "_key", "_spans", "_found", "_terms", "_null")]
+    kept = [c for c in docs.columns if c.lower() not in RESERVED]
     own = [c for c in kept if c != text_col or docs.schema[c].dataType.typeName() != "string"]
     rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text_col}`").isNull().alias("_null"), text.alias("_text")).withColumn("_found", F.struct(*[v.alias(k) for k, v in each.items()]))
     rows = stored(rows.withColumn("_key", F.monotonically_increasing_id()))
@@ -192,7 +212,8 @@ def find(docs: DataFrame, text_col: str = "text", **options) -> tuple[DataFrame,
         with_terms = rows.withColumn("_terms", F.expr("cast(null as array<string>)"))
     else:
         hits = durable(hits.groupBy("_key").agg(F.collect_set("term").alias("_terms")))
-        with_terms = rows.join(F.broadcast(hits) if small(hits, 20_000) else hits, "_key", "left")
+        clear, rest = divided(rows, hits.select("_key"))
+        with_terms = clear.withColumn("_terms", F.expr("cast(null as array<string>)")).unionByName(rest.join(hits, "_key", "left"))
     extra = F.when(F.col("_terms").isNotNull(), _term_spans(F.col("_text"), F.col("_terms"))).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
     found = F.struct(*[F.col(f"_found.{k}").alias(k) for k in KINDS], extra.alias("term")).alias("_found")
     shown = [F.col(f"`{c}`") if c in own else F.when(~F.col("_null"), F.col("_text")).alias(c) for c in kept]
