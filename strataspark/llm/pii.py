@@ -160,7 +160,7 @@ def disclosing_terms(rows: DataFrame, disclosure: float = DISCLOSURE, error: flo
     reach = durable(places.groupBy("_key").agg(F.max(most).alias("most")))
     near = rows.where(F.size("_spans") > 0).join(sized(reach), "_key").select("_key", "most", F.explode(_words(outside)).alias("term"))
     near = near.withColumn("word", F.xxhash64("term"))
-    near = lookup(near, counts, "word", F.col("n_term") >= max(1000, int(total * HOT_SHARE))).where(F.col("n_term") <= F.col("most"))
+    near = lookup(near, counts, "word", F.col("n_term") >= max(2, int(total * HOT_SHARE))).where(F.col("n_term") <= F.col("most"))
     pairs = places.join(near.select("_key", "term", "n_term"), "_key").where(F.col("n_term") <= most)
     pairs = pairs.groupBy("entity", "kind", "term").agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity")).where("n_both >= 2")
     share = F.log(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log((total + 1) / F.col("n_entity"))
