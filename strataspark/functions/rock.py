@@ -81,3 +81,22 @@ def survey_day(year: Column, month: Column, day: Column) -> Column:
     before = F.get(F.array(*[F.lit(d) for d in DAYS_BEFORE]), (month - 1).cast("int"))
     since = year - 1900
     return F.coalesce(365 * since + F.floor(since / 4) + F.when(month.isNull(), 182).otherwise(before + F.coalesce(day, F.lit(15))), F.lit(0)).cast("long")
+
+
+#: Contacts of a grain at porosity 0.20, 0.25, ... 0.70.
+COORDINATION = [14.007, 12.336, 10.843, 9.5078, 8.3147, 7.2517, 6.3108, 5.4878, 4.7826, 4.1988, 3.7440]
+
+
+def coordination(porosity: Column) -> Column:
+    """Contacts of a grain, between the values of the table; held at its ends."""
+    return trend_value(porosity, 0.2, 0.05, COORDINATION)
+
+
+def walton(bulk: Column, shear: Column, porosity: Column, pressure: Column, friction: Column, contacts: Column) -> tuple[Column, Column]:
+    """Bulk and shear modulus of a dry pack of spheres (Walton, 1987), in units of `bulk` and `shear`, as is the pressure.
+
+    `friction` is the weight of rough spheres; the others are smooth."""
+    plane = bulk + shear / 3
+    a, b = (1 / shear - 1 / plane) / (4 * math.pi), (1 / shear + 1 / plane) / (4 * math.pi)
+    x = F.pow(3 * F.pow(contacts * (1 - porosity), F.lit(2.0)) * pressure / (math.pi**4 * b * b), F.lit(1 / 3))
+    return x / 6, x * (friction * (5 * b + a) / (2 * b + a) + (1 - friction)) / 10

@@ -104,3 +104,23 @@ def test_refined_traces_keep_their_samples(spark):
     rows = spark.createDataFrame([(x.tolist(),), ([2.0],), ([],)], "v array<double>")
     got = [r.fine for r in traces.refined(rows, "v", "fine", 4).collect()]
     assert np.allclose(got[0][::4], x) and [len(g) for g in got] == [64, 4, 0]
+
+
+def test_padding_of_small_axes(spark):
+    """The series that an axis of 8 places has for 5, 4 and 3 cells."""
+    from pyspark.sql import functions as F
+
+    from strataspark.functions import padding
+
+    rows = spark.range(9).select(*[padding.mirror_index(F.col("id"), F.lit(n), F.lit(8)).alias(f"n{n}") for n in (5, 4, 3)]).collect()
+    assert [[r[c] for r in rows] for c in ("n5", "n4", "n3")] == [[0, 1, 2, 3, 4, 4, 1, 0, None], [0, 1, 2, 3, 3, 2, 1, 0, None], [0, 1, 2, 2, 1, 1, 1, 0, None]]
+
+
+def test_chi_square_tail(spark):
+    """Tabulated 5 % points, of even and odd degrees."""
+    from strataspark.operators.wells import chi_square_tail
+
+    points = {1: 3.841, 2: 5.991, 3: 7.815, 4: 9.488, 5: 11.070, 10: 18.307}
+    rows = spark.createDataFrame([(float(f), x) for f, x in points.items()] + [(3.0, 0.0), (0.0, 1.0)], "f double, x double")
+    got = [r.p for r in rows.select(chi_square_tail("x", "f").alias("p")).collect()]
+    assert got[:6] == pytest.approx([0.05] * 6, abs=1e-4) and got[6] == 1 and (got[7] is None or np.isnan(got[7]))
