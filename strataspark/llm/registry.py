@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "simhash", "exact_dedup", "pii", "quality_classifier", "sentencepiece", "lm_scoring", "toxicity", "url_filter", "packing")
+MODULES = ("quality_rules", "simhash", "exact_dedup", "pii", "quality_classifier", "sentencepiece", "lm_scoring", "toxicity", "url_filter", "packing", "alignment", "vector_codes", "warc")
 
 
 def _merged(name: str) -> dict:
