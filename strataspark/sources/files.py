@@ -1,8 +1,7 @@
-"""Readers of the domain's files as DataFrames, by Spark's own file sources (any file system it knows, globs, many files).
+"""Readers of the domain's small files as DataFrames, by Spark's own file sources (any file system it knows, globs, many files).
 
-Files are read whole, one a row, as their headers say how to read the rest; a survey is many files (a cube an angle, a
-file a well), and these are what Spark deals out. A cube is turned into rows layer by layer, so a task holds the file
-and one layer's rows."""
+Surfaces, wells and wavelets are read whole, one a row, as their headers say how to read the rest; a survey has many of
+them, and these are what Spark deals out. Cubes are split: see `grids` and `segy`."""
 
 from __future__ import annotations
 
@@ -32,35 +31,6 @@ def _header(content: bytes, lines: int) -> tuple[list[str], int]:
     return found, at
 
 
-def storm_grid(spark: SparkSession, path: str) -> DataFrame:
-    """(path, i, j, k, x, y, value) of binary STORM grids: 32-bit big-endian values, i fastest, then j, k; missing ones are null.
-
-    x and y are those of the cell's centre in the turned grid. A file of another kind, or one too short, is an error."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                lines, at = _header(content, 6)
-                if lines[0] != "storm_petro_binary":
-                    raise ValueError(f"{name}: not a binary STORM grid")
-                missing = float(lines[1].split()[2])
-                x0, lx, y0, ly = map(float, lines[3].split()[:4])
-                angle = np.radians(float(lines[4].split()[1]))
-                nx, ny, nz = map(int, lines[5].split()[:3])
-                if len(content) - at < 4 * nx * ny * nz:
-                    raise ValueError(f"{name}: {nx} x {ny} x {nz} values expected")
-                j, i = (v.ravel() for v in np.mgrid[:ny, :nx])
-                u, v = (i + 0.5) * lx / nx, (j + 0.5) * ly / ny
-                x, y = x0 + u * np.cos(angle) - v * np.sin(angle), y0 + u * np.sin(angle) + v * np.cos(angle)
-                for k in range(nz):
-                    values = np.frombuffer(content, ">f4", nx * ny, at + 4 * nx * ny * k).astype(float)
-                    values = np.where(np.isclose(values, missing), np.nan, values)
-                    yield pd.DataFrame({"path": name, "i": i, "j": j, "k": k, "x": x, "y": y, "value": values})
-
-    rows = _files(spark, path).mapInPandas(parse, "path string, i int, j int, k int, x double, y double, value double")
-    return rows.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
-
-
 def irap_surface(spark: SparkSession, path: str) -> DataFrame:
     """(path, i, j, x, y, z) of Irap classic ASCII surfaces, i fastest; missing nodes have a null z."""
 
@@ -105,20 +75,27 @@ def rms_wells(spark: SparkSession, path: str, logs: list[str]) -> DataFrame:
     return rows.select(*[F.col(f"`{c}`") if t != "double" else F.nanvl(F.col(f"`{c}`"), F.lit(None).cast("double")).alias(c) for c, t in rows.dtypes])
 
 
-def facies_names(spark: SparkSession, path: str) -> DataFrame:
-    """(code, name) of the discrete logs of RMS wells, each once; a code with two names is an error."""
+def facies_names(spark: SparkSession, path: str, log: str = "facies") -> DataFrame:
+    """(code, name) of the discrete log `log` of RMS wells, each once; a code with two names is an error. Other discrete logs don't count."""
     header = F.split(F.decode("content", "ISO-8859-1"), r"\r?\n")
-    lines = F.filter(header, lambda x: x.rlike(r"^\s*\S+\s+DISC\s"))
+    lines = F.filter(header, lambda x: x.rlike(rf"(?i)^\s*\Q{log}\E\s+DISC\s"))
     pairs = _files(spark, path).select(F.explode(lines).alias("line")).select(F.split(F.trim("line"), r"\s+").alias("w")).select(F.explode(F.sequence(F.lit(2), F.size("w") - 2, F.lit(2))).alias("k"), "w")
     pairs = pairs.select(F.get("w", F.col("k")).cast("int").alias("code"), F.get("w", F.col("k") + 1).alias("name")).groupBy("code").agg(F.collect_set("name").alias("names"))
     return pairs.select("code", F.when(F.size("names") > 1, F.raise_error(F.concat(F.lit("two names of facies "), F.col("code")))).otherwise(F.get("names", F.lit(0))).alias("name"))
 
 
 def jason_wavelet(spark: SparkSession, path: str) -> DataFrame:
-    """(path, k, shift, dz, amp) of JASON wavelets: lines that begin with * or " are comments, then shift, step, count, samples."""
+    """(path, k, shift, dz, centre, amp) of JASON wavelets: lines that begin with * or " are comments, then shift, step, count, samples.
+
+    Samples are given turned in time, as convolution needs them: the first is the file's last. `centre` is the sample of
+    time zero of the turned wavelet. A file with fewer samples than it promises is an error."""
     lines = F.filter(F.split(F.decode("content", "ISO-8859-1"), r"\r?\n"), lambda x: ~x.rlike(r"^\s*([*\"].*)?$"))
     first = F.transform(F.slice(lines, 1, 3), lambda x: F.regexp_extract(x, r"\S+", 0).cast("double"))
     samples = F.filter(F.split(F.array_join(F.slice(lines, 4, F.greatest(F.size(lines) - 3, F.lit(0))), " "), r"\s+"), lambda x: x != "")
     rows = _files(spark, path).select("path", first.alias("h"), samples.alias("s"))
-    amps = F.slice("s", 1, F.get("h", F.lit(2)).cast("int"))
-    return rows.select("path", F.get("h", F.lit(0)).alias("shift"), F.get("h", F.lit(1)).alias("dz"), F.posexplode(amps).alias("k", "amp")).select("path", "k", "shift", "dz", F.col("amp").cast("double").alias("amp"))
+    count = F.get("h", F.lit(2)).cast("int")
+    amps = F.when(F.size("s") < count, F.raise_error(F.concat(F.col("path"), F.lit(": fewer samples than promised")))).otherwise(F.reverse(F.slice("s", 1, count)))
+    shift, dz = F.get("h", F.lit(0)), F.get("h", F.lit(1))
+    # Time zero is abs(shift / dz) samples behind the file's first (rounded half up), and as far from the turned wavelet's last.
+    centre = count - 1 - F.floor(F.abs(shift / dz) + 0.5).cast("int")
+    return rows.select("path", shift.alias("shift"), dz.alias("dz"), centre.alias("centre"), F.posexplode(amps).alias("k", "amp")).select("path", "k", "shift", "dz", "centre", F.col("amp").cast("double").alias("amp"))
