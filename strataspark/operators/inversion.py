@@ -10,39 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .cokriging import krige_blocks
 
-def krige(data: DataFrame, targets: DataFrame, layer: str, range_: float, power: float = 1.0, trend: float = 0.0, tile: float = 8.0) -> DataFrame:
-    """Simple kriging of residuals (layer, x, y, value) onto `targets` (layer, x, y), with general-exponential correlation.
-
-    Data at one place are averaged first. Each layer's data (wells, not grid cells) are solved once, for one weight a
-    place. Targets are dealt out in square tiles of `tile` ranges; a tile meets its layer's weights as columns, not row by
-    row, and any number of tiles share a large layer. Without data the trend stays."""
-    places = data.where(F.col("value").isNotNull()).groupBy(layer, "x", "y").agg(F.avg("value").alias("value"))
-    corr = lambda d: np.exp(-3 * (d / range_) ** power)
-    kind = targets.schema[layer]
 
-    def weights(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        k = corr(np.hypot(x[:, None] - x, y[:, None] - y))
-        w = np.linalg.solve(k + 1e-9 * np.eye(len(x)), pdf["value"].to_numpy(float) - trend)
-        return pd.DataFrame({layer: pdf[layer], "x": x, "y": y, "w": w})
-
-    def estimate(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        out = np.full(len(pdf), trend)
-        for at in range(0, len(pdf) if len(known) else 0, 4096):
-            part = slice(at, at + 4096)
-            far = np.hypot(x[part, None] - known["wx"].to_numpy(), y[part, None] - known["wy"].to_numpy())
-            out[part] = trend + corr(far) @ known["w"].to_numpy()
-        return pdf[[layer, "x", "y"]].assign(kriged=out)
+def krige(data: DataFrame, targets: DataFrame, layer: str, range_: float, power: float = 1.0, trend: float = 0.0, tile: float = 2.0, reach: float = 3.0, limit: int = 200) -> DataFrame:
+    """Simple kriging of residuals (layer, x, y, value) onto `targets` (layer, x, y), with general-exponential correlation.
 
-    solved = places.groupBy(layer).applyInPandas(weights, T.StructType([kind, *[T.StructField(c, T.DoubleType()) for c in ("x", "y", "w")]]))
-    part = [F.floor(F.col(c) / (tile * range_)).alias(f"_{c}") for c in ("x", "y")]
-    rows = targets.select(F.col(layer), F.col("x").cast("double"), F.col("y").cast("double")).select("*", *part)
-    tiles = rows.select(F.col(layer).alias("_layer"), F.col("_x").alias("_tx"), F.col("_y").alias("_ty")).distinct()
-    shared = tiles.join(solved, F.col("_layer") == F.col(layer)).select("_layer", "_tx", "_ty", F.col("x").alias("wx"), F.col("y").alias("wy"), "w")
-    schema = T.StructType([kind, *[T.StructField(c, T.DoubleType()) for c in ("x", "y", "kriged")]])
-    return rows.groupBy(layer, "_x", "_y").cogroup(shared.groupBy("_layer", "_tx", "_ty")).applyInPandas(estimate, schema)
+    Each layer is cut into squares of `tile` ranges; a square is solved once from the `limit` places nearest to it within
+    `reach` ranges (see `krige_blocks`), so that a layer of any number of wells is many small solves. Without data the
+    trend stays."""
+    known = data.where(F.col("value").isNotNull()).select(layer, "x", "y", (F.col("value") - trend).alias("value"))
+    rows = targets.select(F.col(layer), F.col("x").cast("double"), F.col("y").cast("double"))
+    decay = lambda dx, dy: np.exp(-3 * (np.hypot(dx, dy) / range_) ** power)
+    found = krige_blocks(known, rows, [layer], ["x", "y"], ["value"], np.eye(1), decay, [tile * range_] * 2, [reach * range_] * 2, limit)
+    return found.select(layer, "x", "y", (F.col("value_kriged") + trend).alias("kriged"))
 
 
 def invert(rows: DataFrame, forward: np.ndarray, prior_cov: np.ndarray, noise_cov: np.ndarray, prior_mean: str, data: str) -> DataFrame:

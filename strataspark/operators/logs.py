@@ -88,26 +88,44 @@ def lag_covariance(blocks: DataFrame, keys: list[str], layer: str, a: str, b: st
     return pairs.groupBy("lag").agg(F.count("*").alias("n"), F.avg((F.col("_a") - F.col("_ma")) * (F.col("_b") - F.col("_mb"))).alias("covariance"))
 
 
-def merge_near_duplicates(samples: DataFrame, keys: list[str], z: str, values: list[str], distance: float = 0.01) -> DataFrame:
+def merge_near_duplicates(samples: DataFrame, keys: list[str], z: str, values: list[str], distance: float = 0.01, bin_: float = 1000.0) -> DataFrame:
     """Samples within `distance` of a group's first sample are one: mean of z and of the values that are there.
 
-    A group is anchored at its start, so a chain of small steps doesn't extend it; that is a fold over the well, one
-    Arrow group a well. Returns keys, group, n, z and the values."""
+    A group is anchored at its start, so a chain of small steps doesn't extend it; that is a fold. A gap of `distance` or
+    more always begins a group, so a well is cut there first, and the fold runs over the pieces that begin in one bin of
+    `bin_` distances. Gaps are found in bins too, and across bins from their ends only, so that a long well is many tasks. Returns keys, group
+    (from 0 in each well), n, z and the values; samples without z are left out."""
+    rows = samples.where(F.col(z).isNotNull()).select(*keys, F.col(z).cast("double").alias(z), *values).withColumn("_bin", F.floor(F.col(z) / (bin_ * distance)))
+    ends = rows.groupBy(*keys, "_bin").agg(F.max(z).alias("_end"))
+    by_bin = Window.partitionBy(*keys).orderBy("_bin")
+    ends = ends.select(*keys, "_bin", F.lag("_end").over(by_bin).alias("_before"))
+    within = Window.partitionBy(*keys, "_bin").orderBy(z)
+    # A piece is named by the z it begins at; a bin that begins inside one inherits it.
+    rows = rows.join(ends, [*keys, "_bin"]).withColumn("_last", F.coalesce(F.lag(z).over(within), F.col("_before")))
+    rows = rows.withColumn("_start", F.when(F.col("_last").isNull() | (F.col(z) - F.col("_last") >= distance), F.col(z)))
+    rows = rows.withColumn("_start", F.last("_start", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    passed = rows.groupBy(*keys, "_bin").agg(F.max("_start").alias("_s")).withColumn("_s", F.last("_s", ignorenulls=True).over(by_bin.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.join(passed, [*keys, "_bin"]).withColumn("_home", F.floor(F.coalesce("_start", "_s") / (bin_ * distance)))
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(z, kind="stable")
-        at = pdf[z].to_numpy()
-        group, start = np.zeros(len(at), np.int64), 0
-        while start < len(at):
-            end = int(np.searchsorted(at, at[start] + distance, "left"))
-            end = max(end, start + 1)
-            group[start:end] = group[start - 1] + 1 if start else 0
-            start = end
-        out = pdf.assign(group=group).groupby([*keys, "group"], dropna=False, as_index=False)
-        return out.agg(n=(z, "size"), **{c: (c, "mean") for c in (z, *values)})[[f.name for f in schema]]
-
-    schema = T.StructType([*[samples.schema[k] for k in keys], T.StructField("group", T.LongType()), T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in (z, *values)]])
-    return samples.select(*keys, z, *values).groupBy(*keys).applyInPandas(merged, schema)
+        """The pieces that begin in one bin; the first sample of a piece always begins a group."""
+        pdf = pdf.sort_values([z, *values], kind="stable")
+        at, begins = pdf[z].to_numpy(), [0]
+        while (end := max(int(np.searchsorted(at, at[begins[-1]] + distance, "left")), begins[-1] + 1)) < len(at):
+            begins.append(end)
+        out = {k: pdf[k].iloc[begins].array for k in [*keys, "_home"]} | {"group": np.arange(len(begins)), "n": np.diff([*begins, len(at)])}
+        for c in (z, *values):
+            x = pdf[c].to_numpy(float, na_value=np.nan)
+            known = np.add.reduceat(~np.isnan(x), begins, dtype=np.int64)
+            out[c] = np.where(known > 0, np.add.reduceat(np.nan_to_num(x), begins) / np.maximum(known, 1), np.nan)
+        return pd.DataFrame(out)
+
+    schema = T.StructType([*[samples.schema[k] for k in keys], T.StructField("_home", T.LongType()), T.StructField("group", T.LongType()), T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in (z, *values)]])
+    found = rows.select(*keys, "_home", z, *values).groupBy(*keys, "_home").applyInPandas(merged, schema)
+    found = found.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in values})
+    earlier = found.groupBy(*keys, "_home").agg(F.max("group").alias("_n"))
+    earlier = earlier.select(*keys, "_home", F.coalesce(F.sum(F.col("_n") + 1).over(Window.partitionBy(*keys).orderBy("_home").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    return found.join(earlier, [*keys, "_home"]).select(*keys, (F.col("_first") + F.col("group")).alias("group"), "n", z, *values)
 
 
 def high_cut(traces: DataFrame, value: str, out: str, dt_ms: float, max_hz: float) -> DataFrame:

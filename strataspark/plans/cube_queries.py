@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strataspark.functions import elastic as E
-from strataspark.operators import lateral, prior, spectral, wavelets
+from strataspark.operators import cokriging, density, lateral, prior, spectral, wavelets
 from strataspark.operators import logs as L
 from strataspark.sources import grids, segy
 from strataspark.sources.ranges import shared_file
@@ -131,3 +131,42 @@ def frequency_inversion(spark, sf_dir):
     found, _ = spectral.inverted(traces, nx, ny, shape, model, lambda i, j: np.exp(-0.5 * np.hypot(i, j)), simulations=1, seed=1)
     cut = lambda c, a: F.transform(F.slice(c, a * nz + 1, nz), lambda v: F.round(v, 6) + 0.0)
     return found.select("i", "j", *[cut("mean", k).alias(v) for k, v in enumerate(("vp", "vs", "rho"))], cut("simulated", 0).alias("drawn_vp"), cut("residual", 0).alias("residual"))
+
+
+def _places(rows):
+    """Wells' blocks with their place on a map of ten wells a line."""
+    return rows.withColumns({"x": (F.col("well") % 10).cast("double"), "y": F.floor(F.col("well") / 10).cast("double"), "z": F.col("block").cast("double")})
+
+
+@query()
+def block_cokriging(spark, sf_dir):
+    """Residuals of three logs, co-kriged onto every place and day of the wells' map."""
+    rows = _places(prior.residuals(blocks(spark, sf_dir), list(_LOGS)))
+    r = rows.agg(*[F.covar_pop(a, b) for a in _LOGS for b in _LOGS], F.max("y"), F.max("z")).first()
+    cov = prior.well_conditioned(np.array(r[:9]).reshape(3, 3))
+    line = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n))).cast("array<double>"))
+    targets = spark.range(10).select(F.col("id").cast("double").alias("x")).withColumn("y", line(r[9])).withColumn("z", line(r[10]))
+    decay = lambda dx, dy, dz: np.exp(-3 * np.sqrt((dx / 4) ** 2 + (dy / 4) ** 2 + (dz / 3) ** 2))
+    return rounded(cokriging.krige_blocks(rows, targets, [], ["x", "y", "z"], list(_LOGS), cov, decay, [5.0, 5.0, 8.0], [4.0, 4.0, 3.0], 60))
+
+
+_BIN = "CAST(least(floor(({v} - ({v}_lo - 5 * {v}_s)) / (({v}_hi - {v}_lo + 10 * {v}_s) / {n})), {n} - 1) AS INT) AS {c}"
+_NUMBERS = ", ".join(f"min({v}) AS {v}_lo, max({v}) AS {v}_hi, greatest(pow(4 / 7.0, 1 / 7.0) * pow(count(*), -1 / 7.0) * stddev_samp({v}), 1e-6) AS {v}_s" for v in _LOGS)
+
+
+@query(f"""WITH {BLOCKS}, s AS (SELECT * FROM blocks WHERE ln_vp IS NOT NULL AND ln_vs IS NOT NULL AND ln_rho IS NOT NULL AND facies IS NOT NULL), m AS (SELECT {_NUMBERS} FROM s)
+SELECT facies, {", ".join(_BIN.format(v=v, n=n, c=c) for v, n, c in zip(_LOGS, (12, 10, 8), "abc", strict=True))}, count(*) AS n FROM s, m GROUP BY ALL""")
+def facies_bins(spark, sf_dir):
+    rows = blocks(spark, sf_dir)
+    return density.counted(rows, "facies", list(_LOGS), density.volume(rows, "facies", list(_LOGS), bins=(12, 10, 8)))
+
+
+@query()
+def facies_density(spark, sf_dir):
+    """Probabilities of facies in every block, from densities on 100 x 100 x 50 bins smoothed with the best bandwidth."""
+    rows = blocks(spark, sf_dir)
+    box = density.volume(rows, "facies", list(_LOGS))
+    found = density.densities(rows, "facies", list(_LOGS), box)
+    shares = {r.facies: r.n for r in rows.where("facies IS NOT NULL").groupBy("facies").agg(F.count("*").alias("n")).collect()}
+    prior_share = {f: n / sum(shares.values()) for f, n in shares.items()}
+    return rounded(density.probabilities(rows.select("well", "block", "facies", *_LOGS), list(_LOGS), found, box, prior_share))

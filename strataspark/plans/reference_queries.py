@@ -254,18 +254,23 @@ def timeline(spark, sf_dir):
     return rounded(read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("survey")).agg(F.count("*").alias("n"), F.avg(years).alias("mean_years"), F.max(years).alias("last_year")))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS well, value, epoch_us(ts) / 3.6e9 AS h FROM events),
+starts AS (SELECT well, min(h) AS s, 0 AS g FROM e GROUP BY well UNION ALL SELECT s.well, min(e.h) AS s, s.g + 1 AS g FROM starts s JOIN e ON e.well = s.well AND e.h >= s.s + 6 GROUP BY s.well, s.g),
+spans AS (SELECT well, g, s, lead(s) OVER (PARTITION BY well ORDER BY g) AS e FROM starts)
+SELECT e.well, CAST(g AS BIGINT) AS "group", count(*) AS n, round(avg(h), 6) AS hours, round(avg(value), 6) AS value FROM e JOIN spans x ON e.well = x.well AND e.h >= x.s AND (x.e IS NULL OR e.h < x.e) GROUP BY e.well, g""")
 def merged_samples(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("well"), "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("hours"))
-    return L.merge_near_duplicates(rows, ["well"], "hours", ["value"], 6.0)
+    return rounded(L.merge_near_duplicates(rows, ["well"], "hours", ["value"], 6.0))
 
 
 @query()
 def kriged_layers(spark, sf_dir):
+    """Every day's wells, kriged onto all places that wells have."""
     data = blocks(spark, sf_dir).select("block", (F.col("well") % 10).cast("double").alias("x"), F.floor(F.col("well") / 10).cast("double").alias("y"), F.col("ln_vp").alias("value"))
-    cells = spark.range(400).select((F.col("id") % 20).cast("double").alias("x"), F.floor(F.col("id") / 20).cast("double").alias("y"))
-    layers = data.select("block").distinct()
-    return I.krige(data, layers.join(F.broadcast(cells)), "block", 5.0, 1.5, 8.2)
+    last = read(spark, sf_dir, "events").agg(F.max("user_id")).first()[0] // 10
+    line = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)).cast("array<double>"))
+    cells = data.select("block").distinct().withColumn("x", line(9)).withColumn("y", line(last))
+    return I.krige(data, cells, "block", 5.0, 1.5, 8.2)
 
 
 @query()
