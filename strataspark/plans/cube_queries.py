@@ -9,10 +9,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strataspark.functions import elastic as E
-from strataspark.operators import cokriging, density, lateral, prior, spectral, wavelets
+from strataspark.functions import inclusions
+from strataspark.operators import cokriging, density, lateral, prior, spectral, trend, wavelets
 from strataspark.operators import logs as L
 from strataspark.sources import grids, segy
 from strataspark.sources.ranges import shared_file
+from strataspark.streaming import state4d
 
 from .reference_queries import BLOCKS, ORACLES, QUERIES, WAVELET, blocks, query, read, rounded
 
@@ -170,3 +172,41 @@ def facies_density(spark, sf_dir):
     shares = {r.facies: r.n for r in rows.where("facies IS NOT NULL").groupBy("facies").agg(F.count("*").alias("n")).collect()}
     prior_share = {f: n / sum(shares.values()) for f, n in shares.items()}
     return rounded(density.probabilities(rows.select("well", "block", "facies", *_LOGS), list(_LOGS), found, box, prior_share))
+
+
+_NZ = 40
+
+
+@query(f"""WITH {BLOCKS}, l AS (SELECT block AS k, avg(exp(ln_vp)) AS m, count(*) AS n FROM blocks WHERE ln_vp IS NOT NULL GROUP BY block), b AS (SELECT min(k) AS first, max(k) AS last, (SELECT greatest(12, 5 * count(DISTINCT well)) FROM blocks) AS least FROM l),
+r AS (SELECT k, (SELECT coalesce(min(r), {_NZ}) FROM range(0, {_NZ} + 1) x(r) WHERE (SELECT coalesce(sum(n), 0) FROM l WHERE l.k BETWEEN g.k - r AND g.k + r) >= CASE WHEN g.k BETWEEN first AND last THEN least ELSE 2 * least END) AS r FROM range(0, {_NZ}) g(k), b),
+s AS (SELECT r.k, sum(n) AS n, sum(n * l.k) / sum(n) AS x, sum(n * m) / sum(n) AS y, sum(n * l.k * l.k) / sum(n) AS xx, sum(n * l.k * m) / sum(n) AS xy, count(*) AS c FROM r JOIN l ON l.k BETWEEN r.k - r.r AND r.k + r.r GROUP BY r.k)
+SELECT k AS block, round(CASE WHEN c = 1 THEN y ELSE y + (xy - x * y) / (xx - x * x) * (k - x) END, 5) AS trend, CASE WHEN c = 1 THEN 'mean' ELSE 'line' END AS kind FROM s""")
+def local_trend(spark, sf_dir):
+    rows = blocks(spark, sf_dir)
+    layers = trend.layer_means(rows.withColumn("vp", F.exp("ln_vp")), [], "block", "vp")
+    wells = rows.select("well").distinct().count()
+    return rounded(trend.local_lines(layers, [], "block", _NZ, trend.least_data(wells, 4.0), -1e9, 1e9), 5)
+
+
+@query()
+def effective_rock(spark, sf_dir):
+    """Rocks of parts: a mineral with brine in flat pores and gas in round ones."""
+    size, price = F.col("p_size") / 50, F.col("p_retailprice") / 2000
+    pores = [(F.lit(2.3), F.lit(0.0), 0.05 + 0.4 * price, 0.3 * size), (F.lit(0.02), F.lit(0.0), F.lit(0.9), 0.1 * (1 - size))]
+    rows = read(spark, sf_dir, "part").select("p_partkey", inclusions.dem(36.0 + 4 * price, 40.0 + 5 * price, pores).alias("e"))
+    return rounded(rows.select("p_partkey", "e.k", "e.mu"))
+
+
+@query()
+def time_lapse_4d(spark, sf_dir):
+    """Customers as cells, orders as vintages: the six-part state after all of them, and the current three parameters."""
+    prior_ = state4d.Prior(np.zeros(6), np.diag([0.04, 0.05, 0.02, 0.01, 0.01, 0.005]), 1995.0)
+    evolution = state4d.Evolution(np.array([0.9, 0.9, 0.95]), np.array([0.01, 0.0, -0.005]), np.diag([0.002, 0.002, 0.001]))
+    years = 1995 + E.years_between(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date"))
+    value = (F.col("o_totalprice") - 250000) / 1e6
+    part = lambda k: F.when(F.col("o_orderkey") % 3 != k, value * (1 - 0.2 * k))
+    rows = read(spark, sf_dir, "orders").select("o_custkey", years.alias("time"), F.array(*[part(k) for k in range(3)]).alias("data"), F.array(*[F.lit(0.05 + 0.01 * k) for k in range(3)]).alias("variance"))
+    found = state4d.states(rows, ["o_custkey"], prior_, evolution)
+    now = [F.get("mean", F.lit(k)) + F.get("mean", F.lit(k + 3)) for k in range(3)]
+    spread = [sum((F.get("covariance", F.lit(6 * a + b)) for a in (k, k + 3) for b in (k, k + 3)), F.lit(0.0)) for k in range(3)]
+    return rounded(found.select("o_custkey", "n", "time", *[v.alias(c) for v, c in zip(now, ("vp", "vs", "rho"), strict=True)], *[v.alias(f"var_{c}") for v, c in zip(spread, ("vp", "vs", "rho"), strict=True)]))
