@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strataspark.functions import elastic as E
 from strataspark.functions import inclusions
-from strataspark.operators import cokriging, density, lateral, prior, spectral, trend, wavelets
+from strataspark.operators import cokriging, density, lateral, prior, spectral, trend, wavelets, well_filter
 from strataspark.operators import logs as L
 from strataspark.sources import grids, segy
 from strataspark.sources.ranges import shared_file
@@ -210,3 +210,14 @@ def time_lapse_4d(spark, sf_dir):
     now = [F.get("mean", F.lit(k)) + F.get("mean", F.lit(k + 3)) for k in range(3)]
     spread = [sum((F.get("covariance", F.lit(6 * a + b)) for a in (k, k + 3) for b in (k, k + 3)), F.lit(0.0)) for k in range(3)]
     return rounded(found.select("o_custkey", "n", "time", *[v.alias(c) for v, c in zip(now, ("vp", "vs", "rho"), strict=True)], *[v.alias(f"var_{c}") for v, c in zip(spread, ("vp", "vs", "rho"), strict=True)]))
+
+
+@query()
+def filtered_wells(spark, sf_dir):
+    """Residuals of three logs, filtered to what an inversion that halves the prior covariance would resolve."""
+    rows = _places(prior.residuals(blocks(spark, sf_dir), list(_LOGS))).withColumns({c: F.col(c).cast("int") for c in "xyz"})
+    r = rows.agg(*[F.covar_pop(a, b) for a in _LOGS for b in _LOGS]).first()
+    cov = prior.well_conditioned(np.array(r).reshape(3, 3))
+    decay = lambda share, range_: lambda di, dj, dk: share * np.exp(-np.sqrt(di**2 + dj**2 + (dk / range_) ** 2))[..., None, None] * cov
+    found = well_filter.filtered(rows.select("well", "x", "y", "z", *_LOGS), ["well"], ("x", "y", "z"), list(_LOGS), decay(1.0, 3.0), decay(0.5, 2.0), 16, 16)
+    return rounded(found.drop("error"))

@@ -2,6 +2,10 @@ import os
 import sys
 import tempfile
 
+# The session's Java process and threads of numpy's algebra don't go together; Spark's workers have one thread each anyway.
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
