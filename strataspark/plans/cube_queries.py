@@ -21,7 +21,7 @@ from .reference_queries import BLOCKS, ORACLES, QUERIES, WAVELET, blocks, query,
 __all__ = ["ORACLES", "QUERIES"]
 LINES = 25
 TRACES = f"""t AS (SELECT CAST(100 + 2 * (vec_id // {LINES}) AS INT) AS il, CAST(500 + 3 * (vec_id % {LINES}) AS INT) AS xl,
-  1000.0 + 40 * (vec_id // {LINES}) - 18 * (vec_id % {LINES}) AS x, 2000.0 + 30 * (vec_id // {LINES}) + 24 * (vec_id % {LINES}) AS y, embedding AS amp FROM embeddings)"""
+  1e3 + 40 * (vec_id // {LINES}) - 18 * (vec_id % {LINES}) AS x, 2e3 + 30 * (vec_id // {LINES}) + 24 * (vec_id % {LINES}) AS y, embedding AS amp FROM embeddings)"""
 
 
 def survey(spark, sf_dir) -> str:
@@ -41,7 +41,7 @@ def segy_round_trip(spark, sf_dir):
     return rows.select("il", "xl", "x", "y", F.size("amp").alias("n"), (F.round(total, 5) + 0.0).alias("total"), F.array_max("amp").cast("double").alias("highest"))
 
 
-@query(f"""WITH {TRACES} SELECT CAST((max(il) - min(il)) // 2 + 1 AS INT) AS nx, {LINES} AS ny, 50.0 AS dx, 30.0 AS dy, round(atan2(30, 40), 6) AS angle, 1000.0 - (40 - 18) / 2.0 AS x0, 2000.0 - (30 + 24) / 2.0 AS y0,
+@query(f"""WITH {TRACES} SELECT CAST((max(il) - min(il)) // 2 + 1 AS INT) AS nx, {LINES} AS ny, 5e1 AS dx, 3e1 AS dy, round(atan2(30, 40), 6) AS angle, 1e3 - (40 - 18) / 2e0 AS x0, 2e3 - (30 + 24) / 2e0 AS y0,
 count(*) AS n_traces, CAST(count(DISTINCT il * 100000 + xl) AS BIGINT) AS n_cells FROM t""")
 def survey_geometry(spark, sf_dir):
     traces = segy.read_segy(spark, survey(spark, sf_dir)).drop("amp")
