@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+#: Samples that are merged in one group of rows, about.
+FOLDED = 20_000
+
 
 def block_logs(samples: DataFrame, keys: list[str], block: str, values: list[str], facies: str | None = None) -> DataFrame:
     """One row a block: n, ln_<value> (mean of the logarithms of what is there), and the most frequent facies.
@@ -108,12 +111,16 @@ def merge_near_duplicates(samples: DataFrame, keys: list[str], z: str, values: l
     rows = rows.join(passed, [*keys, "_bin"]).withColumn("_home", F.floor(F.coalesce("_start", "_s") / (bin_ * distance)))
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The pieces that begin in one bin; the first sample of a piece always begins a group."""
-        pdf = pdf.sort_values([z, *values], kind="stable")
-        at, begins = pdf[z].to_numpy(), [0]
-        while (end := max(int(np.searchsorted(at, at[begins[-1]] + distance, "left")), begins[-1] + 1)) < len(at):
-            begins.append(end)
-        out = {k: pdf[k].iloc[begins].array for k in [*keys, "_home"]} | {"group": np.arange(len(begins)), "n": np.diff([*begins, len(at)])}
+        """The pieces that begin in some bins; the first sample of a piece always begins a group."""
+        pdf = pdf.assign(_own=pdf.groupby([*keys, "_home"], dropna=False, sort=False).ngroup()).sort_values(["_own", z, *values], kind="stable")
+        at, own, begins, i = pdf[z].to_numpy(), pdf["_own"].to_numpy(), [], 0
+        ends = np.searchsorted(own, own, side="right")
+        while i < len(at):
+            begins.append(i)
+            i += max(int(np.searchsorted(at[i : ends[i]], at[i] + distance, "left")), 1)
+        new = np.concatenate([[True], own[begins][1:] != own[begins][:-1]])
+        group = np.arange(len(begins))
+        out = {k: pdf[k].iloc[begins].array for k in [*keys, "_home"]} | {"group": group - np.maximum.accumulate(np.where(new, group, 0)), "n": np.diff([*begins, len(at)])}
         for c in (z, *values):
             x = pdf[c].to_numpy(float, na_value=np.nan)
             known = np.add.reduceat(~np.isnan(x), begins, dtype=np.int64)
@@ -121,7 +128,9 @@ def merge_near_duplicates(samples: DataFrame, keys: list[str], z: str, values: l
         return pd.DataFrame(out)
 
     schema = T.StructType([*[samples.schema[k] for k in keys], T.StructField("_home", T.LongType()), T.StructField("group", T.LongType()), T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in (z, *values)]])
-    found = rows.select(*keys, "_home", z, *values).groupBy(*keys, "_home").applyInPandas(merged, schema)
+    # Many bins to a task's group, whatever the wells; a bin is whole in one of them.
+    parts = max(1, samples.count() // FOLDED)
+    found = rows.select(*keys, "_home", z, *values).groupBy(F.pmod(F.xxhash64(*keys, "_home"), F.lit(parts))).applyInPandas(merged, schema)
     found = found.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in values})
     earlier = found.groupBy(*keys, "_home").agg(F.max("group").alias("_n"))
     earlier = earlier.select(*keys, "_home", F.coalesce(F.sum(F.col("_n") + 1).over(Window.partitionBy(*keys).orderBy("_home").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))

@@ -135,7 +135,7 @@ def test_directions_of_most_information():
     assert values == pytest.approx(every[:2]) and every[2] == pytest.approx(1) and np.linalg.norm(v, axis=1) == pytest.approx([1, 1])
 
 
-def test_merging_over_bins(spark):
+def test_merging_over_bins(spark, monkeypatch):
     """Pieces that end in one bin and begin in another, against the plain fold."""
     rng = np.random.default_rng(5)
     rows = [(w, float(z), float(rng.normal()) if rng.random() < 0.8 else None) for w in range(4) for z in np.cumsum(rng.choice([0.2, 0.4, 0.6, 3.0, 25.0], 300)).round(1)] + [(9, None, 1.0), (8, 5.0, None)]
@@ -147,7 +147,8 @@ def test_merging_over_bins(spark):
             if start is None or z >= start + 1.0:
                 start, g = z, g + 1
             want.setdefault((w, g), []).append((z, v))
-    for width in (0.5, 3.0, 1000.0):
+    for width, folded in ((0.5, 100), (3.0, 400), (1000.0, 20_000)):
+        monkeypatch.setattr(logs, "FOLDED", folded)
         got = {(r.well, r.group): r for r in logs.merge_near_duplicates(df, ["well"], "z", ["v"], 1.0, width).collect()}
         assert got.keys() == want.keys() | {(8, 0)} and got[8, 0].v is None
         for k, x in want.items():
