@@ -80,3 +80,35 @@ def bilinear(surface: DataFrame, points: DataFrame, x0: float, y0: float, dx: fl
     joined = each.join(surface.select(F.col("i").cast("long"), F.col("j").cast("long"), "z"), ["i", "j"], "left")
     z = F.when(F.count("z") == F.count("*"), F.sum(F.col("_c.w") * F.col("z")))
     return joined.groupBy("_id", *points.columns).agg(z.alias("z")).drop("_id")
+
+
+def trilinear(cells: DataFrame, points: DataFrame, low: tuple[float, float, float], size: tuple[float, float, float], n: tuple[int, int, int], out: str = "value") -> DataFrame:
+    """`points` (x, y, z) with the value of the cube (i, j, k, value) between the centres of eight cells.
+
+    The box begins at `low` and has n cells of `size`; points outside are null. Cells that lack, lie outside the box or are
+    negative count as 0, as the cube holds quantities that can't be negative. Each point meets its cells by an equi-join."""
+    at = [(F.col(c) - lo) / s - 0.5 for c, lo, s in zip("xyz", low, size, strict=True)]
+    inside = (F.col("x").between(low[0], low[0] + n[0] * size[0])) & (F.col("y").between(low[1], low[1] + n[1] * size[1])) & (F.col("z").between(low[2], low[2] + n[2] * size[2]))
+    rows = points.withColumn("_id", F.monotonically_increasing_id()).withColumn("_in", F.coalesce(inside, F.lit(False)))
+    for c, v in zip("ijk", at, strict=True):
+        rows = rows.withColumn(f"_{c}", F.floor(v).cast("long")).withColumn(f"_w{c}", v - F.floor(v))
+    corners = F.array(*[F.struct(*[(F.col(f"_{c}") + d).alias(c) for c, d in zip("ijk", step, strict=True)], _weight(step).alias("w")) for step in ((a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1))])
+    each = rows.withColumn("_c", F.explode(corners)).select("_id", "_in", *points.columns, *[F.col(f"_c.{c}").alias(f"_{c}") for c in "ijkw"])
+    held = cells.select(*[F.col(c).cast("long").alias(f"_{c}") for c in "ijk"], F.greatest(F.col("value"), F.lit(0.0)).alias("_v")).where(F.col("_i").between(0, n[0] - 1) & F.col("_j").between(0, n[1] - 1) & F.col("_k").between(0, n[2] - 1))
+    joined = each.join(held, ["_i", "_j", "_k"], "left")
+    total = F.when(F.col("_in"), F.sum(F.col("_w") * F.coalesce("_v", F.lit(0.0))))
+    return joined.groupBy("_id", "_in", *points.columns).agg(total.alias(out)).drop("_id", "_in")
+
+
+def _weight(step: tuple[int, int, int]) -> Column:
+    found = F.lit(1.0)
+    for c, d in zip("ijk", step, strict=True):
+        found = found * (F.col(f"_w{c}") if d else 1 - F.col(f"_w{c}"))
+    return found
+
+
+def arithmetic(a: DataFrame, b: DataFrame, cell: list[str], value: str, how: str) -> DataFrame:
+    """(cell, value) of `a` and `b` added, subtracted or multiplied cell by cell; null where either has none. Cells of one grid alone are not there."""
+    both = a.select(*cell, F.col(value).alias("_a")).join(b.select(*cell, F.col(value).alias("_b")), cell)
+    x, y = F.col("_a"), F.col("_b")
+    return both.select(*cell, {"add": x + y, "subtract": x - y, "multiply": x * y}[how].alias(value))

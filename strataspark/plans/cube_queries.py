@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strataspark.functions import elastic as E
 from strataspark.functions import inclusions
 from strataspark.operators import cokriging, density, lateral, prior, spectral, trend, wavelets, well_filter
+from strataspark.operators import grids as G
 from strataspark.operators import logs as L
 from strataspark.sources import grids, segy
 from strataspark.sources.ranges import shared_file
@@ -221,3 +222,24 @@ def filtered_wells(spark, sf_dir):
     decay = lambda share, range_: lambda di, dj, dk: share * np.exp(-np.sqrt(di**2 + dj**2 + (dk / range_) ** 2))[..., None, None] * cov
     found = well_filter.filtered(rows.select("well", "x", "y", "z", *_LOGS), ["well"], ("x", "y", "z"), list(_LOGS), decay(1.0, 3.0), decay(0.5, 2.0), 16, 16)
     return rounded(found.drop("error"))
+
+
+@query(f"""WITH cells AS ({CELLS}), n AS (SELECT max(user_id) + 1 AS ny FROM events), p AS (SELECT p_partkey, p_retailprice % 26 AS x, CAST(p_size AS DOUBLE) AS y, p_partkey % 310 / 10 AS z FROM part),
+c AS (SELECT p.*, ny, CAST(floor(x - 0.5) AS INT) + a AS i, CAST(floor(y - 0.5) AS INT) + b AS j, CAST(floor(z - 0.5) AS INT) + c AS k,
+  (CASE a WHEN 1 THEN x - 0.5 - floor(x - 0.5) ELSE 1 - (x - 0.5 - floor(x - 0.5)) END) * (CASE b WHEN 1 THEN y - 0.5 - floor(y - 0.5) ELSE 1 - (y - 0.5 - floor(y - 0.5)) END) * (CASE c WHEN 1 THEN z - 0.5 - floor(z - 0.5) ELSE 1 - (z - 0.5 - floor(z - 0.5)) END) AS w
+  FROM p, n, range(0, 2) r(a), range(0, 2) s(b), range(0, 2) t(c))
+SELECT p_partkey, CASE WHEN x BETWEEN 0 AND 24 AND y BETWEEN 0 AND min(ny) AND z BETWEEN 0 AND 31 THEN round(sum(w * coalesce(value, 0)), 5) + 0e0 END AS value FROM c LEFT JOIN cells USING (i, j, k) GROUP BY p_partkey, x, y, z""")
+def trilinear_lookup(spark, sf_dir):
+    cells, grid = _cube(spark, sf_dir)
+    cells = cells.withColumn("value", F.col("value").cast("float").cast("double"))
+    points = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") % 26).alias("x"), F.col("p_size").cast("double").alias("y"), (F.col("p_partkey") % 310 / 10).alias("z"))
+    found = G.trilinear(cells, points, (0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (grid.nx, grid.ny, grid.nz))
+    return rounded(found.select("p_partkey", "value"), 5)
+
+
+@query("""WITH a AS (SELECT l_partkey AS cell, max(l_quantity) AS v FROM lineitem GROUP BY 1), b AS (SELECT p_partkey AS cell, CASE WHEN p_size > 5 THEN p_retailprice END AS v FROM part)
+SELECT cell, round(a.v - b.v, 6) AS v FROM a JOIN b USING (cell)""")
+def grid_difference(spark, sf_dir):
+    a = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("cell")).agg(F.max("l_quantity").alias("v"))
+    b = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("cell"), F.when(F.col("p_size") > 5, F.col("p_retailprice")).alias("v"))
+    return rounded(G.arithmetic(a, b, ["cell"], "v", "subtract"))

@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 from .ranges import Layout, RangeReader, head_of, write_one_file
 
 #: The first lines of the formats, the code of a missing value, and what a text header may hold at most.
-STORM, CRAVA, MISSING, HEADER = "storm_petro_binary", "crava_fftgrid_binary", -99999.0, 4096
+STORM, CRAVA, SGRI, MISSING, HEADER = "storm_petro_binary", "crava_fftgrid_binary", "NORSAR General Grid Format", -99999.0, 4096
 _SCHEMA = "path string, i int, j int, k int, x double, y double, z double, value double"
 
 
@@ -172,3 +172,18 @@ def write_crava(cells: DataFrame, path: str, grid: Grid, padded: tuple[int, int,
     width = 2 * (nx // 2 + 1)
     head = CRAVA.encode() + b"\n" + struct.pack(">4d2i7d3i", grid.x0, grid.y0, grid.lx / grid.nx, grid.ly / grid.ny, grid.nx, grid.ny, *lines, np.radians(grid.angle), width, ny, nz)
     _write(cells, path, head, padded, width, b"")
+
+
+def grid_type(path: str) -> str:
+    """Kind of a cube's file by its first bytes: crava, storm, sgri, segy or unknown."""
+    data = head_of(path, 3600)
+    if data.startswith(CRAVA.encode()):
+        return "crava"
+    if data.startswith(STORM.encode()):
+        return "storm"
+    if data.startswith(SGRI.encode()):
+        return "sgri"
+    # A SEGY file has 3,200 bytes of text in EBCDIC or ASCII, each card begun by C, then the sample format.
+    if len(data) == 3600 and data[:1] in (b"\xc3", b"C") and struct.unpack_from(">h", data, 3224)[0] in (1, 2, 3, 5):
+        return "segy"
+    return "unknown"

@@ -195,3 +195,34 @@ def test_a_task_that_fails_leaves_no_file(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         ranges.write_one_file(rows, str(tmp_path / "x"), 400)
     assert os.listdir(tmp_path) == []
+
+
+def test_kinds_of_files(spark, tmp_path):
+    ranges.shared_folder(spark)
+    grids.write_storm(cells(spark, 2, 2, 2), str(tmp_path / "a"), grids.Grid(2, 2, 2, 0, 0, 1, 1))
+    grids.write_crava(cells(spark, 2, 2, 2), str(tmp_path / "b"), grids.Grid(2, 2, 2, 0, 0, 1, 1), (2, 2, 2))
+    segy.write_segy(survey(spark), str(tmp_path / "c"), 0.0, 4.0, 12, kind=1)
+    (tmp_path / "d").write_bytes(b"NORSAR General Grid Format v1.0\n")
+    (tmp_path / "e").write_bytes(b"")
+    assert [grids.grid_type(str(tmp_path / x)) for x in "abcde"] == ["storm", "crava", "segy", "sgri", "unknown"]
+
+
+def test_trilinear_and_arithmetic(spark):
+    from strataspark.operators import grids as G
+
+    cube = cells(spark, 3, 3, 3, {(1, 1, 1)}).withColumn("value", F.when(F.expr("i = 2"), -5.0).otherwise(F.col("value")))
+    held = {(r.i, r.j, r.k): max(r.value or 0.0, 0.0) for r in cube.collect()}
+    at = [(12.0, 21.0, 31.5), (10.2, 20.4, 30.1), (16.0, 26.0, 36.0), (9.9, 21.0, 31.0), (14.9, 25.0, 35.0), (None, 21.0, 31.0)]
+    points = spark.createDataFrame([(k, *p) for k, p in enumerate(at)], "id int, x double, y double, z double")
+    got = {r.id: r.value for r in G.trilinear(cube, points, (10.0, 20.0, 30.0), (2.0, 2.0, 2.0), (3, 3, 3)).collect()}
+    for k, p in enumerate(at[:3] + at[4:5]):
+        k = k if k < 3 else 4
+        u = [(v - lo) / 2 - 0.5 for v, lo in zip(p, (10, 20, 30), strict=True)]
+        want = 0.0
+        for step in np.ndindex(2, 2, 2):
+            cell = tuple(math.floor(a) + d for a, d in zip(u, step, strict=True))
+            want += held.get(cell, 0.0) * math.prod(a - math.floor(a) if d else 1 - (a - math.floor(a)) for a, d in zip(u, step, strict=True))
+        assert got[k] == pytest.approx(want)
+    assert got[3] is None and got[5] is None and len(got) == 6
+    a, b = (spark.createDataFrame(x, "c int, v double") for x in ([(1, 2.0), (2, None), (3, 4.0)], [(1, 5.0), (2, 1.0), (9, 1.0)]))
+    assert [{tuple(r) for r in G.arithmetic(a, b, ["c"], "v", how).collect()} for how in ("add", "subtract", "multiply")] == [{(1, 7.0), (2, None)}, {(1, -3.0), (2, None)}, {(1, 10.0), (2, None)}]
