@@ -86,7 +86,7 @@ def test_words_forgotten_and_long_texts(sides, plain, monkeypatch):
     monkeypatch.setattr(A, "WORDS", 5)
     monkeypatch.setattr(A, "CHUNK", 30)
     words = A.Words(*sides)
-    texts = ["one two three four five six seven eight", "one two nine ten", "ein sehr langer Text " * 5000, "a ▁ b"]
+    texts = ["one two three four five six seven eight", "one two nine ten", "ein sehr langer Text " * 5000, "a ▁ b", "a" + " " * 120_000 + "b", "x" * 100_000]
     for t in texts:
         totals, digests, _, _ = words.aligned([t])
         assert (tuple(totals[0]), digests[0]) == brute(t, sides, plain)[:2]
