@@ -9,6 +9,7 @@ import fnmatch
 import os
 import posixpath
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Bytes that a task reads of a file, and that are decoded at once.
@@ -166,6 +168,78 @@ def write_one_file(rows: DataFrame, path: str, size: int) -> None:
     rows.select("place", "data").write.format("one_file").mode("append").option("size", size).save(path)
 
 
+class ManyFiles(DataSource):
+    """Rows (name, place, data) written at their places of the files `name` of a folder, which appear when all are whole."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "many_files"
+
+    def schema(self) -> str:
+        return "name string, place long, data binary"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return ManyFilesWriter(self.options)
+
+
+@dataclass
+class WrittenFiles(WriterCommitMessage):
+    #: name -> (bytes written, end of the last of them)
+    files: dict[str, tuple[int, int]]
+
+
+class ManyFilesWriter(DataSourceArrowWriter):
+    """As OneFileWriter, in a hidden folder; a file whose bytes don't reach from its start to its end without a hole is an error, and then none appears."""
+
+    def __init__(self, options: dict):
+        self.folder = re.sub(r"^file:/+", "/", options["path"])
+        self.hidden = os.path.join(self.folder, f".{uuid.uuid4().hex}")
+        os.makedirs(self.hidden)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenFiles:
+        found: dict[str, tuple[int, int]] = {}
+        name, f = None, None
+        try:
+            for batch in iterator:
+                for n, place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    if n != name:
+                        if f is not None:
+                            f.close()
+                        if not re.fullmatch(r"[^/\0.][^/\0]*", n):
+                            raise ValueError(f"{n!r} can't be a file's name")
+                        name, f = n, open(os.open(os.path.join(self.hidden, n), os.O_RDWR | os.O_CREAT, 0o644), "r+b")
+                    f.seek(place)
+                    size = f.write(data.as_buffer())
+                    held = found.get(n, (0, 0))
+                    found[n] = held[0] + size, max(held[1], place + size)
+        finally:
+            if f is not None:
+                f.close()
+        return WrittenFiles(found)
+
+    def commit(self, messages: list) -> None:
+        total: dict[str, tuple[int, int]] = {}
+        for m in messages:
+            for n, (size, end) in (m.files if m is not None else {}).items():
+                held = total.get(n, (0, 0))
+                total[n] = held[0] + size, max(held[1], end)
+        if broken := sorted(n for n, (size, end) in total.items() if size != end):
+            self.abort(messages)
+            raise ValueError(f"{self.folder}: rows are missing or twice there in {', '.join(broken[:5])}")
+        for n in total:
+            os.replace(os.path.join(self.hidden, n), os.path.join(self.folder, n))
+        shutil.rmtree(self.hidden)
+
+    def abort(self, messages: list) -> None:
+        shutil.rmtree(self.hidden, ignore_errors=True)
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Writes rows (name, place, data), whose places cover each file without overlap, as the files `name` of `folder`."""
+    rows.sparkSession.dataSource.register(ManyFiles)
+    rows.select("name", F.col("place").cast("long").alias("place"), "data").sortWithinPartitions("name", "place").write.format("many_files").mode("append").save(folder)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; in a session of one process without it, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
