@@ -109,6 +109,15 @@ def blocks_along(samples: DataFrame, well: str, order: str, cell: list[str], tot
     return marked.withColumn("block", F.when(inside, F.col("_first") + F.col("_before") + within - 1).cast("long")).drop("_s", "_o", "_before", "_first")
 
 
+def numbered(rows: DataFrame, key: str, order: str, out: str = "seq", stretch: int = 1 << 16) -> DataFrame:
+    """`rows` with `out` (long), their place from 0 within `key` by `order`, an integer that is unique there; by stretches, as `blocks_along`."""
+    rows = rows.withColumn("_s", F.floor(F.col(order) / stretch))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy(key, "_s").agg(F.count("*").alias("_n")).select(key, "_s", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy(key, "_s").orderBy(order)) - 1
+    return rows.join(starts, [key, "_s"]).withColumn(out, (F.col("_before") + within).cast("long")).drop("_s", "_before")
+
+
 def interval_blocks(samples: DataFrame, well: str, order: str, cell: list[str], places: list[str], means: list[str], logarithmic: list[str]) -> DataFrame:
     """A row a well and block of `blocks_along`: n, its cell (of the first sample), the means of `places` (coordinates), of
     `means` (as porosity, over the samples that have it) and of the logarithms of `logarithmic` (as ln_<log>)."""

@@ -110,3 +110,13 @@ def test_blocks_of_nothing(spark):
 def test_extents(spark):
     df = spark.createDataFrame([("a", m, 1 if m > 1 else 0, k, b) for m, k, b in [(0, 3, 3), (1, 4, 4), (2, 0, 5), (3, 1, 6)]], "well string, m int, s int, k int, block long")
     assert tuple(V.well_extents(df, "well", "m", "s", "k", [5, 4]).first()) == ("a", 0, 1, 3, 1, 4, 9)
+
+
+@pytest.mark.parametrize("stretch", [1, 5, 1000])
+def test_numbered(spark, stretch):
+    df = spark.createDataFrame([("a" if k % 3 else "b", k * k, k) for k in range(30)], "w string, o long, extra int")
+    got = V.numbered(df, "w", "o", "n", stretch).collect()
+    for w in "ab":
+        mine = sorted((r.o, r.n) for r in got if r.w == w)
+        assert [n for _, n in mine] == list(range(len(mine)))
+    assert len(got) == 30
