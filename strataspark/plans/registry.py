@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("strataspark.plans.reference_queries", "strataspark.plans.volume_queries", "strataspark.plans.well_queries", "strataspark.plans.cube_queries", "strataspark.plans.interval_queries", "strataspark.plans.file_queries")
+MODULES: tuple[str, ...] = ("strataspark.plans.reference_queries", "strataspark.plans.volume_queries", "strataspark.plans.well_queries", "strataspark.plans.cube_queries", "strataspark.plans.interval_queries", "strataspark.plans.file_queries", "strataspark.plans.rock_queries")
 
 
 def _merged(name: str) -> dict:
