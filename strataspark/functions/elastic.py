@@ -21,6 +21,11 @@ def allowed(value: Column, low: float, high: float) -> Column:
     return F.when(value.between(low, high), value)
 
 
+def log(value: Column) -> Column:
+    """Natural logarithm as IEEE has it, not null: -inf at zero, NaN below."""
+    return F.when(value == 0, F.lit(-math.inf)).when(value < 0, F.lit(math.nan)).otherwise(F.ln(value))
+
+
 def elastic_attributes(a: Column, b: Column, r: Column) -> dict[str, Column]:
     """Attributes from ln(vp), ln(vs), ln(rho)."""
     ratio2 = F.exp(2 * (a - b))

@@ -40,6 +40,18 @@ def test_against_sql(spark, sf, oracle, name):
     assert not off, off[:3]
 
 
+def test_synthetic_of_zero_values_is_that_of_sql(spark, tmp_path):
+    """A logarithm of zero is -inf there, not null."""
+    con = duckdb.connect()
+    values = [1.0, 0.0, 2.0, None, 3.0, -1.0, 4.0, 0.0, 0.0, 5.0]
+    pd.DataFrame({"event_id": range(10), "ts": pd.to_datetime("2024-01-01") + pd.to_timedelta(range(10), "h"), "user_id": [0] * 7 + [1] * 3, "value": values}).to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.sql(registry.oracle_sql()["synthetic_seismic"]).fetchall()
+    got = registry.queries()["synthetic_seismic"](spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert any(np.isinf(r.synthetic) for r in got)
+
+
 def test_merge_is_anchored_at_the_start(spark):
     df = spark.createDataFrame([(1, float(z), v) for z, v in [(0, 1.0), (4, None), (8, 3.0), (12, 5.0), (30, 7.0)]] + [(2, 1.0, 2.0)], "well long, z double, v double")
     got = sorted((r.well, r.group, r.n, r.z) for r in logs.merge_near_duplicates(df, ["well"], "z", ["v"], 6.0).collect())
