@@ -31,6 +31,14 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+://", path) else (fs.LocalFileSystem(), path)
 
 
+def reachable(path: str) -> bool:
+    """Whether pyarrow.fs reaches the path's file system; patterns are left to Spark where `files_of` doesn't know them."""
+    try:
+        return opened(path) is not None and not re.search(r"\{|[*?\[].*/", path)
+    except (pa.ArrowInvalid, NotImplementedError, OSError):
+        return False
+
+
 def files_of(path: str) -> list[tuple[str, int]]:
     """(path, size) of the file, of the folder's files, or of those that a pattern in the last part fits; hidden ones are left out."""
     system, inner = opened(path)
@@ -73,7 +81,9 @@ class Span(InputPartition):
 
 
 class RangeReader(DataSourceReader):
-    """Reads files of records of equal width; a subclass knows the layout and decodes records."""
+    """Reads files of records of equal width; a subclass knows the layout and decodes records, `block` bytes at once."""
+
+    block = BLOCK
 
     def __init__(self, options: dict):
         self.options = options
@@ -98,7 +108,7 @@ class RangeReader(DataSourceReader):
     def read(self, partition: Span | None) -> Iterator[pa.RecordBatch]:
         if partition is None or not isinstance(partition, Span):
             return
-        at, each = partition.layout, max(1, BLOCK // partition.layout.width)
+        at, each = partition.layout, max(1, self.block // partition.layout.width)
         system, inner = opened(partition.path)
         with system.open_input_file(inner) as f:
             for k in range(partition.first, partition.last, each):

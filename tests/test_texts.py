@@ -137,3 +137,60 @@ def test_lines_from_coordinates(spark, tmp_path):
     put(tmp_path, s="X Y Z\n" + "".join(f"{at[c][0]} {at[c][1]} {k}\n" for k, c in enumerate(corners)))
     got = texts.on_lines(texts.text_surface(spark, str(tmp_path / "s")), lateral.fitted(traces)).orderBy("n").collect()
     assert [(r.il, r.xl, r.i, r.j) for r in got] == [(il, xl, int(il > 100), int(xl > 500)) for il, xl in corners]
+
+
+def test_surfaces_are_split(spark, tmp_path):
+    """Files of several splits, header lines with blanks among them, a name that a path would encode; the same rows as in one piece."""
+    rng, (nx, ny) = np.random.default_rng(2), (61, 83)
+    z = np.round(rng.normal(0, 1000, nx * ny), 3)
+    z[::11] = 9999900.0
+    lines = ["-996 83 10 20", "", "5.0 605.0 7.0 1647.0", "61 30.0 5.0 7.0", " 0 any words here 0 "]
+    at = 0
+    while at < len(z):
+        n = int(rng.integers(0, 9))
+        lines.append(" ".join(f"{v:.3f}" for v in z[at : at + n]))
+        at += n
+    os.mkdir(tmp_path / "i")
+    put(tmp_path / "i", **{"a b%20+c.irap": "\r\n".join(lines) + "\n", "one.irap": "-996 1 1 1\n0 0 0 0\n1 0 0 0\n0\n4.5"})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        df = files.irap_surface(spark, str(tmp_path / "i"))
+        assert df.rdd.getNumPartitions() > 5
+        got = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.path for r in got} == {r.path for r in texts.surface_kinds(spark, str(tmp_path / "i")).collect()} == {f"file:{tmp_path}/i/a b%20+c.irap", f"file:{tmp_path}/i/one.irap"}
+    assert [(r.i, r.j, r.z) for r in got if "one" in r.path] == [(0, 0, 4.5)]
+    found = {(r.i, r.j): r for r in got if "one" not in r.path}
+    assert len(found) == len(got) - 1 == nx * ny
+    assert {k: r.z for k, r in found.items()} == {(k % nx, k // nx): None if v >= 9999900 else v for k, v in enumerate(z.tolist())}
+    c, s = np.cos(np.pi / 6), np.sin(np.pi / 6)
+    assert (found[3, 4].x, found[3, 4].y) == pytest.approx((5 + 30 * c - 80 * s, 7 + 30 * s + 80 * c))
+    put(tmp_path, cut="\n".join(lines[:-2]), other="1 2 3\n" * 9)
+    with pytest.raises(Exception, match="61 x 83 values expected"):
+        files.irap_surface(spark, str(tmp_path / "cut")).count()
+    with pytest.raises(Exception, match="not an Irap classic surface"):
+        files.irap_surface(spark, str(tmp_path / "other")).count()
+
+
+def test_storm_surfaces_are_split(spark, tmp_path):
+    z = np.random.default_rng(3).normal(size=37 * 51)
+    z[::7] = -999
+    put(tmp_path, **{"a b%20.storm": b"STORMGRID_BINARY\n\n37 51 2 3\n1 73 5 155\n" + z.astype(">f8").tobytes()})
+    df = texts.storm_surface(spark, str(tmp_path), split=1000)
+    assert df.rdd.getNumPartitions() > 10
+    got = df.collect()
+    assert len(got) == len(z)
+    assert {(r.i, r.j): (r.x, r.y, r.z) for r in got} == {(k % 37, k // 37): (1 + 2.0 * (k % 37), 5 + 3.0 * (k // 37), None if v == -999 else v) for k, v in enumerate(z.tolist())}
+    assert {r.path for r in got} == {r.path for r in texts.surface_kinds(spark, str(tmp_path)).collect()}
+
+
+@pytest.mark.parametrize("kind", ["irap", "storm"])
+def test_surfaces_in_a_store_of_spark_only(spark, tmp_path, kind):
+    """A mounted path that pyarrow.fs can't open."""
+    grids, rows, nodes = surfaces(spark, ["base", "mid"])
+    {"irap": texts.write_irap_surfaces, "storm": texts.write_storm_surfaces}[kind](nodes, grids, str(tmp_path / "s"))
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{kind}.link./in", f"file://{tmp_path}")
+    got = {"irap": files.irap_surface, "storm": texts.storm_surface}[kind](spark, f"viewfs://{kind}/in/s").collect()
+    assert {(os.path.basename(r.path).split(".")[0], r.i, r.j): r.z for r in got} == {r[:3]: r[3] for r in rows}
+    assert {r.path for r in got} == {r.path for r in texts.surface_kinds(spark, f"viewfs://{kind}/in/s").collect()}
