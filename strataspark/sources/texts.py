@@ -8,13 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from strataspark.operators.lateral import Geometry
 
-from .files import MISSING, MISSING_SURFACE, _files
-from .ranges import write_files
+from .files import MISSING, MISSING_SURFACE, PIECE, _files
+from .ranges import Layout, RangeReader, head_of, reachable, write_files
 
 #: Names that a column of a text surface may have, in upper case; the code of a missing node in them.
 COLUMNS = {"x": ("X", "UTMX"), "y": ("Y", "UTMY"), "z": ("ATTRIBUTE", "Z", "TWT"), "il": ("INLINE", "IL"), "xl": ("CROSSLINE", "XL")}
@@ -22,7 +24,9 @@ MISSING_TEXT, HEADER_LINES = -999.25, 200
 #: Names of coordinate logs, in the order in which they are tried; microseconds a foot to metres a second.
 X_LOGS, Y_LOGS, FEET = ("X", "UTMX", "EASTING"), ("Y", "UTMY", "NORTHING"), 304800.0
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
-STORM = b"STORMGRID_BINARY"
+#: The first word of a STORM surface, and the bytes that its header may have.
+STORM, STORM_HEADER = b"STORMGRID_BINARY", 4096
+_SURFACE = "path string, at long, nx int, dx double, dy double, x0 double, y0 double, z array<double>"
 
 
 def _lines(content: Column) -> Column:
@@ -38,13 +42,27 @@ def surface_kinds(spark: SparkSession, path: str) -> DataFrame:
     """(path, kind) of files of surfaces: irap, storm, sgri, xyz, multicolumn, or unknown; an empty file has no row, as Spark leaves it out.
 
     By the first word; else by which comes among the first 200 lines, one of three numbers (xyz) being asked for first."""
-    head = F.substring("content", 1, 1 << 16)
+    head = F.col("content")
     words = F.split(F.ltrim(F.translate(F.decode(head, "ISO-8859-1"), "\t\r\n", "   ")), " +", 6)
     lines = F.slice(_lines(head), 1, HEADER_LINES)
     first, version = F.get(words, F.lit(0)), F.get(words, F.lit(4))
     kind = F.when(first == "-996", "irap").when(first == STORM.decode(), "storm").when((first == "NORSAR") & version.isin("v1.0", "v2.0"), "sgri")
     kind = kind.when(first == "NORSAR", "unknown").when(F.exists(lines, _numbers(3)), "xyz").when(F.exists(lines, _numbers(5)), "multicolumn").otherwise("unknown")
-    return _files(spark, path).select("path", kind.alias("kind"))
+    return _heads(spark, path, 1 << 16).select("path", kind.alias("kind"))
+
+
+def _heads(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """(path, content) with the first `size` bytes of each file that isn't empty. Files that pyarrow.fs doesn't reach are read whole by Spark."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                if content := head_of(name, size):
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content])], names=["path", "content"])
+
+    if not reachable(path):
+        return _files(spark, path).select("path", F.substring("content", 1, size).alias("content"))
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(read, "path string, content binary")
 
 
 def text_surface(spark: SparkSession, path: str, columns: int = 3) -> DataFrame:
@@ -96,30 +114,75 @@ def on_lines(nodes: DataFrame, geometry: Geometry | None = None) -> DataFrame:
     return rows.drop("_il0", "_ild", "_xl0", "_xld")
 
 
-def storm_surface(spark: SparkSession, path: str) -> DataFrame:
-    """(path, i, j, x, y, z) of STORM binary surfaces: nx ny dx dy, then least and largest x and y, then big-endian doubles, i fastest; -999 is missing."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                words, at = [], 0
-                while len(words) < 9:
-                    end = content.find(b"\n", at)
-                    if end < 0:
-                        raise ValueError(f"{name}: not a STORM surface")
-                    words += content[at:end].split()
-                    at = end + 1
-                if words[0] != STORM or len(words) != 9:
-                    raise ValueError(f"{name}: not a STORM surface")
-                nx, ny, dx, dy, x0, _, y0, _ = int(words[1]), int(words[2]), *map(float, words[3:])
-                if len(content) - at < 8 * nx * ny:
-                    raise ValueError(f"{name}: {nx} x {ny} values expected, {(len(content) - at) // 8} found")
-                z = np.frombuffer(content, ">f8", nx * ny, at).astype(float)
-                j, i = (v.ravel() for v in np.mgrid[:ny, :nx])
-                yield pd.DataFrame({"path": name, "i": i, "j": j, "x": x0 + i * dx, "y": y0 + j * dy, "z": np.where(z == MISSING[0], np.nan, z)})
-
-    rows = _files(spark, path).mapInPandas(parse, "path string, i int, j int, x double, y double, z double")
-    return rows.withColumn("z", F.nanvl("z", F.lit(None).cast("double")))
+class StormSurfaceReader(RangeReader):
+    """One record is a node, a 64-bit big-endian float."""
+
+    block = 1 << 19
+
+    def layout(self, path: str, size: int) -> Layout:
+        return self.of(path, head_of(path, STORM_HEADER), size)
+
+    @staticmethod
+    def of(path: str, content: bytes, size: int) -> Layout:
+        words, at = [], 0
+        while len(words) < 9:
+            end = content.find(b"\n", at)
+            if end < 0:
+                raise ValueError(f"{path}: not a STORM surface")
+            words += content[at:end].split()
+            at = end + 1
+        if words[0] != STORM or len(words) != 9:
+            raise ValueError(f"{path}: not a STORM surface")
+        nx, ny, dx, dy, x0, _, y0, _ = int(words[1]), int(words[2]), *map(float, words[3:])
+        if size - at < 8 * nx * ny:
+            raise ValueError(f"{path}: {nx} x {ny} values expected, {(size - at) // 8} found")
+        return Layout(at, 8, nx * ny, {"nx": nx, "dx": dx, "dy": dy, "x0": x0, "y0": y0})
+
+    def decode(self, path: str, layout: Layout, first: int, data: bytes) -> pa.RecordBatch:
+        z, h = np.frombuffer(data, ">f8").astype(float), layout.header
+        starts = np.arange(0, len(z), PIECE)
+        n = len(starts)
+        columns = [pa.repeat(path, n), pa.array(first + starts), pa.array(np.full(n, h["nx"]), pa.int32()), *(pa.array(np.full(n, h[c])) for c in ("dx", "dy", "x0", "y0")), pa.ListArray.from_arrays(pa.array([*starts, len(z)], pa.int32()), pa.array(z))]
+        return pa.RecordBatch.from_arrays(columns, names=["path", "at", "nx", "dx", "dy", "x0", "y0", "z"])
+
+
+class StormSurface(DataSource):
+    """Nodes of STORM binary surfaces, in pieces."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "storm_surface"
+
+    def schema(self) -> str:
+        return _SURFACE
+
+    def reader(self, schema) -> DataSourceReader:
+        return StormSurfaceReader(self.options)
+
+
+def storm_surface(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """(path, i, j, x, y, z) of STORM binary surfaces: nx ny dx dy, then least and largest x and y, then big-endian doubles, i fastest; -999 is missing.
+
+    Files are split over tasks by nodes (`split` is the bytes a task reads); those that pyarrow.fs doesn't reach are read whole by Spark."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = StormSurfaceReader({})
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                content = memoryview(content.as_buffer())
+                at = reader.of(name, bytes(content[:STORM_HEADER]), len(content))
+                for k in range(0, at.count, reader.block // 8):
+                    yield reader.decode(name, at, k, content[at.start + 8 * k : at.start + 8 * min(k + reader.block // 8, at.count)])
+
+    if reachable(path):
+        spark.dataSource.register(StormSurface)
+        rows = spark.read.format("storm_surface").options(**options).load(path)
+        rows = rows.withColumn("path", F.regexp_replace("path", "^(file:)?/+", "file:/"))
+    else:
+        rows = _files(spark, path).mapInArrow(parse, _SURFACE)
+    rows = rows.select("*", F.posexplode("z").alias("p", "value")).withColumn("node", F.col("at") + F.col("p"))
+    rows = rows.withColumns({"i": (F.col("node") % F.col("nx")).cast("int"), "j": F.expr("node div nx").cast("int")})
+    return rows.select("path", "i", "j", *[(F.col(f"{a}0") + F.col(c) * F.col(f"d{a}")).alias(a) for a, c in (("x", "i"), ("y", "j"))], F.when((F.col("value") != MISSING[0]) & ~F.isnan("value"), F.col("value")).alias("z"))
 
 
 def las_wells(spark: SparkSession, path: str, logs: list[str]) -> DataFrame:
