@@ -93,6 +93,45 @@ def filtered(vintages: list[tuple[float, np.ndarray, np.ndarray]], prior: Prior,
     return mean, cov, now
 
 
+def _scaled(cov: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    return cov * kept[:, :, None] * kept[:, None, :]
+
+
+def filtered_together(counts: np.ndarray, time: np.ndarray, data: np.ndarray, variance: np.ndarray, prior: Prior, evolution: Evolution) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`filtered` for many cells at once, one vintage of each at a time: (means, covariances, times).
+
+    Cell k has the next counts[k] rows of time (n), data and variance (n, 3). Errors of components are independent, so
+    they are taken one after the other. Of values that are NaN, the order is last."""
+    cells = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((*variance.T[::-1], *data.T[::-1], time, cells))
+    time, data, variance = time[order], data[order], variance[order]
+    # Cells with most vintages first, so that those that have a further one are the first of them.
+    rank = np.argsort(-counts, kind="stable")
+    counts, first = counts[rank], (np.cumsum(counts) - counts)[rank]
+    mean, cov, now = np.tile(np.asarray(prior.mean, float), (len(counts), 1)), np.tile(np.asarray(prior.cov, float), (len(counts), 1, 1)), np.full(len(counts), float(prior.start))
+    d = np.asarray(evolution.decay, float)
+    grown = lambda x, y: np.where(np.isclose(x, 1), y, (1 - x**y) / np.where(np.isclose(x, 1), 1, 1 - x))
+    for step in range(int(counts.max(initial=0))):
+        n = int(np.searchsorted(-counts, -step, "left"))
+        at = first[:n] + step
+        m, c = mean[:n], cov[:n]
+        years = np.where(time[at] > now[:n], time[at] - now[:n], 0.0)
+        kept = np.hstack([np.ones((n, 3)), d ** years[:, None]])
+        m *= kept
+        m[:, 3:] += evolution.drift * grown(d, years[:, None])
+        c[:] = _scaled(c, kept)
+        c[:, 3:, 3:] += evolution.noise * grown(np.outer(d, d), years[:, None, None])
+        now[:n] = np.where(time[at] > now[:n], time[at], now[:n])
+        for k in range(3):
+            has = ~np.isnan(data[at, k]) & (variance[at, k] > 0)
+            spread = c[:, :, k] + c[:, :, k + 3]
+            gain = np.where(has, 1 / np.where(has, spread[:, k] + spread[:, k + 3] + variance[at, k], 1), 0.0)[:, None] * spread
+            m += gain * np.where(has, data[at, k] - m[:, k] - m[:, k + 3], 0.0)[:, None]
+            c -= gain[:, :, None] * spread[:, None, :]
+    back = np.argsort(rank)
+    return mean[back], cov[back], now[back]
+
+
 def _vintages(times: list, data: list, variances: list) -> list[tuple[float, np.ndarray, np.ndarray]]:
     wide = lambda x: np.array([np.nan if v is None else v for v in x], float)
     return [(float(t), wide(d), wide(v)) for t, d, v in zip(times, data, variances, strict=True)]
@@ -108,15 +147,19 @@ def states(vintages: DataFrame, keys: list[str], prior: Prior, evolution: Evolut
 
     data and variance are arrays of three; a null component wasn't observed, a vintage without time doesn't count."""
     schema = _schema(vintages, keys)
-    whole = vintages.where(F.col("time").isNotNull()).groupBy(*keys).agg(*[F.collect_list(F.col(c).cast(t)).alias(c) for c, t in (("time", "double"), ("data", "array<double>"), ("variance", "array<double>"))])
-    cells = vintages.select(*keys).distinct().join(whole, keys, "left")
+    parts = [f"{c}{k}" for c in ("data", "variance") for k in range(3)]
+    one = F.struct(F.col("time").cast("double").alias("time"), *[F.get(F.col(p[:-1]).cast("array<double>"), F.lit(int(p[-1]))).alias(p) for p in parts])
+    cells = vintages.groupBy(*keys).agg(F.collect_list(F.when(F.col("time").isNotNull(), one)).alias("vintages"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            times, data, variance = (batch.column(c).to_pylist() for c in ("time", "data", "variance"))
-            found = [filtered(_vintages(t or [], d or [], v or []), prior, evolution) for t, d, v in zip(times, data, variance, strict=True)]
-            numbers = [pa.array([len(t or []) for t in times], pa.int64()), pa.array([x[2] for x in found], pa.float64()), *[pa.array([x[k].ravel().tolist() for x in found], pa.list_(pa.float64())) for k in (0, 1)]]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *numbers], names=[f.name for f in schema])
+            column = batch.column("vintages")
+            counts, rows = np.diff(column.offsets.to_numpy()).astype(np.int64), column.flatten()
+            wide = lambda c, rows=rows: rows.field(c).to_numpy(zero_copy_only=False).astype(float)
+            data, variance = (np.stack([wide(p) for p in ps], axis=1) for ps in (parts[:3], parts[3:]))
+            mean, cov, now = filtered_together(counts, wide("time"), data, variance, prior, evolution)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * n, pa.int32()), pa.array(x.reshape(-1))) for x, n in ((mean, 6), (cov, 36))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(counts), pa.array(now), *lists], names=[f.name for f in schema])
 
     return cells.mapInArrow(fold, schema)
 

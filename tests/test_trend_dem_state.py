@@ -168,3 +168,27 @@ def test_vintages_without_time_or_data(spark):
     df = spark.createDataFrame([(1, None, [1.0, 1.0, 1.0], [1.0] * 3), (1, 2000.0, [None, None, None], [1.0] * 3)], SCHEMA)
     r = S.states(df, ["cell"], prior, ev).first()
     assert r.n == 1 and r.mean == pytest.approx(prior.mean)
+
+
+def test_cells_are_filtered_together():
+    """The same state as one cell's after the other, whatever the numbers of vintages; without a fold for each cell."""
+    prior, ev = setting()
+    rng = np.random.default_rng(5)
+    counts = np.array([0, 3, 1, 12, 0, 5, 3])
+    n = int(counts.sum())
+    time, data, variance = rng.choice([1998.0, 2000.0, 2001.5, 2004.0], n), rng.normal(size=(n, 3)), rng.uniform(0.1, 1, (n, 3))
+    data[rng.random((n, 3)) < 0.3], variance[rng.random((n, 3)) < 0.1] = np.nan, 0.0
+    mean, cov, now = S.filtered_together(counts, time, data, variance, prior, ev)
+    cells = np.repeat(np.arange(len(counts)), counts)
+    for k in range(len(counts)):
+        want = S.filtered([(time[v], data[v], variance[v]) for v in np.flatnonzero(cells == k)], prior, ev)
+        assert now[k] == want[2] and np.allclose(mean[k], want[0], atol=1e-12) and np.allclose(cov[k], want[1], atol=1e-12)
+
+
+def test_vintage_of_null_data(spark):
+    """A vintage whose data are null is one, as any that wasn't observed; it does not shift the others'."""
+    prior, ev = setting()
+    df = spark.createDataFrame([(1, 2001.0, [1.0, 2.0, 3.0], [0.5] * 3), (1, 2002.0, None, [0.5] * 3), (1, 2003.0, [0.0, None, 1.0], [0.5] * 3)], SCHEMA)
+    r = S.states(df, ["cell"], prior, ev).first()
+    want = S.filtered([(2001.0, np.array([1.0, 2, 3]), np.full(3, 0.5)), (2003.0, np.array([0, np.nan, 1]), np.full(3, 0.5))], prior, ev)
+    assert (r.n, r.time) == (3, 2003.0) and r.mean == pytest.approx(want[0]) and r.covariance == pytest.approx(want[1].ravel())
