@@ -45,7 +45,7 @@ def segy_round_trip(spark, sf_dir):
 @query(f"""WITH {TRACES} SELECT CAST((max(il) - min(il)) // 2 + 1 AS INT) AS nx, {LINES} AS ny, 5e1 AS dx, 3e1 AS dy, round(atan2(30, 40), 6) AS angle, 1e3 - (40 - 18) / 2e0 AS x0, 2e3 - (30 + 24) / 2e0 AS y0,
 count(*) AS n_traces, CAST(count(DISTINCT il * 100000 + xl) AS BIGINT) AS n_cells FROM t""")
 def survey_geometry(spark, sf_dir):
-    traces = segy.read_segy(spark, survey(spark, sf_dir)).drop("amp")
+    traces = segy.read_segy(spark, survey(spark, sf_dir), samples="no")
     g = lateral.fitted(traces)
     i, j = g.cell_at(F.col("x"), F.col("y"))
     found = traces.agg(F.count("*").alias("n_traces"), F.countDistinct(F.struct(i, j)).alias("n_cells"))

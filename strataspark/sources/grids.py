@@ -60,7 +60,9 @@ def _number(word: str) -> float | None:
 
 
 class CubeReader(RangeReader):
-    """One record is a line of values along i, 32-bit big-endian; j, then k follow."""
+    """One record is a line of values along i, 32-bit big-endian; j, then k follow. A cell makes a row of many times its bytes."""
+
+    block = 1 << 18
 
     def layout(self, path: str, size: int) -> Layout:
         data = head_of(path, HEADER)
@@ -90,7 +92,7 @@ class CubeReader(RangeReader):
         i, j, k, values = i[keep], j[keep], k[keep], values[keep]
         x, y = grid.centre(i, j)
         z = pa.nulls(len(values), pa.float64()) if grid.top is None or grid.base is None else pa.array(grid.top + (k + 0.5) * (grid.base - grid.top) / grid.nz)
-        columns = [pa.array([path] * len(values), pa.string()), *(pa.array(v, pa.int32()) for v in (i, j, k)), pa.array(x), pa.array(y), z, pa.array(values, mask=np.isclose(values, layout.header["missing"]))]
+        columns = [pa.repeat(path, len(values)), *(pa.array(v, pa.int32()) for v in (i, j, k)), pa.array(x), pa.array(y), z, pa.array(values, mask=np.isclose(values, layout.header["missing"]))]
         return pa.RecordBatch.from_arrays(columns, names=["path", "i", "j", "k", "x", "y", "z", "value"])
 
 

@@ -48,6 +48,8 @@ def _integers(traces: np.ndarray, place: int, kind: str = ">i4") -> np.ndarray:
 class SegyReader(RangeReader):
     """Conditions on il and xl are met here: the samples of other traces are not decoded."""
 
+    block = 1 << 20
+
     def __init__(self, options: dict):
         super().__init__(options)
         self.places = [int(options.get(f"location-{c}", p)) for c, p in zip(("x", "y", "il", "xl"), FORMATS[options.get("header", "seisworks").lower()], strict=True)]
@@ -86,16 +88,18 @@ class SegyReader(RangeReader):
         traces = np.frombuffer(data, np.uint8).reshape(-1, layout.width)
         x, y, il, xl = (_integers(traces, p) for p in self.places)
         keep = self.wanted({"il": il, "xl": xl})
+        samples = self.options.get("samples", "yes") == "yes"
         traces, n, kind = traces[keep], layout.header["n"], layout.header["kind"]
         scale = _integers(traces, SCALE, ">i2").astype(float)
         factor = np.where(scale < 0, -1 / np.where(scale < 0, scale, 1), np.where(scale > 0, scale, 1)) if self.scaled else np.ones(len(traces))
-        words = np.ascontiguousarray(traces[:, TRACE:]).view(KINDS[kind])
-        values = (ibm_to_float(words) if kind == 1 else words.astype(np.float32)).ravel()
-        ends = pa.array(np.arange(len(traces) + 1) * n, pa.int32())
         z0 = _integers(traces, 109, ">i2").astype(float)
-        columns = [pa.array([path] * len(traces), pa.string()), pa.array(np.arange(first, first + len(keep))[keep]), *(pa.array(v[keep], pa.int32()) for v in (il, xl)), *(pa.array(v[keep] * factor) for v in (x, y))]
-        columns += [pa.array(z0), pa.array(np.full(len(traces), layout.header["dz"])), pa.ListArray.from_arrays(ends, pa.array(values, pa.float32()))]
-        return pa.RecordBatch.from_arrays(columns, names=["path", "trace", "il", "xl", "x", "y", "z0", "dz", "amp"])
+        columns = [pa.repeat(path, len(traces)), pa.array(np.arange(first, first + len(keep))[keep]), *(pa.array(v[keep], pa.int32()) for v in (il, xl)), *(pa.array(v[keep] * factor) for v in (x, y))]
+        columns += [pa.array(z0), pa.array(np.full(len(traces), layout.header["dz"]))]
+        if samples:
+            words = np.ascontiguousarray(traces[:, TRACE:]).view(KINDS[kind])
+            values = (ibm_to_float(words) if kind == 1 else words.astype(np.float32)).ravel()
+            columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(traces) + 1) * n, pa.int32()), pa.array(values, pa.float32())))
+        return pa.RecordBatch.from_arrays(columns, names=["path", "trace", "il", "xl", "x", "y", "z0", "dz", "amp"][: len(columns)])
 
 
 class Segy(DataSource):
@@ -106,7 +110,7 @@ class Segy(DataSource):
         return "segy"
 
     def schema(self) -> str:
-        return "path string, trace long, il int, xl int, x double, y double, z0 double, dz double, amp array<float>"
+        return "path string, trace long, il int, xl int, x double, y double, z0 double, dz double" + (", amp array<float>" if self.options.get("samples", "yes") == "yes" else "")
 
     def reader(self, schema) -> DataSourceReader:
         return SegyReader(self.options)
@@ -114,7 +118,7 @@ class Segy(DataSource):
 
 def read_segy(spark: SparkSession, path: str, header: str = "seisworks", **options: object) -> DataFrame:
     """Traces of the SEGY files at `path`. `header` names the trace header's format; location_x, location_y, location_il,
-    location_xl and bypass_coordinate_scaling change it; `split` is the bytes a task reads. A file of another kind or size is an error."""
+    location_xl and bypass_coordinate_scaling change it; samples="no" leaves amp out, and decodes no samples; `split` is the bytes a task reads. A file of another kind or size is an error."""
     spark.dataSource.register(Segy)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("segy").options(header=header, **{k.replace("_", "-"): v for k, v in options.items()}).load(path)

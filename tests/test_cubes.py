@@ -226,3 +226,15 @@ def test_trilinear_and_arithmetic(spark):
     assert got[3] is None and got[5] is None and len(got) == 6
     a, b = (spark.createDataFrame(x, "c int, v double") for x in ([(1, 2.0), (2, None), (3, 4.0)], [(1, 5.0), (2, 1.0), (9, 1.0)]))
     assert [{tuple(r) for r in G.arithmetic(a, b, ["c"], "v", how).collect()} for how in ("add", "subtract", "multiply")] == [{(1, 7.0), (2, None)}, {(1, -3.0), (2, None)}, {(1, 10.0), (2, None)}]
+
+
+def test_headers_without_samples(spark, tmp_path):
+    """samples="no" gives the same traces without amp, conditions included, and blocks of cubes stay small."""
+    rows = [(100 + k // 9, 500 + k % 9, 10.0 * k, 5.0 * k, [float(k)] * 4) for k in range(90)]
+    path = str(tmp_path / "s.sgy")
+    segy.write_segy(spark.createDataFrame(rows, "il int, xl int, x double, y double, amp array<float>"), path, 0.0, 4.0, 4)
+    whole, heads = (segy.read_segy(spark, path, split=2000, **o) for o in ({}, {"samples": "no"}))
+    assert heads.columns == [c for c in whole.columns if c != "amp"]
+    assert sorted(heads.where("xl > 503").collect()) == sorted(whole.drop("amp").where("xl > 503").collect())
+    assert segy.read_segy(spark, path, samples="no", split=2000).count() == 90
+    assert grids.CubeReader.block < segy.SegyReader.block < 4 << 20
