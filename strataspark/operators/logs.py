@@ -155,13 +155,13 @@ def high_cut(traces: DataFrame, value: str, out: str, dt_ms: float, max_hz: floa
     return traces.mapInPandas(cut, schema)
 
 
-def reflections(rows: DataFrame, keys: list[str], layer: str, value: Column, out: str) -> DataFrame:
-    """Backward difference along each trace; 0 at its top."""
+def reflections(rows: DataFrame, keys: list[str], layer: str | list[str], value: Column, out: str) -> DataFrame:
+    """Backward difference along each trace; 0 at its top. Layers that tie need a further column in `layer` to settle their order."""
     w = Window.partitionBy(*keys).orderBy(layer)
     return rows.withColumn("_v", value).withColumn(out, F.coalesce(F.col("_v") - F.lag("_v").over(w), F.lit(0.0))).drop("_v")
 
 
-def convolve(rows: DataFrame, keys: list[str], layer: str, value: str, wavelet: list[float], out: str) -> DataFrame:
+def convolve(rows: DataFrame, keys: list[str], layer: str | list[str], value: str, wavelet: list[float], out: str) -> DataFrame:
     """Synthetic trace: the reflections convolved with a wavelet of odd length, its middle at lag 0; layers are dense."""
     w, half = Window.partitionBy(*keys).orderBy(layer), len(wavelet) // 2
     terms = [weight * F.coalesce(F.lag(value, k - half).over(w), F.lit(0.0)) for k, weight in enumerate(wavelet)]

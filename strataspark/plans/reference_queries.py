@@ -136,8 +136,10 @@ def angle_impedance(spark, sf_dir):
 @query("""WITH r AS (SELECT event_id, user_id, ts, coalesce(ln(value) - lag(ln(value)) OVER (PARTITION BY user_id ORDER BY ts), 0) AS c FROM events)
 SELECT event_id, round(c, 6) + 0.0 AS reflection, round(-0.25 * coalesce(lead(c) OVER w, 0) + c - 0.25 * coalesce(lag(c) OVER w, 0), 6) + 0.0 AS synthetic FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts)""")
 def synthetic_seismic(spark, sf_dir):
-    rows = L.reflections(read(spark, sf_dir, "events"), ["user_id"], "ts", E.log(F.col("value")), "reflection")
-    return rounded(L.convolve(rows, ["user_id"], "ts", "reflection", WAVELET, "synthetic").select("event_id", "reflection", "synthetic"))
+    """Of equal times, which the SQL leaves open, the smaller event_id comes first."""
+    order = ["ts", "event_id"]
+    rows = L.reflections(read(spark, sf_dir, "events"), ["user_id"], order, E.log(F.col("value")), "reflection")
+    return rounded(L.convolve(rows, ["user_id"], order, "reflection", WAVELET, "synthetic").select("event_id", "reflection", "synthetic"))
 
 
 @query("""SELECT l_linenumber, count(v) AS n, count(*) - count(v) AS n_missing, min(v) AS min, max(v) AS max, round(avg(v), 4) AS mean, round(avg(CASE WHEN v <> 0 THEN v * v END), 2) AS data_variance

@@ -52,6 +52,20 @@ def test_synthetic_of_zero_values_is_that_of_sql(spark, tmp_path):
     assert any(np.isinf(r.synthetic) for r in got)
 
 
+def test_synthetic_of_tied_times_does_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """Its SQL leaves ties open; by event_id they give one of its results, and the same one each time."""
+    ids = np.arange(12)
+    events = pd.DataFrame({"event_id": ids, "ts": pd.to_datetime("2024-01-01") + pd.to_timedelta(ids // 4, "h"), "user_id": 0, "value": 1.0 + ids * 5 % 12})
+    sql, found = registry.oracle_sql()["synthetic_seismic"].replace("ORDER BY ts", "ORDER BY ts, event_id"), []
+    for at, rows in enumerate((events, events[::-1], events.sample(frac=1, random_state=1))):
+        (tmp_path / str(at)).mkdir()
+        rows.to_parquet(tmp_path / str(at) / "events.parquet", coerce_timestamps="us")
+        found.append(sorted(map(tuple, registry.queries()["synthetic_seismic"](spark, str(tmp_path / str(at))).collect())))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/0/events.parquet'")
+    assert found == [sorted(con.sql(sql).fetchall())] * 3
+
+
 def test_merge_is_anchored_at_the_start(spark):
     df = spark.createDataFrame([(1, float(z), v) for z, v in [(0, 1.0), (4, None), (8, 3.0), (12, 5.0), (30, 7.0)]] + [(2, 1.0, 2.0)], "well long, z double, v double")
     got = sorted((r.well, r.group, r.n, r.z) for r in logs.merge_near_duplicates(df, ["well"], "z", ["v"], 6.0).collect())
