@@ -7,7 +7,10 @@ are one unknown word. The score is the mean over a document's tokens of log P(ta
 like the target. A document's own counts are taken out of the bigrams of the model that it was counted in.
 
 Texts are turned into numbers once. Bigrams of two of the HOT most frequent words are counted and scored in the tasks; the
-other distinct bigrams of each document are shuffled once, to a place where all occurrences are summed and scored."""
+other distinct bigrams of each document are shuffled once, to a place where all occurrences are summed and scored.
+
+Tasks know the LISTED most frequent words as arrays. In a longer vocabulary the others are rare: only the few bigrams that
+have one of them meet their words' numbers and counts in shuffled joins, and no text does."""
 
 from __future__ import annotations
 
@@ -18,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, documents, durable, for_python, lookup, sized, slices, stored, table
-from .words import coded_words, emitted, word_hashes
+from .common import documents, durable, for_python, slices, stored, table
+from .words import coded_words, emitted
 
-#: Most words that tasks get as sorted arrays; the words of longer vocabularies are numbered by shuffled joins.
+#: So many most frequent words, or ids of targets, tasks get as sorted arrays; the others meet bigrams, or texts, in shuffled joins.
 LISTED = 1 << 22
+#: Words that occur so often, or oftener, are ranked as equals where the LISTED are chosen.
+LEVELS = 1 << 20
 #: So many most frequent words: a bigram without two of them makes less than about 1 / HOT of all tokens.
 HOT = 1000
 #: Weight of the bigrams against the unigrams, and of the unigrams against equal shares.
@@ -44,68 +49,57 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return emitted(blocks(), ["h", "n"])
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    """The words of each text as numbers, by a sorted vocabulary."""
-    known = vocabulary.value
+def _numbered(batches: Iterator[pa.RecordBatch], vocabulary, given) -> Iterator[pa.RecordBatch]:
+    """The words of each text as numbers, by a sorted vocabulary, and the hashes of those it lacks where they aren't UNKNOWN."""
+    known, lacking = vocabulary.value
     for batch in slices(batches, 2000):
         offsets, codes, hashes = coded_words(batch.column(1))
-        numbers = np.full(len(hashes), UNKNOWN, np.int32)
+        numbers = np.full(len(hashes), lacking, np.int32)
         if len(known):
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            numbers = np.where(known[at] == hashes, at + FIRST, UNKNOWN).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(numbers[codes]))], names=["id", "target", "ids"])
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same from rows of `numbered_texts`."""
-    for batch in slices(batches):
-        lists = []
-        for words, length in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            ids = np.full(length, UNKNOWN, np.int32)
-            for word in words:
-                ids[np.array(word["at"])] = word["number"]
-            lists.append(ids)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lists, pa.list_(pa.int32()))], names=["id", "target", "ids"])
-
-
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, id, target, length, h, at): a row for each text, and one for each of its distinct words with its places."""
-    for batch in slices(batches, 100):
-        out = []
-        for id_, text, target, row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            h = word_hashes(text)
-            out.append((row, id_, target, len(h), None, None))
-            if len(h):
-                order = np.argsort(h, kind="stable")
-                parts = np.split(order, np.flatnonzero(np.diff(h[order])) + 1)
-                out += [(row, None, None, None, int(h[x[0]]), x.tolist()) for x in parts]
-        if out:
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["row", "id", "target", "length", "h", "at"])
-
-
-def numbered(words: DataFrame) -> DataFrame:
-    """`words` with a number each from FIRST on, without a gap."""
+            numbers = np.where(known[at] == hashes, at + FIRST, lacking).astype(np.int32)
+        ids, rare = numbers[codes], pa.nulls(batch.num_rows, pa.list_(pa.int64()))
+        if lacking != UNKNOWN:
+            out = ids == lacking
+            rare = _lists(np.concatenate([[0], np.cumsum(out)])[offsets], hashes[codes[out]])
+        target = batch.column(2) if given is None else _among(batch.column(0), given.value)
+        yield pa.RecordBatch.from_arrays([batch.column(0), target, _lists(offsets, ids), rare], names=["id", "target", "ids", "rare"])
+
+
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+
+def _among(ids: pa.Array, known: np.ndarray) -> pa.Array:
+    """Which ids, none of the nulls, are in a sorted array."""
+    x = ids.fill_null(0).to_numpy()
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return pa.array((known[at] == x if len(known) else np.zeros(len(x), bool)) & ids.is_valid().to_numpy(zero_copy_only=False))
+
+
+def _divided(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """About LISTED most frequent words of a longer vocabulary, and the others. Of equally frequent ones a hash decides."""
+    level, room = F.least("n", F.lit(LEVELS)), LISTED
+    for r in sorted(known.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        if r.n > room:
+            break
+        room -= r.n
+    inside = (level > r.level) | ((level == r.level) & (F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.lit(room * (1 << 30) // r.n)))
+    return known.where(inside), known.where(~inside)
+
+
+def numbered(words: DataFrame, first: int) -> DataFrame:
+    """`words` with a number each from `first` on, without a gap."""
     rows = durable(words.withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33)
     sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
-    starts = np.cumsum([FIRST, *[r.n for r in sizes]]).tolist()
+    starts = np.cumsum([first, *[r.n for r in sizes]]).tolist()
     starts = words.sparkSession.createDataFrame([(r.part, at) for r, at in zip(sizes, starts[:-1], strict=True)], "part long, start long")
     return durable(rows.join(F.broadcast(starts), part == F.col("part")).withColumn("number", F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at", "part", "start"))
 
 
-def numbered_texts(rows: DataFrame, vocabulary: DataFrame, tokens: int) -> DataFrame:
-    """(id, target, ids): for each text the numbers of its words, by shuffled joins."""
-    each = stored(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_places, "row long, id long, target boolean, length int, h long, at array<int>"))
-    found = lookup(each.where("length IS NULL").select("row", "h", "at"), vocabulary.select("h", "number", "n"), "h", F.col("n") >= max(1000, int(tokens * HOT_SHARE)))
-    heads = each.where("length IS NOT NULL").select("row", "id", "target", "length")
-    both = heads.unionByName(found.select("row", F.struct("number", "at").alias("word")), allowMissingColumns=True)
-    texts = both.groupBy("row").agg(F.max("id").alias("id"), F.collect_list("word").alias("words"), F.max("target").alias("target"), F.max("length").alias("length"))
-    return for_python(texts.drop("row")).mapInArrow(_gathered, _TEXTS)
-
-
 _SUMS = "id long, n long, t double, b double"
-_TEXTS = "id long, target boolean, ids array<int>"
+_TEXTS = "id long, target boolean, ids array<int>, rare array<long>"
 
 
 def _tokens(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,25 +115,20 @@ def _tokens(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return out, doc
 
 
-def _pairs(numbers: np.ndarray, doc: np.ndarray, hot: np.ndarray, ranks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(numbers: np.ndarray, doc: np.ndarray, hot: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, first, second, place): bigrams; place is that of two hot words in a square of counts, else -1."""
     first, second, doc = numbers[:-1], numbers[1:], doc[1:]
     inside = first != END
     first, second, doc = first[inside], second[inside], doc[inside]
-    if ranks is None:
-        at = np.minimum(np.searchsorted(hot, numbers), len(hot) - 1)
-        rank = np.where(hot[at] == numbers, at, -1)
-    else:
-        rank = ranks[numbers]
+    rank = ranks[numbers]
     a, b = rank[:-1][inside].astype(np.int64), rank[1:][inside]
     return doc, first, second, np.where((a >= 0) & (b >= 0), a * len(hot) + b, -1)
 
 
-def _tallied(batches: Iterator[pa.RecordBatch], hot, size: int | None) -> Iterator[pa.RecordBatch]:
-    """(key, target, background): counts of a task's hot bigrams (key is their place) and of its words (key is -1 - number)."""
+def _tallied(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
+    """(key, target, background): counts of a task's hot bigrams (key is their place) and of its words (key is -1 - number) but those that aren't listed."""
     h, ranks = hot.value
-    square = np.zeros((2, len(h) ** 2), np.int64)
-    words = None if size is None else np.zeros((2, size), np.int64)
+    square, words = np.zeros((2, len(h) ** 2), np.int64), np.zeros((2, len(ranks)), np.int64)
 
     def blocks() -> Iterator:
         for batch in batches:
@@ -148,14 +137,10 @@ def _tallied(batches: Iterator[pa.RecordBatch], hot, size: int | None) -> Iterat
             pair_doc, _, _, place = _pairs(numbers, doc, h, ranks)
             for k, model in enumerate((TARGET, BACKGROUND)):
                 np.add.at(square[k], place[(place >= 0) & (side[pair_doc] == model)], 1)
-                own = numbers[side[doc] == model]
-                if words is not None:
-                    np.add.at(words[k], own, 1)
-                elif len(own):
-                    number, n = np.unique(own, return_counts=True)
-                    yield [-1 - number], [n * (k == 0), n * (k == 1)]
+                np.add.at(words[k], numbers[side[doc] == model], 1)
+        words[:, -1] = 0
         for table_, key in ((square, lambda x: x), (words, lambda x: -1 - x)):
-            if table_ is not None and len(at := np.flatnonzero(table_.sum(axis=0))):
+            if len(at := np.flatnonzero(table_.sum(axis=0))):
                 yield [key(at)], [table_[0, at], table_[1, at]]
 
     return emitted(blocks(), ["key", "target", "background"])
@@ -170,6 +155,14 @@ def _alone(token: np.ndarray, total: int, size: float) -> np.ndarray:
     return UNIGRAM * token / max(1, total) + (1 - UNIGRAM) / size
 
 
+def _square_losses(m: dict, length: int, at: np.ndarray, n: np.ndarray, side: np.ndarray) -> list[np.ndarray]:
+    """Losses in both models of bigrams of two hot words that documents of these sides have n times."""
+    own = [np.where(side == k, n, 0) for k in (TARGET, BACKGROUND)]
+    alone = [m["hot_alone"][k][at % length] for k in (0, 1)]
+    inside = [np.maximum(m["square"][k][at] - own[k], 0) / np.maximum(1, m["hot_count"][k][at // length]) for k in (0, 1)]
+    return _losses(alone, inside, n)
+
+
 def _hot_losses(batches: Iterator[pa.RecordBatch], hot_words, model) -> Iterator[pa.RecordBatch]:
     """(id, n, t, b): for each document the number of its bigrams of two hot words, and their losses in both models."""
     m, (h, ranks) = model.value, hot_words.value
@@ -181,14 +174,20 @@ def _hot_losses(batches: Iterator[pa.RecordBatch], hot_words, model) -> Iterator
         hot = place >= 0
         found, n = np.unique(pair_doc[hot] * size + place[hot], return_counts=True)
         d, at = found // size, found % size
-        own = [np.where(side[d] == k, n, 0) for k in (TARGET, BACKGROUND)]
-        alone = [m["hot_alone"][k][at % len(h)] for k in (0, 1)]
-        inside = [np.maximum(m["square"][k][at] - own[k], 0) / np.maximum(1, m["hot_count"][k][at // len(h)]) for k in (0, 1)]
-        sums = [np.bincount(d, weights=x, minlength=batch.num_rows) for x in (n, *_losses(alone, inside, n))]
+        sums = [np.bincount(d, weights=x, minlength=batch.num_rows) for x in (n, *_square_losses(m, len(h), at, n, side[d]))]
         rows = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sums[0][rows].astype(np.int64)), pa.array(sums[1][rows]), pa.array(sums[2][rows])], names=["id", "n", "t", "b"])
 
 
+def _placed_losses(batches: Iterator[pa.RecordBatch], hot_words, model) -> Iterator[pa.RecordBatch]:
+    """(id, n, t, b): the same of rows (id, c, place)."""
+    m, length = model.value, len(hot_words.value[0])
+    for batch in batches:
+        c, at = (batch.column(k).to_numpy() for k in (1, 2))
+        n = (c >> 2).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *[pa.array(x) for x in _square_losses(m, length, at, n, c & 3)]], names=["id", "n", "t", "b"])
+
+
 def _distinct(d: np.ndarray, first: np.ndarray, second: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(d, key, n): the distinct bigrams of each d, and how often it has them. `bits` over 0: d and both words fit in one number."""
     if bits:
@@ -203,40 +202,91 @@ def _distinct(d: np.ndarray, first: np.ndarray, second: np.ndarray, bits: int) -
 
 
 def _cold(batch: pa.RecordBatch, at: int, hot_words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first, second) of all bigrams of a batch but those of two hot words."""
+    """(document, first, second) of all bigrams of a batch but those of two hot words and those with a word that isn't listed."""
+    h, ranks = hot_words.value
     numbers, doc = _tokens(batch.column(at))
-    d, first, second, place = _pairs(numbers, doc, *hot_words.value)
-    cold = place < 0
+    d, first, second, place = _pairs(numbers, doc, h, ranks)
+    cold = (place < 0) & (first < len(ranks) - 1) & (second < len(ranks) - 1)
     return d[cold], first[cold], second[cold]
 
 
 def _bigrams(batches: Iterator[pa.RecordBatch], hot_words, bits: int) -> Iterator[pa.RecordBatch]:
-    """(id, key, c): the distinct bigrams, but those of two hot words, of each document; c is 4 times how often it has them, and its side."""
+    """(id, key, c): the distinct bigrams, but those of two hot words or with one not listed, of each document; c is 4 times how often it has them, and its side."""
     for batch in slices(batches, 1000):
         d, key, n = _distinct(*_cold(batch, 2, hot_words), bits)
         side = batch.column(1).to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), pa.array(key), pa.array((4 * n + side[d]).astype(np.int32))], names=["id", "key", "c"])
 
 
+def _unlisted(batches: Iterator[pa.RecordBatch], hot_words) -> Iterator[pa.RecordBatch]:
+    """(row, id, side, v, v_h, w, w_h) of each bigram with a word that isn't listed: both words' numbers, and the hashes of those that aren't."""
+    lacking = len(hot_words.value[1]) - 1
+    for batch in slices(batches, 1000):
+        numbers, doc = _tokens(batch.column(3))
+        hashes = np.zeros(len(numbers), np.int64)
+        hashes[numbers == lacking] = batch.column(4).flatten().to_numpy()
+        at = np.flatnonzero((numbers[:-1] != END) & ((numbers[:-1] == lacking) | (numbers[1:] == lacking)))
+        words = [c for x in (at, at + 1) for c in (pa.array(numbers[x]), pa.array(hashes[x], mask=numbers[x] != lacking))]
+        yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(doc[at])) for k in range(3)], *words], names=["row", "id", "side", "v", "v_h", "w", "w_h"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch], hot_words) -> Iterator[pa.RecordBatch]:
+    """Rows whose second column is a bigram, with its place in the square of hot words, or -1."""
+    h = hot_words.value[0]
+    for batch in batches:
+        key = batch.column(1).to_numpy()
+        a, b = (np.where(h[at := np.minimum(np.searchsorted(h, x), len(h) - 1)] == x, at, -1) for x in (key >> 32, key & 0xFFFFFFFF))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where((a >= 0) & (b >= 0), a * len(h) + b, -1))], names=[*batch.schema.names, "place"])
+
+
+def rare_bigrams(texts: DataFrame, rest: DataFrame, hot, first: int) -> tuple[DataFrame, list[int], list[int]]:
+    """((id, key, c, v_t, v_b, w_t, w_b, place), unknown, others): the distinct bigrams of each text that have a word not listed.
+
+    Such a word is one of `rest`, numbered from `first` on, or unknown. v_t to w_b are the counts in both models of those of
+    `rest`; place is that of two hot words, of which one is unknown. `unknown` are the counts of the unknown word,
+    `others` those of all words of `rest`. A word that isn't listed is rarer than those that are, so no key of the joins is hot."""
+    each = texts.select(F.monotonically_increasing_id().alias("row"), "id", "side", "ids", "rare").mapInArrow(lambda b: _unlisted(b, hot), "row long, id long, side int, v long, v_h long, w long, w_h long")
+    each = stored(each)
+    tokens = each.where("w_h IS NOT NULL")  # a word is the second one of one bigram each time it occurs
+    counts = [F.count_if(F.col("side") == TARGET).alias("t"), F.count_if(F.col("side") == BACKGROUND).alias("b")]
+    here = tokens.groupBy(F.col("w_h").alias("h")).agg(*counts)
+    lexicon = durable(numbered(rest.select("h"), first).join(here, "h", "left").select("h", "number", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("t", "b")]))
+    every, others = (x if x.t is not None else {"t": 0, "b": 0} for x in (tokens.agg(*counts).first(), lexicon.agg(F.sum("t").alias("t"), F.sum("b").alias("b")).first()))
+    for name in ("v", "w"):
+        one = lexicon.select(F.col("h").alias("_h"), F.col("number").alias("_number"), F.col("t").alias(f"{name}_t"), F.col("b").alias(f"{name}_b"))
+        missing = F.col(f"{name}_h").isNull()
+        apart = F.coalesce(f"{name}_h", F.xxhash64("row", "v", "w"))  # listed words are spread, and none of them is looked up
+        number = F.when(missing, F.col(name)).otherwise(F.coalesce("_number", F.lit(UNKNOWN)))
+        each = each.join(one, apart == F.col("_h"), "left").withColumn(name, number.cast("long")).drop("_h", "_number", f"{name}_h")
+    columns = ["v_t", "v_b", "w_t", "w_b"]
+    key = F.shiftleft("v", 32).bitwiseOR(F.col("w")).alias("key")
+    sums = each.groupBy("row", "id", "side", key).agg(F.count("*").alias("n"), *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in columns])
+    sums = sums.select("id", "key", (4 * F.col("n") + F.col("side")).cast("int").alias("c"), *columns)
+    found = stored(sums.mapInArrow(lambda b: _placed(b, hot), f"id long, key long, c int, {', '.join(f'{c} long' for c in columns)}, place long"))
+    return found, [every["t"] - others["t"], every["b"] - others["b"]], [others["t"], others["b"]]
+
+
 def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """(id, n, t, b): losses of rows (id, key, c, counts of the bigram, 32 bits each); further columns are its words' counts, where these are not listed."""
+    """(id, n, t, b): losses of rows (id, key, c, counts of the bigram, 32 bits each); further columns are the counts of its words that are not listed."""
     m = model.value
     for batch in batches:
         key, c, both, *counts = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, batch.num_columns)]
         n, side, both = c >> 2, c & 3, (both & 0xFFFFFFFF, both >> 32)
-        contexts, tokens = (counts[:2], counts[2:]) if counts else ([m["words"][k][at] for k in (0, 1)] for at in (key >> 32, key & 0xFFFFFFFF))
+        contexts, tokens = ([m["words"][k][np.minimum(at, len(m["words"][k]) - 1)] for k in (0, 1)] for at in (key >> 32, key & 0xFFFFFFFF))
+        if counts:
+            contexts = [np.where(key >> 32 < len(x), y, z) for x, y, z in zip(m["words"], contexts, counts[:2], strict=True)]
+            tokens = [np.where(key & 0xFFFFFFFF < len(x), y, z) for x, y, z in zip(m["words"], tokens, counts[2:], strict=True)]
         alone = [_alone(x, m["totals"][k], m["size"]) for k, x in enumerate(tokens)]
         own = [np.where(side == k, n, 0) for k in (TARGET, BACKGROUND)]
         inside = [np.where(v > 0, (x - mine) / np.maximum(1, v), 0.0) for x, mine, v in zip(both, own, contexts, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), *[pa.array(x) for x in _losses(alone, inside, n)]], names=["id", "n", "t", "b"])
 
 
-def _marked(texts: DataFrame, targets: DataFrame) -> DataFrame:
-    """`texts` with `target` where `targets` (one column of ids) has their id. Few ids are broadcast; else numbers, not texts, are shuffled once."""
-    ids = durable(targets.select(F.col(targets.columns[0]).cast("long").alias("_id")).where("_id IS NOT NULL").distinct())
-    side = sized(ids.withColumn("_found", F.lit(True)))
+def _marked(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """`texts` with `target` where `ids` (one distinct column `_id`) has their id; numbers, not texts, are shuffled once."""
     apart = F.coalesce("id", F.xxhash64("ids"))  # rows without id are spread, and none of them is a target
-    return texts.join(side, (apart == F.col("_id")) & F.col("id").isNotNull(), "left").select("id", F.col("_found").isNotNull().alias("target"), "ids")
+    side = ids.withColumn("_found", F.lit(True))
+    return texts.join(side, (apart == F.col("_id")) & F.col("id").isNotNull(), "left").select("id", F.col("_found").isNotNull().alias("target"), "ids", "rare")
 
 
 def cross_entropy_difference(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str | None = "target", vocab_share: float = 0.0, targets: DataFrame | None = None) -> DataFrame:
@@ -245,9 +295,10 @@ def cross_entropy_difference(docs: DataFrame, id_col: str = "doc_id", text_col:
     Target documents are those with a true `target_col` (null is false), or those whose id is among `targets`, a table of
     ids. Rows of one id (null ids too) are one document. A null text counts as empty: it is the one token END. Texts are
     read whole, however long. An empty table gives an empty result. Only the named columns are read. The vocabulary is
-    every word that occurs twice, and makes `vocab_share` of all tokens. Up to LISTED words go to the tasks as arrays; if
-    there are more, words, texts and bigrams meet their numbers and counts in shuffled joins. Without target documents, or
-    without others, a model without counts gives every word the same chance.
+    every word that occurs twice, and makes `vocab_share` of all tokens. The LISTED most frequent go to the tasks as arrays; if
+    there are more, bigrams with one of the others meet its number and counts in shuffled joins. Up to LISTED targets are
+    marked in the tasks too; of more, numbered texts meet them in one shuffled join. Without target documents, or without
+    others, a model without counts gives every word the same chance.
 
     A bigram that is not of two hot words makes less than about 1 / HOT of the rows that are dealt by bigram."""
     spark = docs.sparkSession
@@ -257,56 +308,51 @@ def cross_entropy_difference(docs: DataFrame, id_col: str = "doc_id", text_col:
     every = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     known = words.where((F.col("n") >= 2) & (F.col("n") >= vocab_share * every))
     count = known.count()
-    listed = count <= LISTED
-    if listed:
-        found = known.select("h", "n").toArrow().sort_by("h")
-        vocabulary, often = spark.sparkContext.broadcast(found.column("h").to_numpy()), np.argsort(-found.column("n").to_numpy(), kind="stable")[:HOT] + FIRST
-        texts = stored(rows.mapInArrow(lambda b: _numbered(b, vocabulary), _TEXTS))
-    else:
-        lexicon = numbered(known)
-        often = np.array([r.number for r in lexicon.orderBy(F.desc("n"), "number").limit(HOT).select("number").collect()], np.int64)
-        texts = stored(numbered_texts(rows, lexicon, every))
-    texts = for_python(texts if targets is None else _marked(texts, targets))
+    listed, rest = (known, None) if count <= LISTED else _divided(known)
+    found = listed.select("h", "n").toArrow().sort_by("h")
+    size = found.num_rows + FIRST  # so many numbers are listed; the next one is that of any word that isn't
+    often = np.argsort(-found.column("n").to_numpy(), kind="stable")[:HOT] + FIRST
+    vocabulary, given = spark.sparkContext.broadcast((found.column("h").to_numpy(), UNKNOWN if rest is None else size)), None
+    ids = None if targets is None else durable(targets.select(F.col(targets.columns[0]).cast("long").alias("_id")).where("_id IS NOT NULL").distinct())
+    marked = ids is not None and ids.count() <= LISTED
+    if marked:
+        given = spark.sparkContext.broadcast(np.sort(ids.toArrow().column("_id").to_numpy()))
+    texts = rows.mapInArrow(lambda b: _numbered(b, vocabulary, given), _TEXTS)
+    texts = for_python(stored(texts if ids is None or marked else _marked(texts, ids)))
     sizes = {r.target: r.n for r in texts.groupBy("target").agg(F.sum(F.size("ids") + 1).alias("n")).collect()}
     if not sizes:
         return spark.createDataFrame([], "id long, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
     share = min(1.0, sizes.get(True, 0) / max(1, sizes.get(False, 0)))
-    texts = texts.select("id", F.when(F.col("target"), TARGET).when(matched(F.col("id"), F.col("ids"), share), BACKGROUND).otherwise(NEITHER).alias("side"), "ids")
-    often, ranks = np.sort(np.concatenate([[UNKNOWN, START, END], often])), None
-    if listed:
-        ranks = np.full(count + FIRST, -1, np.int16)
-        ranks[often] = np.arange(len(often))
+    texts = texts.select("id", F.when(F.col("target"), TARGET).when(matched(F.col("id"), F.col("ids"), share), BACKGROUND).otherwise(NEITHER).alias("side"), "ids", "rare")
+    often = np.sort(np.concatenate([[UNKNOWN, START, END], often]))
+    ranks = np.full(size + 1, -1, np.int16)
+    ranks[often] = np.arange(len(often))
     hot = spark.sparkContext.broadcast((often, ranks))
-    size = count + FIRST if listed else None
-    tallies = durable(texts.where(F.col("side") != NEITHER).select("side", "ids").mapInArrow(lambda b: _tallied(b, hot, size), "key long, target long, background long").groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
-    bits = int(size).bit_length() if listed and int(size).bit_length() <= 26 else 0
+    n, side = F.shiftright("c", 2).cast("long"), F.col("c").bitwiseAND(F.lit(3))
+    tallies = texts.where(F.col("side") != NEITHER).select("side", "ids").mapInArrow(lambda b: _tallied(b, hot), "key long, target long, background long")
+    if rest is not None:
+        rare, unknown, others = rare_bigrams(texts, rest, hot, size + 1)
+        tallies = tallies.unionByName(rare.where("place >= 0").select(F.col("place").alias("key"), *[F.when(side == k, n).otherwise(0).alias(c) for k, c in ((TARGET, "target"), (BACKGROUND, "background"))]))
+    tallies = durable(tallies.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
+    bits = size.bit_length() if size.bit_length() <= 26 else 0
     model = {"size": float(count + FIRST)}
     model["square"] = _arrays(tallies.where("key >= 0"), len(often) ** 2)
-    unigrams = tallies.where("key < 0").select((-1 - F.col("key")).alias("key"), "target", "background")
-    if listed:
-        model["words"] = _arrays(unigrams, count + FIRST)
-        model["hot_count"] = [x[often] for x in model["words"]]
-        model["totals"] = [int(x.sum()) - int(x[START]) for x in model["words"]]
-    else:
-        some = {r.key: (r.target, r.background) for r in unigrams.where(F.col("key").isin(often.tolist())).collect()}
-        model["hot_count"] = [np.array([some.get(x, (0, 0))[k] for x in often.tolist()], np.int64) for k in (0, 1)]
-        sums = unigrams.where(F.col("key") != START).agg(F.coalesce(F.sum("target"), F.lit(0)).alias("t"), F.coalesce(F.sum("background"), F.lit(0)).alias("b")).first()
-        model["totals"] = [sums.t, sums.b]
+    model["words"] = _arrays(tallies.where("key < 0").select((-1 - F.col("key")).alias("key"), "target", "background"), size)
+    if rest is not None:
+        for x, more in zip(model["words"], unknown, strict=True):
+            x[UNKNOWN] += more
+    model["hot_count"] = [x[often] for x in model["words"]]
+    model["totals"] = [int(x.sum()) - int(x[START]) for x in model["words"]]
+    if rest is not None:
+        model["totals"] = [x + more for x, more in zip(model["totals"], others, strict=True)]
     model["hot_alone"] = [_alone(x, model["totals"][k], model["size"]) for k, x in enumerate(model["hot_count"])]
     shared = spark.sparkContext.broadcast(model)
-    grams = texts.mapInArrow(lambda b: _bigrams(b, hot, bits), "id long, key long, c int")
-    n, side = F.shiftright("c", 2).cast("long"), F.col("c").bitwiseAND(F.lit(3))
-    counts = F.when(side == TARGET, n).when(side == BACKGROUND, F.shiftleft(n, 32)).otherwise(F.lit(0))
-    summed = grams.withColumn("both", F.sum(counts).over(Window.partitionBy("key")))
-    if not listed:
-        counts = unigrams.select(F.col("key").alias("_number"), "target", "background")
-        numbers = lexicon.select("number").unionByName(spark.range(FIRST).withColumnRenamed("id", "number"))
-        counts = durable(numbers.join(counts, F.col("number") == F.col("_number"), "left").select("number", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("target", "background")]))
-        for name, number in (("v", F.shiftright("key", 32)), ("w", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)))):
-            one = counts.select(F.col("number").alias(name), F.col("target").alias(f"{name}_t"), F.col("background").alias(f"{name}_b"))
-            frequent = F.col(f"{name}_t") + F.col(f"{name}_b") >= max(1000, int(every * HOT_SHARE))
-            summed = lookup(summed.withColumn(name, number), one, name, frequent).drop(name)
-    each = summed.mapInArrow(lambda b: _scored(b, shared), _SUMS).unionByName(texts.mapInArrow(lambda b: _hot_losses(b, hot, shared), _SUMS))
+    grams = texts.select("id", "side", "ids").mapInArrow(lambda b: _bigrams(b, hot, bits), "id long, key long, c int")
+    both = F.sum(F.when(side == TARGET, n).when(side == BACKGROUND, F.shiftleft(n, 32)).otherwise(F.lit(0))).over(Window.partitionBy("key")).alias("both")
+    each = grams.select("id", "key", "c", both).mapInArrow(lambda b: _scored(b, shared), _SUMS).unionByName(texts.select("id", "side", "ids").mapInArrow(lambda b: _hot_losses(b, hot, shared), _SUMS))
+    if rest is not None:
+        each = each.unionByName(rare.where("place < 0").select("id", "key", "c", both, "v_t", "v_b", "w_t", "w_b").mapInArrow(lambda b: _scored(b, shared), _SUMS))
+        each = each.unionByName(rare.where("place >= 0").select("id", "c", "place").mapInArrow(lambda b: _placed_losses(b, hot, shared), _SUMS))
     each = each.groupBy("id").agg(F.sum("n").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
     t, b = F.col("t") / F.col("n_tokens"), F.col("b") / F.col("n_tokens")
     return each.select(F.col("id").alias(id_col), "n_tokens", t.alias("target_loss"), b.alias("background_loss"), (b - t).alias("score"))

@@ -114,6 +114,24 @@ def test_rare_words_are_in_the_vocabulary(spark, monkeypatch, listed):
     assert L.cross_entropy_difference(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("listed", "hot"), [(40, 20), (250, 5), (310, 1000)])
+def test_words_that_are_not_listed_shuffle_their_own_bigrams_only(spark, monkeypatch, listed, hot):
+    """A vocabulary longer than LISTED: scores are those of the whole one, whatever is listed, and few rows are stored for the others."""
+    monkeypatch.setattr(L, "LISTED", listed)
+    monkeypatch.setattr(L, "HOT", hot)
+    docs = {i: (t, bool(y)) for i, t, y in corpus(150)} | {900: (None, True), 901: ("", None), 902: ("w0 once w0 only w0 w0", False)}
+    docs |= {1000 + i: (f"w1 w2 w3 rare{i // 2} alone{i} rare{i // 2} w1 alone{i}x", i % 3 == 0) for i in range(60)}
+    rows, real = [], L.stored
+    monkeypatch.setattr(L, "stored", lambda df: (found := real(df), rows.append(found.count()))[0])
+    df = spark.createDataFrame([(i, t, y) for i, (t, y) in docs.items()], "doc_id long, text string, target boolean")
+    got = {r.doc_id: r.score for r in L.cross_entropy_difference(df).collect()}
+    assert got == pytest.approx(plain_scores(spark, docs, 0.0), abs=1e-6)
+    if listed > 40:
+        assert max(rows) < sum(len((t or "").split()) for t, _ in docs.values()) / 3
+    named = spark.createDataFrame([(i,) for i, (_, y) in docs.items() if y] * 2 + [(None,), (12345,)], "doc_id long")
+    assert {r.doc_id: r.score for r in L.cross_entropy_difference(df.drop("target"), target_col=None, targets=named).collect()} == pytest.approx(got)
+
+
 def test_language_models_of_odd_rows(spark, odd, none, plans):
     """Null and repeated ids, extra columns with clashing names, no targets or only targets; no text is shuffled."""
     targets = spark.createDataFrame([(1,), (5,), (None,)], "doc_id long")
